@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.pieces import MOST, Memo, pieces
+from panelwright.llm.pieces import Memo, Recent, atoms, pieces
 
 #: Fixed value: the published split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,7 +61,7 @@ class RankArrayBpe:
         self.merged = [vocab[a + b] for a, b in merges]
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.known: dict[str, list[int]] = {}
+        self.known = Recent()
         self.memo = Memo(self.of_piece)
 
     def merge(self, word: bytes) -> list[int]:
@@ -82,10 +82,7 @@ class RankArrayBpe:
         ids = self.known.get(word)
         if ids is None:
             ids = self.long_word(word.encode()) if len(word) > 400 else self.merge(word.encode())
-            if len(word) <= 24:
-                if len(self.known) >= MOST:
-                    self.known.clear()
-                self.known[word] = ids
+            self.known.put(word, ids)
         return ids
 
     def long_word(self, word: bytes) -> list[int]:
@@ -122,17 +119,8 @@ class RankArrayBpe:
         return list(chain.from_iterable(of_word(w) for w in self.words.findall(text)))
 
     def of_piece(self, piece: str) -> list[int]:
-        """As of_plain for ' ' + a piece without spaces; words with a last sign need no pattern."""
-        body, last = piece[1:-1], piece[-1]
-        if body.isalpha():
-            if last.isalpha():
-                return self.of_word(piece)
-            if last in ".,":
-                return self.of_word(piece[:-1]) + self.of_word(last)
-        head, line, tail = piece.partition("\n")
-        if line and tail and len(head) > 1 and not head[-1].isspace() and not tail[0].isspace():
-            return self.of_piece(head) + self.of_word(line) + (self.of_word(tail) if tail.isalpha() else self.of_plain(tail))
-        return self.of_plain(piece)
+        """As of_plain for ' ' + a piece without spaces; most pieces are words and need no pattern."""
+        return list(chain.from_iterable(self.of_word(a) if a.isalpha() or a[1:].isalpha() or len(a) == 1 else self.of_plain(a) for a in atoms(piece)))
 
     def encode(self, text: str) -> list[int]:
         if parts := pieces(text):

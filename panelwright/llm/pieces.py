@@ -21,17 +21,53 @@ def pieces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
+def atoms(piece: str) -> list[str]:
+    """A piece with its space, cut further where the pattern certainly cuts: before a last sign and around a line break."""
+    body, last = piece[1:-1], piece[-1]
+    if body.isalpha():
+        if last.isalpha():
+            return [piece]
+        if last in ".,":
+            return [piece[:-1], last]
+    head, line, tail = piece.partition("\n")
+    if line and tail and len(head) > 1 and not head[-1].isspace() and not tail[0].isspace():
+        return [*atoms(head), line, tail]
+    return [piece]
+
+
+class Recent:
+    """A dict of bounded size in two generations: what was not asked for since the last turn is forgotten."""
+
+    def __init__(self, most: int = MOST):
+        self.new, self.old, self.most = {}, {}, most // 2
+
+    def get(self, key: str):
+        value = self.new.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
+        if len(key) <= LONGEST:
+            if len(self.new) >= self.most:
+                self.old, self.new = self.new, {}
+            self.new[key] = value
+
+
 class Memo(dict):
-    """piece -> what ``make`` gives for ' ' + piece; forgets all when full, so its memory is bounded."""
+    """piece -> what ``make`` gives for ' ' + piece; as Recent, but a plain dict while it is read."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = MOST):
         super().__init__()
-        self.make = make
+        self.make, self.old, self.most = make, {}, most // 2
 
     def __missing__(self, piece: str):
-        value = self.make(" " + piece)
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(" " + piece)
         if len(piece) <= LONGEST:
-            if len(self) >= MOST:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = value
         return value

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, exact_dedup
+from panelwright.llm import bpe, decontaminate, exact_dedup, token_records
 
 QUERIES = {
+    "op1_token_records": token_records.op1,
+    "op2_decontaminate": decontaminate.op2,
     "op6_bpe_round_trip": bpe.op6,
     "op9_exact_dedup": exact_dedup.op9,
 }
 
 ORACLE_SQL = {
+    "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
