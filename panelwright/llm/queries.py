@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, token_records
+from panelwright.llm import bpe, decontaminate, exact_dedup, simhash, token_records
 
 QUERIES = {
     "op1_token_records": token_records.op1,
     "op2_decontaminate": decontaminate.op2,
+    "op5_simhash": simhash.op5,
     "op6_bpe_round_trip": bpe.op6,
     "op9_exact_dedup": exact_dedup.op9,
 }
