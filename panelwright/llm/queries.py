@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, simhash, token_records
+from panelwright.llm import bpe, decontaminate, exact_dedup, simhash, token_records, warc
 
 QUERIES = {
     "op1_token_records": token_records.op1,
     "op2_decontaminate": decontaminate.op2,
+    "op3_warc": warc.op3,
     "op5_simhash": simhash.op5,
     "op6_bpe_round_trip": bpe.op6,
     "op9_exact_dedup": exact_dedup.op9,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_warc": warc.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -49,7 +49,7 @@ class AtomicFile:
         self.fs, path = open_store(folder)
         self.fs.create_dir(path, recursive=True)
         self.final, self.temp = f"{path}/{name}", f"{path}/_{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temp)
+        self.out = self.fs.open_output_stream(self.temp, compression=None)
 
     def write(self, data: bytes) -> None:
         self.out.write(data)

@@ -139,14 +139,14 @@ def read_records(spark: SparkSession, index: DataFrame) -> DataFrame:
         bases.append((shard, path, total))
         total += n
     todo = spark.createDataFrame(bases, "shard int, path string, base long")
-    todo = todo.repartition(max(1, len(bases)), "shard") if bases else todo
+    todo = todo.repartitionByRange(len(bases), "shard") if bases else todo  # a file a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 store, name = open_store(path)
                 rows: list[tuple] = []
-                with store.open_input_stream(name, buffer_size=1 << 20) as stream:
+                with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as stream:
                     for payload in frames(stream, path):
                         doc_id, ids = parse(payload)
                         rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
