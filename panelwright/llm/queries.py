@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, simhash, token_records, warc
+from panelwright.llm import bpe, decontaminate, exact_dedup, language, simhash, token_records, warc
 
 QUERIES = {
     "op1_token_records": token_records.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc": warc.op3,
     "op5_simhash": simhash.op5,
     "op6_bpe_round_trip": bpe.op6,
+    "op8_language": language.op8,
     "op9_exact_dedup": exact_dedup.op9,
 }
 
