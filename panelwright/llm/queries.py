@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, language, simhash, token_records, warc
+from panelwright.llm import bpe, decontaminate, exact_dedup, language, pii, simhash, token_records, url_filter, warc
 
 QUERIES = {
     "op1_token_records": token_records.op1,
     "op2_decontaminate": decontaminate.op2,
     "op3_warc": warc.op3,
+    "op4_pii": pii.op4,
     "op5_simhash": simhash.op5,
     "op6_bpe_round_trip": bpe.op6,
     "op8_language": language.op8,
     "op9_exact_dedup": exact_dedup.op9,
+    "op10_url_filter": url_filter.op10,
 }
 
 ORACLE_SQL = {
