@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.storage import stored
+
 SLOTS = 4
 MAX_KICKS = 200
 
@@ -182,6 +184,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, without the rows whose text another row keeps; of rows that repeat a kept doc_id one stays, rows without doc_id all do."""
+    verdicts = stored(exact_dedup(docs), "exact-verdicts")
+    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    twice = stored(verdicts.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("twice")).count().where("count > 1").select("twice"), "repeated")
+    if twice.isEmpty():
+        return left
+    again = left["doc_id"] == F.col("twice")
+    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+
+
 STATE = "shard int, buckets long, cells binary, keys array<binary>, sizes array<long>, live array<long>"
 
 

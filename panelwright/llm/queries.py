@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, language, pii, simhash, token_records, url_filter, warc
+from panelwright.llm import bpe, decontaminate, exact_dedup, html_extract, language, pii, simhash, token_records, url_filter, warc
 
 QUERIES = {
     "op1_token_records": token_records.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.op4,
     "op5_simhash": simhash.op5,
     "op6_bpe_round_trip": bpe.op6,
+    "op7_html_extract": html_extract.op7,
     "op8_language": language.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_url_filter": url_filter.op10,

@@ -331,7 +331,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with all its columns; of each group of similar rows the one with the smallest doc_id stays."""
-    go = similar_groups(docs.where("doc_id IS NOT NULL"), shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    go = stored(similar_groups(docs.where("doc_id IS NOT NULL"), shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "similar")
     return docs.join(go, docs["doc_id"] == F.col("gone"), "left_anti")
 
 
