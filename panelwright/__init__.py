@@ -1 +1 @@
-""""""
+"""Panel time-series analytics on Spark DataFrames."""

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
+MODULES = ("features",)
 
 
 def query(name: str, sql: str | None = None):
@@ -20,9 +22,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"panelwright.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
