@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.storage import stored
 
+#: Tables of a round are written in files of about so many rows, so that small ones don't cost a task a shuffle partition.
+ROWS_A_FILE = 500_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for each node of ``links`` (a, b: long); root is the smallest node that can be reached.
@@ -15,12 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder, so nothing is computed twice and lost executors cost one round at most.
     """
     both = stored(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")).withColumn("moved", F.lit(True)), "roots")
+    files = -(-both.count() // ROWS_A_FILE) or 1
+    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")).withColumn("moved", F.lit(True))
+    roots = stored(roots.coalesce(files), "roots")
     while not roots.where("moved").isEmpty():
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("best"))
         mine = roots.select("node", F.col("root").alias("was"))
         step = mine.join(near, "node").select("node", "was", F.least("was", "best").alias("to"))
         jump = roots.select(F.col("node").alias("to"), F.col("root").alias("far"))
-        new = step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("root"), (F.least("to", F.coalesce("far", "to")) != F.col("was")).alias("moved"))
-        roots = stored(new, "roots")
+        root = F.least("to", F.coalesce("far", "to"))
+        new = step.join(jump, "to", "left").select("node", root.alias("root"), (root != F.col("was")).alias("moved"))
+        roots = stored(new.coalesce(files), "roots")
     return roots.select("node", "root")
