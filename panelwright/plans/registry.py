@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("features", "windows_splits")
+MODULES = ("features", "windows_splits", "metrics")
 
 
 def query(name: str, sql: str | None = None):
