@@ -145,15 +145,15 @@ def label_smoothing(spark, sf_dir):
 def _pair_loss(name, sql, column):
     @query(name, f"WITH {_PAIR} SELECT sample_id, {rr(sql)} AS loss FROM t")
     def run(spark, sf_dir):
-        return _pairs(spark, sf_dir).select("sample_id", r(column).alias("loss"))
+        return _pairs(spark, sf_dir).select("sample_id", r(column()).alias("loss"))
 
 
-_pair_loss("huber", "CASE WHEN abs(pred - target) <= 1 THEN (pred - target) * (pred - target) / 2 ELSE abs(pred - target) - 0.5::DOUBLE END", Z.huber("pred", "target"))
-_pair_loss("log_cosh", "abs(pred - target) + ln(1 + exp(-2 * abs(pred - target))) - ln(2)", Z.log_cosh("pred", "target"))
-_pair_loss("mse_loss", "(pred - target) * (pred - target)", Z.squared("pred", "target"))
+_pair_loss("huber", "CASE WHEN abs(pred - target) <= 1 THEN (pred - target) * (pred - target) / 2 ELSE abs(pred - target) - 0.5::DOUBLE END", lambda: Z.huber("pred", "target"))
+_pair_loss("log_cosh", "abs(pred - target) + ln(1 + exp(-2 * abs(pred - target))) - ln(2)", lambda: Z.log_cosh("pred", "target"))
+_pair_loss("mse_loss", "(pred - target) * (pred - target)", lambda: Z.squared("pred", "target"))
 _MU = "greatest(exp(pred), 1e-8)"
-_pair_loss("tweedie", f"greatest(target, 0) * 2 / sqrt({_MU}) + 2 * sqrt({_MU})", Z.tweedie("pred", "target"))
-_pair_loss("tweedie_deviance", f"2 * (-4 * sqrt(greatest(target, 0)) + greatest(target, 0) * 2 / sqrt({_MU}) + 2 * sqrt({_MU}))", Z.tweedie_deviance("pred", "target"))
+_pair_loss("tweedie", f"greatest(target, 0) * 2 / sqrt({_MU}) + 2 * sqrt({_MU})", lambda: Z.tweedie("pred", "target"))
+_pair_loss("tweedie_deviance", f"2 * (-4 * sqrt(greatest(target, 0)) + greatest(target, 0) * 2 / sqrt({_MU}) + 2 * sqrt({_MU}))", lambda: Z.tweedie_deviance("pred", "target"))
 
 
 @query("masked_loss", f"WITH {_PAIR} SELECT {rr('avg((pred - target) * (pred - target)) FILTER (WHERE sample_id % 3 <> 0)')} AS mse, {rr('avg(abs(pred - target) + ln(1 + exp(-2 * abs(pred - target))) - ln(2)) FILTER (WHERE sample_id % 3 <> 0)')} AS log_cosh FROM t")
