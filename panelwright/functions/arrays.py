@@ -10,6 +10,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once a row, however often f reads it; inside lambdas nothing else stops it from being computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def steps(n: Column | int) -> Column:
     """0, 1, ... n - 1; empty for n < 1."""
     n = n if isinstance(n, Column) else F.lit(n)
@@ -67,17 +72,18 @@ def argmin_first(x: Column | str) -> Column:
 
 def softmax(logits: Column | str, temperature: float | Column = 1.0) -> Column:
     t = F.greatest(temperature if isinstance(temperature, Column) else F.lit(float(temperature)), F.lit(1e-6))
-    z = col(logits)
-    top = F.array_max(z)
-    e = F.transform(z, lambda v: F.exp((v - top) / t))
-    sum_ = total(F.transform(z, lambda v: F.exp((v - top) / t)))
-    return F.transform(e, lambda v: v / sum_)
+    powers = lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp((v - top) / t)))
+    return let(col(logits), lambda z: let(powers(z), lambda e: let(total(e), lambda s: F.transform(e, lambda v: v / s))))
 
 
 def lerp(x: Column | str, n: Column | int, kernel: str = "ends") -> Column:
     """Linear resampling to ``n`` steps. ``ends``: first and last fall on first and last. ``short``: step t reads t / n (L - 1), which never reaches the last."""
     x = col(x)
     n = (n if isinstance(n, Column) else F.lit(n)).cast("int")
+    return let(x, lambda x: let(n, lambda n: _lerp(x, n, kernel)))
+
+
+def _lerp(x: Column, n: Column, kernel: str) -> Column:
     top = F.size(x) - 1
 
     def value(t: Column) -> Column:
@@ -93,23 +99,26 @@ def lookup(x: Column | str, src: Column) -> Column:
     """Linear look-up at a fractional place, clamped to the series."""
     x = col(x)
     top = F.size(x) - 1
-    p = F.greatest(F.lit(0.0), F.least(src, top.cast("double")))
-    lo = F.floor(p).cast("int")
-    return F.get(x, lo) * (1 - (p - lo)) + F.get(x, F.least(lo + 1, top)) * (p - lo)
+
+    def value(p: Column) -> Column:
+        lo = F.floor(p).cast("int")
+        return F.get(x, lo) * (1 - (p - lo)) + F.get(x, F.least(lo + 1, top)) * (p - lo)
+
+    return let(F.greatest(F.lit(0.0), F.least(src, top.cast("double"))), value)
 
 
 def roll(x: Column | str, k: Column | int) -> Column:
     """Circular shift: step t reads t - k."""
     x = col(x)
     k = k if isinstance(k, Column) else F.lit(k)
-    return F.transform(x, lambda v, t: F.get(x, F.pmod(t - k, F.size(x)).cast("int")))
+    return let(k, lambda k: F.transform(x, lambda v, t: F.get(x, F.pmod(t - k, F.size(x)).cast("int"))))
 
 
 def shift(x: Column | str, k: Column | int, fill: float = 0.0) -> Column:
     """Shift by k steps; cells that open up get ``fill``."""
     x = col(x)
     k = k if isinstance(k, Column) else F.lit(k)
-    return F.transform(x, lambda v, t: F.when((t - k >= 0) & (t - k < F.size(x)), F.get(x, (t - k).cast("int"))).otherwise(F.lit(fill)))
+    return let(k, lambda k: F.transform(x, lambda v, t: F.when((t - k >= 0) & (t - k < F.size(x)), F.get(x, (t - k).cast("int"))).otherwise(F.lit(fill))))
 
 
 def pad(x: Column | str, n: int | Column, value: float = 0.0, side: str = "post") -> Column:
@@ -122,29 +131,27 @@ def pad(x: Column | str, n: int | Column, value: float = 0.0, side: str = "post"
 
 def weighted(x: Column | str, weights: list[float], normalise: str) -> Column:
     """Centred weighted window. At the edges the sum is divided by the weights inside (``inside``) or scaled by absolute weights (``absolute``)."""
-    x = col(x)
-    half, n = len(weights) // 2, F.size(x)
+    half = len(weights) // 2
     w = F.array(*[F.lit(float(v)) for v in weights])
     whole = sum(abs(v) for v in weights)
 
-    def value(v: Column, t: Column) -> Column:
+    def value(x: Column, t: Column) -> Column:
+        n = F.size(x)
         k = F.filter(F.sequence(F.lit(0), F.lit(len(weights) - 1)), lambda j: (t - half + j >= 0) & (t - half + j < n))
         s = F.aggregate(k, F.lit(0.0), lambda a, j: a + F.get(x, t - half + j) * F.get(w, j))
         d = F.aggregate(k, F.lit(0.0), lambda a, j: a + F.abs(F.get(w, j)))
         return s / d * (whole if normalise == "absolute" else 1.0)
 
-    return F.transform(x, value)
+    return let(col(x), lambda x: F.transform(x, lambda v, t: value(x, t)))
 
 
 def running_mean(x: Column | str, window: int) -> Column:
     """Mean of the window t - w/2 ... t - w/2 + w - 1 as far as it lies inside the series."""
-    x = col(x)
     half = window // 2
 
-    def value(v: Column, t: Column) -> Column:
+    def mean(x: Column, t: Column) -> Column:
         lo = F.greatest(t - half, F.lit(0))
         hi = F.least(t - half + window, F.size(x))
-        part = F.slice(x, lo + 1, hi - lo)
-        return F.aggregate(part, F.lit(0.0), lambda a, u: a + u) / (hi - lo)
+        return F.aggregate(F.slice(x, lo + 1, hi - lo), F.lit(0.0), lambda a, u: a + u) / (hi - lo)
 
-    return F.transform(x, value)
+    return let(col(x), lambda x: F.transform(x, lambda v, t: mean(x, t)))

@@ -13,10 +13,8 @@ def _c(x) -> Column:
 
 
 def log_softmax(logits: Column | str) -> Column:
-    z = _c(logits)
-    top = F.array_max(z)
-    lse = F.log(F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))) + top
-    return F.transform(z, lambda v: v - lse)
+    lse = lambda z: A.let(F.array_max(z), lambda top: F.log(F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))) + top)
+    return A.let(_c(logits), lambda z: A.let(lse(z), lambda s: F.transform(z, lambda v: v - s)))
 
 
 def cross_entropy(logits, label) -> Column:
