@@ -62,7 +62,7 @@ class RankArrayBpe:
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.known = Recent()
-        self.memo = Memo(self.of_piece)
+        self.memo = Memo(self.of_part)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: ``parts`` has the token that begins at each boundary, ``ranks`` the rank of it with the next."""
@@ -118,9 +118,9 @@ class RankArrayBpe:
         of_word = self.of_word
         return list(chain.from_iterable(of_word(w) for w in self.words.findall(text)))
 
-    def of_piece(self, piece: str) -> list[int]:
-        """As of_plain for ' ' + a piece without spaces; most pieces are words and need no pattern."""
-        return list(chain.from_iterable(self.of_word(a) if a.isalpha() or a[1:].isalpha() or len(a) == 1 else self.of_plain(a) for a in atoms(piece)))
+    def of_part(self, part: str) -> list[int]:
+        """As of_plain for a part of pieces(); most are words and need no pattern."""
+        return list(chain.from_iterable(self.of_word(a) if len(a) == 1 or a[1:].isalpha() and (a[0] == " " or a[0].isalpha()) else self.of_plain(a) for a in atoms(part)))
 
     def encode(self, text: str) -> list[int]:
         if parts := pieces(text):

@@ -9,30 +9,38 @@ from __future__ import annotations
 
 import re
 
-_RUN = re.compile(r"\s | \s")
+#: White space other than the space and the line feed.
+_OTHER = re.compile(r"[^\S \n]")
+_LINES = re.compile("\n+")
+_SIGNED = re.compile(r"( ?[^\W\d_]+)([!-/:-@\[-`{-~]+)")
 #: Pieces longer than this are encoded but not remembered; so many pieces are remembered at once.
 LONGEST, MOST = 48, 300_000
 
 
 def pieces(text: str) -> list[str] | None:
-    """Pieces without the space that each but the first begins with; None if the text can't be cut so."""
-    if _RUN.search(text) or "<|" in text or text[:1] == " " or text[-1:] == " ":
+    """Pieces without the space that each but the first begins with, or with the line breaks that they begin with; None if the text can't be cut so."""
+    if "  " in text or " \n" in text or "\n " in text or "<|" in text or text[:1] == " " or text[-1:] == " " or _OTHER.search(text):
         return None
+    if "\n" in text:
+        text = _LINES.sub(r" \g<0>", text)
     return text.split(" ")
 
 
-def atoms(piece: str) -> list[str]:
-    """A piece with its space, cut further where the pattern certainly cuts: before a last sign and around a line break."""
-    body, last = piece[1:-1], piece[-1]
-    if body.isalpha():
-        if last.isalpha():
-            return [piece]
-        if last in ".,":
-            return [piece[:-1], last]
-    head, line, tail = piece.partition("\n")
-    if line and tail and len(head) > 1 and not head[-1].isspace() and not tail[0].isspace():
-        return [*atoms(head), line, tail]
-    return [piece]
+def restored(piece: str) -> str:
+    """The part of the text that a piece after the first stands for."""
+    return piece if piece[:1] == "\n" else " " + piece
+
+
+def atoms(part: str) -> list[str]:
+    """A part cut further where the pattern certainly cuts: after one line break, and between letters and the signs that end it."""
+    if part[0] == "\n" and len(part) > 1 and not part[1].isspace():
+        return ["\n", *atoms(part[1:])]
+    if part.isalpha() or part[1:].isalpha():
+        return [part]
+    found = _SIGNED.fullmatch(part)
+    if found and found[1].lstrip(" ").isalpha():
+        return [found[1], found[2]]
+    return [part]
 
 
 class Recent:
@@ -55,7 +63,7 @@ class Recent:
 
 
 class Memo(dict):
-    """piece -> what ``make`` gives for ' ' + piece; as Recent, but a plain dict while it is read."""
+    """piece -> what ``make`` gives for the part it stands for; bounded as Recent, but a plain dict while it is read."""
 
     def __init__(self, make, most: int = MOST):
         super().__init__()
@@ -64,10 +72,13 @@ class Memo(dict):
     def __missing__(self, piece: str):
         value = self.old.get(piece)
         if value is None:
-            value = self.make(" " + piece)
+            value = self.make(restored(piece))
         if len(piece) <= LONGEST:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
+            self.turn()
             self[piece] = value
         return value
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()

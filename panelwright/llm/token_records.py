@@ -17,6 +17,7 @@ no shards and no rows; other columns of the input are ignored. A damaged frame r
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import vocabulary_path
-from panelwright.llm.pieces import Memo, Recent, atoms, pieces
+from panelwright.llm.pieces import LONGEST, Memo, Recent, atoms, pieces, restored
 from panelwright.llm.storage import AtomicFile, open_store, scratch, stored
 
 #: Fixed value: the constant of the usual masked-checksum formula.
@@ -74,8 +75,8 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.words = Recent()
-        self.memo = Memo(lambda piece: b"".join(self.words.get(a) or self.many([a])[0] for a in atoms(piece)))
+        self.others = Recent(60_000)  # parts without a space before them
+        self.memo = Memo(lambda part: self.many([part])[0], 600_000)
 
     def many(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width == 2 else "I"
@@ -83,15 +84,46 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Whole texts; what is not remembered of them goes through the library in one batch."""
+        gc.disable()  # nothing here makes cycles, and looking for them costs a tenth of the time
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
-        unseen = {p for p in set(chain.from_iterable(c[1:] for c in cut if c)) if p not in self.memo and p not in self.memo.old}
-        words = [a for a in {a for p in unseen for a in atoms(" " + p)} if self.words.get(a) is None]
+        memo, old = self.memo, self.memo.old
+        memo.turn()
+        unseen = []
+        for piece in set(chain.from_iterable([c[1:] for c in cut if c])):
+            if piece not in memo:
+                if (ids := old.get(piece)) is not None:
+                    memo[piece] = ids
+                else:
+                    unseen.append((piece, atoms(restored(piece))))
+        fresh, words = {}, []
+        for a in {a for _, parts in unseen for a in parts}:
+            ids = (memo.get(a[1:]) or old.get(a[1:])) if a[0] == " " else self.others.get(a)
+            if ids is None:
+                words.append(a)
+            else:
+                fresh[a] = ids
         whole = [c[0] if c else t for t, c in zip(texts, cut, strict=True)]
         done = self.many(words + whole)
         for word, ids in zip(words, done, strict=False):
-            self.words.put(word, ids)
-        get = self.memo.__getitem__
-        return [head + b"".join(map(get, c[1:])) if c else head for head, c in zip(done[len(words) :], cut, strict=True)]
+            fresh[word] = ids
+            if word[0] != " ":
+                self.others.put(word, ids)
+            elif len(word) <= LONGEST:
+                memo[word[1:]] = ids
+        for piece, parts in unseen:
+            memo[piece] = fresh[parts[0]] if len(parts) == 1 else b"".join([fresh[a] for a in parts])
+        get = memo.__getitem__
+        out = [head + b"".join(map(get, c[1:])) if c else head for head, c in zip(done[len(words) :], cut, strict=True)]
+        for piece, _ in unseen:
+            if len(piece) > LONGEST:
+                del memo[piece]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -99,6 +131,16 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def chunks(ids: list, texts: list[str | None], most: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
+    """The rows in parts of about ``most`` characters; a longer text is a part of its own."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size > most or i == len(texts) - 1:
+            yield ids[at : i + 1], [t or "" for t in texts[at : i + 1]]
+            at, size = i + 1, 0
+
+
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Write the shards of ``docs`` under ``folder`` and return the index, itself written beside them."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -112,10 +154,9 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sh
         for batch in batches:
             if batch.num_rows and out is None:
                 out = AtomicFile(f"{folder}/records", name)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, places, counts = part.column("doc_id").to_pylist(), [], []
-                for doc_id, body in zip(ids, enc.encode([t or "" for t in part.column("text").to_pylist()]), strict=True):
+            for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                places, counts = [], []
+                for doc_id, body in zip(ids, enc.encode(texts), strict=True):
                     places.append(out.tell())
                     counts.append(len(body) // enc.width + 1)
                     out.write(frame(struct.pack("<q", NO_ID if doc_id is None else doc_id) + width + body + end))
