@@ -64,10 +64,14 @@ def _to_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "gram": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
 
-def _top(counts: DataFrame, key: str, most: int) -> list:
-    """The most frequent keys with their counts by language."""
-    each = counts.groupBy(key, "lang").agg(F.sum("n").alias("n")).groupBy(key).agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("total"))
-    return each.where("total > 1").orderBy(F.desc("total"), key).limit(most).select(key, "by").collect()
+def _top(counts: DataFrame, key: str, most: int, languages: list[str]) -> tuple[list, np.ndarray]:
+    """The most frequent keys, and for each a row of log frequencies by language, less their mean."""
+    by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
+    each = counts.groupBy(key).agg(*by, F.sum("n").alias("total")).where("total > 1").orderBy(F.desc("total"), key).limit(most)
+    found = each.drop("total").toArrow()
+    n = np.column_stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))]).astype(float)
+    log = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * len(n) + 1))
+    return found.column(key).to_pylist(), (log - log.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, rows_per_language: int = 3000, words: int = 100_000, grams: int = 100_000) -> dict:
@@ -75,23 +79,18 @@ def fit(labelled: DataFrame, rows_per_language: int = 3000, words: int = 100_000
     rows = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
-        return {"languages": [], "words": {}, "grams": {}}
+        return {"languages": [], "words": ([], np.zeros((0, 1), np.float32)), "grams": ([], np.zeros((0, 1), np.float32))}
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, min(1.0, rows_per_language / n)).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
     counted = sample.dropDuplicates(["lang", "text"]).select("lang", "text").mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     languages = sorted(sizes)
-    tables = {"words": _top(counted, "word", words), "grams": _top(counted.mapInArrow(_to_grams, "lang string, gram string, n long"), "gram", grams)}
-    model: dict = {"languages": languages}
-    for kind, found in tables.items():
-        n = np.zeros((len(found), len(languages)))
-        for i, (_, by) in enumerate(found):
-            for lang, k in by:
-                n[i, languages.index(lang)] = k
-        log = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * len(found) + 1))
-        model[kind] = {(bytes(key) if kind == "words" else key): row for (key, _), row in zip(found, (log - log.mean(axis=1, keepdims=True)).astype(np.float32), strict=True)}
-    return model
+    return {
+        "languages": languages,
+        "words": _top(counted, "word", words, languages),
+        "grams": _top(counted.mapInArrow(_to_grams, "lang string, gram string, n long"), "gram", grams, languages),
+    }
 
 
 class Scorer(dict):
@@ -99,10 +98,10 @@ class Scorer(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.languages, self.grams, self.known = model["languages"], model["grams"], model["words"]
-        self.table = np.zeros((len(self.known) + REMEMBERED, max(1, len(self.languages))), np.float32)
-        for i, (word, row) in enumerate(self.known.items()):
-            self[word], self.table[i] = i, row
+        self.languages, (self.known, known_rows), (grams_, self.gram_rows) = model["languages"], model["words"], model["grams"]
+        self.grams = {g: i for i, g in enumerate(grams_)}
+        self.table = np.concatenate([known_rows, np.zeros((REMEMBERED, known_rows.shape[1]), np.float32)])
+        self.update((w, i) for i, w in enumerate(self.known))
         self.free = len(self.known)
 
     def __missing__(self, word: bytes) -> int:
@@ -125,7 +124,7 @@ class Scorer(dict):
         for order in ORDERS:
             rows = [r for g in grams(word, order) if (r := self.grams.get(g)) is not None]
             if rows:
-                return sum(rows) / len(rows)
+                return self.gram_rows[rows].mean(axis=0)
         return np.zeros(self.table.shape[1], np.float32)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
