@@ -11,9 +11,11 @@ of n copies gives n - 1 links, never all pairs. Components come from a loop of j
 so six keys of two parts hold every link. A block beyond ``LARGE`` is cut by two of four 8-bit parts of
 the rest (again exact), after which it can hold 65,536 different fingerprints at most.
 
-``similar_groups`` serves shingle similarity instead (five words, 0.8 by default): 512-bit fingerprints
-inside blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are cut by pairs of
-minima, and what is still larger is compared in tasks of two chunks each.
+``similar_groups`` serves shingle similarity instead (five words, 0.8 by default), the share of different
+shingles that two texts have in common: 512-bit fingerprints only filter, inside
+blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are cut by pairs of minima, and
+what is still larger is compared in tasks of two chunks each. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
+and a link is kept where the exact similarity of its two sets is high enough.
 
 Edge cases: null and empty texts have no shingle and fingerprint zero, linked like any other; fewer words
 than a shingle make one shingle; repeated rows and ties share a component; a null doc_id never names a
@@ -22,8 +24,11 @@ component unless its whole group has none; other columns of the input are ignore
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +41,32 @@ from panelwright.llm.storage import stored
 SEED = 42
 LARGE = 16_384
 LANES = np.uint64(0x0101010101010101)
-#: 512-bit fingerprints: radius in bits for a shingle similarity of 0.8, from the angle acos(2s/(1+s)) plus 1.8 standard deviations.
 WIDE = 512
 
 
+def _share(n: int, m: int, both: int) -> float:
+    """Probability that a bit differs in the fingerprints of two sets of n and m shingles that have ``both`` in common."""
+    up = lambda size, ones, rest: sum(comb(rest, x) for x in range(rest + 1) if 2 * (ones + x) > size) / 2**rest
+    p = 0.0
+    for ones in range(both + 1):
+        a, b = up(n, ones, n - both), up(m, ones, m - both)
+        p += comb(both, ones) / 2**both * (a * (1 - b) + b * (1 - a))
+    return p
+
+
+@lru_cache
 def wide_radius(similarity: float) -> int:
+    """Bits in which 512-bit fingerprints of sets of ``similarity`` may differ: the mean plus four deviations.
+
+    The mean follows from the angle acos(2s/(1+s)); in small sets ties make it larger, so those are counted out.
+    """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + 1.8 * np.sqrt(WIDE * share * (1 - share)))
+    for n in range(1, 17):
+        for m in range(n, min(17, int(n / similarity) + 1)):
+            both = next(c for c in range(n + 1) if c / (n + m - c) >= similarity or c == n)
+            if both / (n + m - both) >= similarity:
+                share = max(share, _share(n, m, both))
+    return int(WIDE * share + 4 * np.sqrt(WIDE * share * (1 - share)))
 
 
 def shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,6 +312,12 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 MINIMA = 6
 
 
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The different shingle hashes of each text in ascending order."""
+    hashes, counts = shingle_hashes(texts, size)
+    return [np.unique(x) for x in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, fp: 512 bits, minima: the least of six hashes over the shingles)."""
 
@@ -305,27 +335,171 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, minima array<long>")
 
 
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles: the shingle set as bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _chunks(batches):
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array([x.tobytes() for x in shingle_sets(texts, shingle)], pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the different shingles that both sets have; two empty sets are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same / (len(both) - same)
+
+
+def alike_links(fps: list[bytes], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs within ``radius`` bits whose sets have ``similarity``.
+
+    Each pair in the radius is compared unless it is in one tree already; the members with most links are tried first.
+    """
+    root, members = list(range(len(fps))), [1 << i for i in range(len(fps))]
+    degree, hubs = [0] * len(fps), []
+    links: list[tuple[int, int]] = []
+    block = BitSlices(fps) if len(fps) >= 12 else None
+    numbers = [] if block else [int.from_bytes(f, "little") for f in fps]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i in range(1, len(fps)):
+        near = block.within(i, radius, (1 << i) - 1) if block else sum(1 << j for j in range(i) if (numbers[i] ^ numbers[j]).bit_count() <= radius)
+        first = [h for h in hubs if near >> h & 1]
+        while near:
+            j = first.pop() if first else (near & -near).bit_length() - 1
+            if not near >> j & 1:
+                continue
+            small, big = sorted((len(sets[i]), len(sets[j])))
+            if small < similarity * big * (1 - 1e-9) or jaccard(sets[i], sets[j]) < similarity:
+                near ^= 1 << j
+                continue
+            links.append((i, j))
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+            members[a] |= members[b]
+            members[b] = 0
+            near &= ~members[a]
+            degree[j] += 1
+            if j not in hubs:
+                hubs.append(j)
+            hubs.sort(key=degree.__getitem__)
+            del hubs[:-8]
+    return links
+
+
+GROUPS = "group long, key long, id long, fp binary"
+
+
+def _loose_groups(rows: DataFrame, radius: int, large: int, halves: bool = False) -> DataFrame:
+    """Rows (group, id, fp) of the members of blocks that are joined by pairs within ``radius``; rows of blocks over ``large`` come back with their key instead.
+
+    Equal sets of members have one group, whatever blocks they come from. With ``halves`` rows carry side 0 or 1,
+    and only members of different sides are compared.
+    """
+    side = ["side"] if halves else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, fps, first, spilled = None, [], [], 0, False
+        found: list[tuple] = []
+
+        def close() -> None:
+            if len(ids) < 2 or spilled or (halves and not 0 < first < len(ids)):
+                return
+            tree: dict[int, list[int]] = {}
+            for i, j in forest(fps, radius, first if halves else 0):
+                few, many = sorted((tree.get(i, [i]), tree.get(j, [j])), key=len)
+                many += few
+                tree.update(dict.fromkeys([*few, i, j], many))
+            for who in {id(x): x for x in tree.values()}.values():
+                name = hashlib.blake2b(b",".join(b"%d" % x for x in sorted(ids[i] for i in who)), digest_size=8).digest()
+                found.extend((int.from_bytes(name, "little", signed=True), None, ids[i], fps[i]) for i in who)
+
+        for batch in batches:
+            for k, i, f, *s in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "fp", *side)), strict=True):
+                if k != key:
+                    close()
+                    key, ids, fps, first, spilled = k, [], [], 0, False
+                ids.append(i)
+                fps.append(f)
+                if halves and not s[0]:
+                    first += 1
+                if len(ids) > large:
+                    spilled = True
+                if spilled:
+                    found.extend((None, key, a, b) for a, b in zip(ids, fps, strict=True))
+                    ids, fps = [], []
+                if len(found) > 5000:
+                    yield _grouped(found)
+                    found.clear()
+        close()
+        yield _grouped(found)
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", *side, "id")
+    return dealt.select("key", "id", "fp", *side).mapInArrow(run, GROUPS)
+
+
+def _grouped(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("group", "key", "id", "fp"), columns, kinds, strict=True)})
+
+
+def _alike(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) of rows (group, id, fp, shingles) whose sets have ``similarity``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, fps, sets = None, [], [], []
+
+        def close() -> pa.RecordBatch:
+            links = alike_links(fps, sets, radius, similarity)
+            return pa.RecordBatch.from_pydict({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+
+        for batch in batches:
+            for g, i, f, x in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "fp", "shingles")), strict=True):
+                if g != group:
+                    yield close()
+                    group, ids, fps, sets = g, [], [], []
+                ids.append(i)
+                fps.append(f)
+                sets.append(np.frombuffer(x, np.uint64))
+        yield close()
+
+    dealt = rows.repartition("group").sortWithinPartitions("group", "id")
+    return dealt.select("group", "id", "fp", "shingles").mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
-    """(doc_id, component_id) of the rows that have a partner of ``similarity`` or more, as the fingerprints estimate it. doc_id must not be null."""
+    """(doc_id, component_id) of the rows that have a partner of ``similarity`` or more. doc_id must not be null."""
     radius = wide_radius(similarity)
     base = stored(sketches(docs, shingle), "sketches").withColumnRenamed("doc_id", "id")
     minima = [F.get("minima", F.lit(i)) for i in range(MINIMA)]
-    first = stored(_block_links(_spread(base, minima), radius, large), "blocks")
-    links, rest = first.where("a IS NOT NULL").select("a", "b"), first.where("id IS NOT NULL").select("id").distinct()
+    first = stored(_loose_groups(_spread(base, minima), radius, large), "blocks")
+    loose, rest = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("id").distinct()
     if not rest.isEmpty():
         twice = [F.xxhash64(F.lit(i), minima[i], F.lit(j), minima[j]) for i, j in _pairs(MINIMA)]
-        second = stored(_block_links(_spread(base.join(rest, "id"), twice), radius, large), "blocks")
-        links = links.union(second.where("a IS NOT NULL").select("a", "b"))
-        left = second.where("id IS NOT NULL").select("key", "id", "fp")
-        if not left.isEmpty():
-            size = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (large // 2)).cast("int").alias("chunks"))
-            dealt = left.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")))
-            both = dealt.select("id", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-            lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-            across = both.where("mine <> other").select("id", "fp", F.xxhash64("key", lo, hi).alias("key"), (F.col("mine") == hi).cast("int").alias("side"))
-            alone = both.where("mine = other").select("id", "fp", F.xxhash64("key", "mine").alias("key"))
-            for part in (_block_links(across, radius, 1 << 30, halves=True), _block_links(alone, radius, 1 << 30)):
-                links = links.union(part.where("a IS NOT NULL").select("a", "b"))
+        second = stored(_loose_groups(_spread(base.join(rest, "id"), twice), radius, large), "blocks")
+        loose = loose.union(second.where("group IS NOT NULL").select("group", "id", "fp"))
+        left = second.where("key IS NOT NULL").select("key", "id", "fp")
+        size = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (large // 2)).cast("int").alias("chunks"))
+        dealt = left.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")))
+        both = dealt.select("id", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+        across = both.where("mine <> other").select("id", "fp", F.xxhash64("key", lo, hi).alias("key"), (F.col("mine") == hi).cast("int").alias("side"))
+        alone = both.where("mine = other").select("id", "fp", F.xxhash64("key", "mine").alias("key"))
+        for part in (_loose_groups(across, radius, 1 << 30, halves=True), _loose_groups(alone, radius, 1 << 30)):
+            loose = loose.union(part.select("group", "id", "fp"))
+    loose = stored(loose.distinct(), "loose")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(loose.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = _sets(texts, shingle)
+    links = _alike(loose.join(sets, "id"), radius, similarity)
     return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 

@@ -104,6 +104,32 @@ def test_similar_groups_find_near_copies(spark, large):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def plain_similar(rows, similarity=0.8):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for _, t in rows)]
+    alike = lambda a, b: len(a & b) / len(a | b) >= similarity
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    roots = groups(range(len(rows)), linked)
+    return {rows[i][0]: rows[roots[i]][0] for i in {i for pair in linked for i in pair}}
+
+
+def test_similar_groups_against_brute_force(spark):
+    r = random.Random(21)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for changes in range(12, 42):  # one copy each, at a similarity of 0.9 down to 0.7
+        w = words(1200)
+        c = list(w)
+        for k in range(changes):
+            c[29 * k + 3] = "new" + str(k)
+        texts += [w, c]
+    for n in range(1, 12):
+        w = words(n)
+        texts += [w, w + words(1), words(1) + w]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs(spark, rows)).collect()}
+    assert got == plain_similar(rows) and 20 < len(got) < len(rows) - 20
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}
