@@ -12,7 +12,7 @@ so six keys of two parts hold every link. A block beyond ``LARGE`` is cut by two
 the rest (again exact), after which it can hold 65,536 different fingerprints at most.
 
 ``similar_groups`` serves shingle similarity instead (five words, 0.8 by default), the share of different
-shingles that two texts have in common: 512-bit fingerprints only filter, inside
+shingles that two texts have in common: 512-bit fingerprints of the different shingles only filter, inside
 blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are cut by pairs of minima, and
 what is still larger is compared in tasks of two chunks each. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
 and a link is kept where the exact similarity of its two sets is high enough.
@@ -319,11 +319,12 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp: 512 bits, minima: the least of six hashes over the shingles)."""
+    """(doc_id, fp: 512 bits, minima: the least of six hashes) over the different shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
-            hashes, counts = shingle_hashes(texts, shingle)
+            sets = shingle_sets(texts, shingle)
+            hashes, counts = np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
             fp = np.stack([majority(_mixed(hashes, k), counts) for k in range(WIDE // 64)], axis=1)
             least, some = np.zeros((len(ids), MINIMA), np.uint64), np.flatnonzero(counts)
             if len(some):

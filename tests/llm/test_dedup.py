@@ -130,6 +130,18 @@ def test_similar_groups_against_brute_force(spark):
     assert got == plain_similar(rows) and 20 < len(got) < len(rows) - 20
 
 
+def test_similar_groups_count_a_repeated_shingle_once(spark):
+    r = random.Random(22)
+    words = lambda n: ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line, texts = words(40), []
+    for _ in range(20):
+        texts += [line * 100 + words(300), words(300)]
+        texts.append(texts[-1] + texts[-1][:20] * 50)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = plain_similar(rows)
+    assert len(want) == 40 and {x.doc_id: x.component_id for x in simhash.similar_groups(docs(spark, rows)).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}
