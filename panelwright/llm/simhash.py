@@ -13,8 +13,8 @@ the rest (again exact), after which it can hold 65,536 different fingerprints at
 
 ``similar_groups`` serves shingle similarity instead (five words, 0.8 by default), the share of different
 shingles that two texts have in common: 512-bit fingerprints of the different shingles only filter, inside
-blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are cut by pairs of minima, and
-what is still larger is compared in tasks of two chunks each. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
+blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are compared in tasks of two
+chunks each. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
 and a link is kept where the exact similarity of its two sets is high enough.
 
 Edge cases: null and empty texts have no shingle and fingerprint zero, linked like any other; fewer words
@@ -483,12 +483,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     base = stored(sketches(docs, shingle), "sketches").withColumnRenamed("doc_id", "id")
     minima = [F.get("minima", F.lit(i)) for i in range(MINIMA)]
     first = stored(_loose_groups(_spread(base, minima), radius, large), "blocks")
-    loose, rest = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("id").distinct()
-    if not rest.isEmpty():
-        twice = [F.xxhash64(F.lit(i), minima[i], F.lit(j), minima[j]) for i, j in _pairs(MINIMA)]
-        second = stored(_loose_groups(_spread(base.join(rest, "id"), twice), radius, large), "blocks")
-        loose = loose.union(second.where("group IS NOT NULL").select("group", "id", "fp"))
-        left = second.where("key IS NOT NULL").select("key", "id", "fp")
+    loose, left = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("key", "id", "fp")
+    if not left.isEmpty():
         size = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (large // 2)).cast("int").alias("chunks"))
         dealt = left.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")))
         both = dealt.select("id", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))

@@ -142,6 +142,19 @@ def test_similar_groups_count_a_repeated_shingle_once(spark):
     assert len(want) == 40 and {x.doc_id: x.component_id for x in simhash.similar_groups(docs(spark, rows)).collect()} == want
 
 
+def test_similar_groups_in_large_blocks_with_one_equal_minimum(spark, monkeypatch):
+    r = random.Random(23)
+    ids = list(range(60))
+    prints = {i: r.getrandbits(512) for i in ids[::2]}
+    prints |= {i + 1: f ^ (1 << r.randrange(512)) for i, f in prints.items()}
+    marked = [(i, prints[i].to_bytes(64, "little"), [7, *(100 * i + k for k in range(5))]) for i in ids]
+    sketch = spark.createDataFrame(marked, "doc_id long, fp binary, minima array<long>")
+    monkeypatch.setattr(simhash, "sketches", lambda docs, shingle: sketch)
+    rows = [(i, f"the words of pair {i // 2} are these") for i in ids]
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs(spark, rows), large=8).collect()}
+    assert got == {i: i - i % 2 for i in ids}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}
