@@ -4,7 +4,8 @@ A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII.
 words of a benchmark item; an item of fewer words, but not none, is one window. The set of windows is
 broadcast while it is within ``BROADCAST_WINDOWS``; each text is scanned once for runs of words that all
 occur in the benchmark, candidates are found by hash and verified word by word. A benchmark beyond that
-bound is matched by a shuffled join of window hashes instead, verified the same way.
+bound is matched by a shuffled join of the windows themselves instead; its rows are named by doc_id and
+SHA-256 of the text, so null and repeated doc_ids are judged as in a broadcast.
 
 Edge cases: a null text has no words; items with null id or no words have no windows; items with equal
 windows are all named; repeated rows are judged each; an empty benchmark hits nothing; other columns of
@@ -145,31 +146,38 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     return rows.mapInArrow(run, FOUND)
 
 
-def _joined(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """The same without a broadcast: document windows meet benchmark windows by their words in a join."""
+def _hits(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """(h_doc, h_key, at, n, item_id): documents' windows of n words from word ``at`` that are the benchmark's, by a join of their words."""
     sizes = sorted({r[0] for r in windows(benchmark, size).select(F.size(F.split(F.col("gram").cast("string"), " "))).distinct().collect()})  # at most ``size`` rows
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), _raw(batch), strict=True):
-                w, key = words(text), hashlib.blake2b(text, digest_size=16).digest()
+                w, key = words(text), hashlib.sha256(text).digest()
                 out = [(i, n, b" ".join(w[i : i + n])) for n in sizes for i in range(len(w) - n + 1)]
                 for lo in range(0, len(out), 20_000):
                     at, n, gram = zip(*out[lo : lo + 20_000], strict=True)
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * len(at), pa.int64()), "text_key": pa.array([key] * len(at), pa.binary()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64()), "gram": pa.array(gram, pa.binary())})
 
+    at = rows.dropDuplicates().mapInArrow(spread, "doc_id long, text_key binary, at long, n long, gram binary")
+    found = at.join(windows(benchmark, size), "gram")
+    return found.select(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key"), "at", "n", "item_id")
+
+
+def _joined(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """``contamination`` without a broadcast."""
+
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = _raw(batch)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_key": pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in raw], pa.binary()), "n_words": pa.array([len(words(t)) for t in raw], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_key": pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()), "n_words": pa.array([len(words(t)) for t in raw], pa.int64())})
 
-    at = rows.dropDuplicates().mapInArrow(spread, "doc_id long, text_key binary, at long, n long, gram binary")
-    found = at.join(windows(benchmark, size), "gram")
-    key = [F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key")]
+    found, key = _hits(rows, benchmark, size), ["h_doc", "h_key"]
     hit = found.select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("word")).distinct().groupBy("h_doc", "h_key").agg(F.count(F.lit(1)).alias("hits"))
     items = found.select(*key, "item_id").distinct().groupBy("h_doc", "h_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     all_rows = rows.mapInArrow(base, "doc_id long, text_key binary, n_words long")
-    both = hit.join(items, ["h_doc", "h_key"])
+    items = items.withColumnsRenamed({"h_doc": "i_doc", "h_key": "i_key"})
+    both = hit.join(items, F.expr("h_doc <=> i_doc AND h_key = i_key"))
     n_hit, names = F.coalesce("hits", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return all_rows.join(both, F.expr("doc_id <=> h_doc AND text_key = h_key"), "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
@@ -201,12 +209,8 @@ def _cut(text: bytes, mask: np.ndarray) -> bytes:
 
 def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> DataFrame:
     grams = small_windows(benchmark, size)
-    if grams is None and spans:
-        raise ValueError("cutting spans needs a benchmark of at most BROADCAST_WINDOWS windows; remove whole documents instead")
     if grams is None:
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        hit = _joined(rows, benchmark, size).where("contaminated").select(F.col("doc_id").alias("hit_doc"))
-        return docs.join(hit, docs["doc_id"] == F.col("hit_doc"), "left_anti")
+        return _cleaned_by_join(docs, benchmark, size, spans)
     sent = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,6 +229,32 @@ def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> D
     return docs.mapInArrow(run, docs.schema)
 
 
+def _cleaned_by_join(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> DataFrame:
+    hits = _hits(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, size)
+    text_key = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("h_doc")) & (text_key == F.col("h_key"))
+    if not spans:
+        return docs.join(hits.select("h_doc", "h_key").distinct(), same, "left_anti")
+    where = hits.groupBy("h_doc", "h_key").agg(F.collect_set(F.struct("at", "n")).alias("h_spans"))
+
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index("text")
+            text = batch.column(place).to_pylist()
+            for i, (raw, found) in enumerate(zip(_raw(batch), batch.column("h_spans").to_pylist(), strict=True)):
+                if found:
+                    mask = np.zeros(len(words(raw)), bool)
+                    for hit in found:
+                        mask[hit["at"] : hit["at"] + hit["n"]] = True
+                    text[i] = _cut(raw, mask).decode("utf-8", "replace")
+            cut = batch.set_column(place, batch.schema.field(place), pa.array(text, batch.schema.field(place).type))
+            yield cut.select(names)
+
+    return docs.join(where, same, "left").select(*[docs[c] for c in names], "h_spans").mapInArrow(run, docs.schema)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -49,6 +49,21 @@ def test_spans_are_cut(spark):
     assert decontaminate.contamination(docs(spark, [(1, "a")]), empty).first().n_hit == 0
 
 
+@pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 1])
+def test_cleaning_with_null_and_repeated_ids(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
+    bench = spark.createDataFrame([(1, "one two three"), (2, "two three four"), (3, "x y")], "item_id long, text string")
+    rows = [(None, "Say: One, two three! four ok"), (None, "fine"), (5, "a X/y b"), (5, "clean"), (5, "a X/y b"), (6, None), (None, None)]
+    table = docs(spark, rows)
+    clean = decontaminate.remove_contaminated(table, bench)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([rows[i] for i in (1, 3, 5, 6)], key=str) and clean.schema == table.schema
+    cut = decontaminate.remove_spans(table, bench)
+    want = [(None, "Say: ,  !  ok"), rows[1], (5, "a / b"), rows[3], (5, "a / b"), rows[5], rows[6]]
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(want, key=str) and cut.columns == table.columns
+    judged = [(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.contamination(table, bench).collect()]
+    assert sorted(judged, key=str) == sorted([(None, 4, 2), (None, 0, 0), (5, 2, 1), (5, 0, 0), (5, 2, 1), (6, 0, 0), (None, 0, 0)], key=str)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ b", "x"), (5, None, "x"), (3, "u", None), (4, "u", ""), (9, "u", "é" * 5000), (None, "n", "x"), (None, "n", "only"), (2, "u", "x")]
     pages = spark.createDataFrame([(a, b, c, "r") for a, b, c in rows], "page_id long, url string, html string, record_type string")
