@@ -185,15 +185,23 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, without the rows whose text another row keeps; of rows that repeat a kept doc_id one stays, rows without doc_id all do."""
+    """``docs`` with all its columns, one row of each set of equal texts: one with the kept doc_id, or any where none has a doc_id."""
     verdicts = stored(exact_dedup(docs), "exact-verdicts")
-    gone = verdicts.where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
-    twice = stored(verdicts.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("twice")).count().where("count > 1").select("twice"), "repeated")
-    if twice.isEmpty():
-        return left
-    again = left["doc_id"] == F.col("twice")
-    return left.join(twice, again, "left_anti").unionByName(left.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    upper = "".join(map(chr, range(0x41, 0x5B)))
+    text_key = F.sha2(F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), upper, upper.lower()), 256)
+    keyed = docs.withColumn("exact_text_key", text_key)
+
+    def same(rows: DataFrame):
+        return keyed["doc_id"].cast("long").eqNullSafe(rows["v_doc"]) & (keyed["exact_text_key"] == rows["v_key"])
+
+    named = verdicts.select(F.col("doc_id").alias("v_doc"), F.col("text_sha256").alias("v_key"), "kept")
+    gone = named.where("NOT kept").select("v_doc", "v_key").distinct()
+    left = keyed.join(gone, same(gone), "left_anti")
+    twice = stored(named.where("kept").groupBy("v_doc", "v_key").count().where("count > 1").select("v_doc", "v_key"), "repeated")
+    if not twice.isEmpty():
+        once = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "exact_text_key"])
+        left = left.join(twice, same(twice), "left_anti").unionByName(once)
+    return left.drop("exact_text_key")
 
 
 STATE = "shard int, buckets long, cells binary, keys array<binary>, sizes array<long>, live array<long>"

@@ -38,6 +38,15 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_keep_one_with_null_and_reused_ids(spark):
+    rows = [(5, "A"), (5, "B"), (9, "a"), (7, "C"), (7, "D"), (7, "c"), (None, "D"), (None, "É"), (None, "É"), (None, "é"), (None, None), (3, "")]
+    table = docs(spark, rows)
+    got = exact_dedup.keep_one(table)
+    assert got.schema == table.schema
+    kept = [(r.doc_id, (r.text or "").replace("C", "c")) for r in got.collect()]
+    assert sorted(kept, key=str) == sorted([(5, "B"), (9, "a"), (7, "c"), (7, "D"), (None, "É"), (None, "é"), (3, "")], key=str)
+
+
 def test_index_over_batches(spark):
     first = exact_dedup.update_index(None, docs(spark, [(1, "a"), (2, "b"), (3, "A")]), shards=4)
     second = exact_dedup.update_index(first, docs(spark, [(4, "c")]), docs(spark, [(2, "b"), (1, "a")]), shards=4)
