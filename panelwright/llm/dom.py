@@ -7,7 +7,11 @@ from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never running text.
-SKIPPED = frozenset("head title script style noscript template svg math iframe object canvas audio video select textarea button datalist map".split())
+SKIPPED = frozenset("head title script style template svg iframe canvas audio video select textarea button datalist map".split())
+#: Those of them that end at their own end tag only, and those that may stand inside each other.
+RAW, NESTED = frozenset("title script style iframe textarea".split()), frozenset("template svg".split())
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("head title script style template base basefont bgsound link meta noscript html".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption html body legend".split())
 #: A start tag ends an open element of these, unless one of the second set stands between.
@@ -64,6 +68,9 @@ class Tree(HTMLParser):
         self.links = 0
         self.words: list[str] = []
         self.linked = 0
+        self.html, self.lines = html, [0]
+        for m in re.finditer("\n", html):
+            self.lines.append(m.end())
         self.feed(html)
         self.close()
         self.flush()
@@ -98,19 +105,26 @@ class Tree(HTMLParser):
                 break
         return 0
 
+    def ends(self, tag: str) -> bool:
+        """Whether the element of the current start tag has an end tag: after it, and before the next start tag unless these may nest."""
+        line, column = self.getpos()
+        tags = re.compile(("</" if tag in NESTED else "</?") + tag + r"(?=[\s/>])", re.IGNORECASE)
+        m = tags.search(self.html, self.lines[line - 1] + column + 1)
+        return m is not None and m[0][1] == "/"
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "body" or self.skip == ["head"] and tag not in IN_HEAD:
+            self.skip.clear()
         if self.skip:
-            if tag in SKIPPED and tag not in VOID:
+            if self.skip[-1] not in RAW and (tag in RAW or tag in BLOCK - VOID or tag in SKIPPED and self.ends(tag)):
                 self.skip.append(tag)
             return
         if tag in SKIPPED:
-            if tag == "head" or tag not in VOID:
+            if tag == "head" or tag in RAW or self.ends(tag):
                 self.skip.append(tag)
             return
         if tag in ("html", "body"):
             self.nodes[0].hints |= hints_of(attrs) & {"content"}
-            if tag == "body":
-                self.skip.clear()
             return
         if tag == "br":
             self.words.append(" ")
@@ -139,9 +153,12 @@ class Tree(HTMLParser):
             if tag in self.skip:
                 while self.skip.pop() != tag:
                     pass
-            elif tag in ("body", "html"):
+                return
+            if tag in ("body", "html"):
                 self.skip.clear()
-            return
+            if tag not in BLOCK or self.skip and self.skip[-1] in RAW or not self.last((tag,), ()):
+                return
+            self.skip.clear()  # the end of a block around it ends what is skipped
         if tag in VOID or tag in ("html", "body"):
             return
         stop = () if tag in BLOCK else BLOCK
@@ -149,6 +166,8 @@ class Tree(HTMLParser):
             self.shut(at)
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and data.strip():
+            self.skip.clear()
         if not self.skip:
             self.words.append(data)
             if self.links:

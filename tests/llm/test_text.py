@@ -142,6 +142,25 @@ def test_html_extraction(spark):
     assert got[1].text == "A & B\n\nOne two.\n\nThree four five six." and got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == ""
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<head><title>t</title><body><p>One.</p>", "One."),
+        ("<head><title>t</title><meta x><p>One.</p></body>", "One."),
+        ("<head><title>t</title>One.", "One."),
+        ("<head><noscript></noscript><style>p{}</style></head><p>One.", "One."),
+        ("<head><title>t</title><svg><path/></svg><div>One.</div>", "One."),
+        *((f"<div><p>One.</p><{t}>in</div><div>Two.</div></body>", "One. in Two.") for t in ("button", "select", "map", "video", "svg")),
+        ("<ul><li>One.<button>in</li><li>Two.<button>x</button></li></ul>", "One.in Two."),
+        ("<div><button>in</div><p>One.</p><div></button>Two.</div>", "One. Two."),
+        ("<div><button><div>in</div>x</button>One.</div><select><option>x</select>Two.", "One. Two."),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p><object>One.</object><noscript><p>Two.</p></noscript></article>", "Let x be. One. Two."),
+    ],
+)
+def test_unclosed_elements_swallow_no_text(html, want):
+    assert " ".join(n.text for n in Tree(html).nodes if n.tag == "text") == want
+
+
 def test_messages_equal_enumeration():
     import itertools
 
