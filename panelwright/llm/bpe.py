@@ -18,11 +18,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.pieces import Memo, Recent, atoms, pieces
+from panelwright.llm.pieces import Recent, chunks, cut
 
 #: Fixed value: the published split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,8 +62,8 @@ class RankArrayBpe:
         self.merged = [vocab[a + b] for a, b in merges]
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.known = Recent()
-        self.memo = Memo(self.of_part)
+        self.memo = Recent(lambda parts: list(map(self.of_part, parts)), 300_000)
+        self.names = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: ``parts`` has the token that begins at each boundary, ``ranks`` the rank of it with the next."""
@@ -79,11 +80,8 @@ class RankArrayBpe:
         return parts
 
     def of_word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.long_word(word.encode()) if len(word) > 400 else self.merge(word.encode())
-            self.known.put(word, ids)
-        return ids
+        raw = word.encode()
+        return self.long_word(raw) if len(raw) > 400 else self.merge(raw)
 
     def long_word(self, word: bytes) -> list[int]:
         """The same merges where rescanning every rank would be quadratic: a heap of ranks over linked parts."""
@@ -119,13 +117,10 @@ class RankArrayBpe:
         return list(chain.from_iterable(of_word(w) for w in self.words.findall(text)))
 
     def of_part(self, part: str) -> list[int]:
-        """As of_plain for a part of pieces(); most are words and need no pattern."""
-        return list(chain.from_iterable(self.of_word(a) if len(a) == 1 or a[1:].isalpha() and (a[0] == " " or a[0].isalpha()) else self.of_plain(a) for a in atoms(part)))
+        """As of_plain for a part of cut(); most are words and need no pattern."""
+        return self.of_word(part) if part.isalpha() or part[:1] == " " and part[1:].isalpha() else self.of_plain(part)
 
     def encode(self, text: str) -> list[int]:
-        if parts := pieces(text):
-            head = self.of_plain(parts[0])
-            return head + list(chain.from_iterable(map(self.memo.__getitem__, parts[1:])))
         ids, at = [], 0
         for hit in self.special.finditer(text) if self.special else ():
             ids += self.of_plain(text[at : hit.start()])
@@ -133,6 +128,11 @@ class RankArrayBpe:
             at = hit.end()
         return ids + self.of_plain(text[at:])
 
+    def encode_many(self, texts: pa.Array) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+        """(each, index, first): the ids of text i are those of ``each`` numbered ``index[first[i] : first[i + 1]]``, one after another."""
+        entries, n_parts, index, first = cut(texts)
+        return self.memo.many(entries[:n_parts]) + list(map(self.encode, entries[n_parts:])), index, first
+
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -154,8 +154,10 @@ def encode_column(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+            for part in chunks(batch):
+                each, index, first = bpe.encode_many(part.column("text"))
+                ids = [list(chain.from_iterable(each[k] for k in index[a:b])) for a, b in zip(first, first[1:], strict=False)]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -176,20 +178,24 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        names = [str(i) for i in range(max(bpe.bytes_of) + 1)]
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for value in batch.column("text"):
-                ids = bpe.encode(value.as_py() or "")
-                raw = bpe.decode_bytes(ids)
-                try:
-                    raw.decode()
-                except UnicodeDecodeError:
-                    raw = raw.decode("utf-8", "replace").encode()
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
+            for part in chunks(batch):
+                each, index, first = bpe.encode_many(part.column("text"))
+                n = np.fromiter(map(len, each), np.int64, len(each))[index]
+                said = [b"".join([b"," + bpe.names[i] for i in ids]) for ids in each]
+                raw = [bpe.decode_bytes(ids) for ids in each]
+                ids_sha, text_sha = [], []
+                for a, b in zip(first, first[1:], strict=False):
+                    places = index[a:b].tolist()
+                    ids_sha.append(hashlib.sha256(b"".join(map(said.__getitem__, places))[1:]).hexdigest())
+                    text = b"".join(map(raw.__getitem__, places))
+                    try:
+                        text.decode()
+                    except UnicodeDecodeError:
+                        text = text.decode("utf-8", "replace").encode()
+                    text_sha.append(hashlib.sha256(text).hexdigest())
+                counts = np.diff(np.concatenate(([0], np.cumsum(n)))[first])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_tokens": pa.array(counts), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

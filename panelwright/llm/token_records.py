@@ -17,14 +17,12 @@ no shards and no rows; other columns of the input are ignored. A damaged frame r
 
 from __future__ import annotations
 
-import gc
 import os
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import vocabulary_path
-from panelwright.llm.pieces import LONGEST, Memo, Recent, atoms, pieces, restored
+from panelwright.llm.pieces import Recent, chunks, cut
 from panelwright.llm.storage import AtomicFile, open_store, scratch, stored
 
 #: Fixed value: the constant of the usual masked-checksum formula.
@@ -65,9 +63,9 @@ def frames(stream, where: str) -> Iterator[bytes]:
 
 
 class PieceEncoder:
-    """The tokenizers library behind a memory of pieces; ids come as little-endian bytes."""
+    """The tokenizers library behind a memory of pieces; ids of an entry come as little-endian bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -75,55 +73,23 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.others = Recent(60_000)  # parts without a space before them
-        self.memo = Memo(lambda part: self.many([part])[0], 600_000)
+        self.memo = Recent(self.many, remembered)
 
     def many(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.width == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Whole texts; what is not remembered of them goes through the library in one batch."""
-        gc.disable()  # nothing here makes cycles, and looking for them costs a tenth of the time
-        try:
-            return self._encode(texts)
-        finally:
-            gc.enable()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        memo, old = self.memo, self.memo.old
-        memo.turn()
-        unseen = []
-        for piece in set(chain.from_iterable([c[1:] for c in cut if c])):
-            if piece not in memo:
-                if (ids := old.get(piece)) is not None:
-                    memo[piece] = ids
-                else:
-                    unseen.append((piece, atoms(restored(piece))))
-        fresh, words = {}, []
-        for a in {a for _, parts in unseen for a in parts}:
-            ids = (memo.get(a[1:]) or old.get(a[1:])) if a[0] == " " else self.others.get(a)
-            if ids is None:
-                words.append(a)
-            else:
-                fresh[a] = ids
-        whole = [c[0] if c else t for t, c in zip(texts, cut, strict=True)]
-        done = self.many(words + whole)
-        for word, ids in zip(words, done, strict=False):
-            fresh[word] = ids
-            if word[0] != " ":
-                self.others.put(word, ids)
-            elif len(word) <= LONGEST:
-                memo[word[1:]] = ids
-        for piece, parts in unseen:
-            memo[piece] = fresh[parts[0]] if len(parts) == 1 else b"".join([fresh[a] for a in parts])
-        get = memo.__getitem__
-        out = [head + b"".join(map(get, c[1:])) if c else head for head, c in zip(done[len(words) :], cut, strict=True)]
-        for piece, _ in unseen:
-            if len(piece) > LONGEST:
-                del memo[piece]
-        return out
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of all texts, one after another, and where each text's begin."""
+        entries, n_parts, index, first = cut(texts)
+        each = self.memo.many(entries[:n_parts]) + self.many(entries[n_parts:])
+        ids = np.frombuffer(b"".join(each), f"<u{self.width}")
+        n = np.fromiter(map(len, each), np.int64, len(each)) // self.width
+        starts, counts = np.cumsum(n) - n, n[index]
+        ends = np.cumsum(counts)
+        place = np.repeat(starts[index] - (ends - counts), counts)
+        place += np.arange(len(place))
+        return ids[place], np.concatenate(([0], ends))[first]
 
 
 @lru_cache(maxsize=2)
@@ -131,16 +97,6 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def chunks(ids: list, texts: list[str | None], most: int = 8_000_000) -> Iterator[tuple[list, list[str]]]:
-    """The rows in parts of about ``most`` characters; a longer text is a part of its own."""
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size > most or i == len(texts) - 1:
-            yield ids[at : i + 1], [t or "" for t in texts[at : i + 1]]
-            at, size = i + 1, 0
-
-
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Write the shards of ``docs`` under ``folder`` and return the index, itself written beside them."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -154,13 +110,16 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sh
         for batch in batches:
             if batch.num_rows and out is None:
                 out = AtomicFile(f"{folder}/records", name)
-            for ids, texts in chunks(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                places, counts = [], []
-                for doc_id, body in zip(ids, enc.encode(texts), strict=True):
+            for part in chunks(batch):
+                ids, first = enc.encode(part.column("text"))
+                places, n = [], part.num_rows
+                for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     places.append(out.tell())
-                    counts.append(len(body) // enc.width + 1)
-                    out.write(frame(struct.pack("<q", NO_ID if doc_id is None else doc_id) + width + body + end))
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(ids), pa.int32()), "path": pa.array([f"{folder}/records/{name}"] * len(ids), pa.string()), "doc_id": pa.array(ids, pa.int64()), "at": pa.array(places, pa.int64()), "n_tokens": pa.array(counts, pa.int64())})
+                    out.write(frame(struct.pack("<q", NO_ID if doc_id is None else doc_id) + width + ids[first[i] : first[i + 1]].tobytes() + end))
+                yield pa.RecordBatch.from_pydict({
+                    "shard": pa.array([shard] * n, pa.int32()), "path": pa.array([f"{folder}/records/{name}"] * n, pa.string()),
+                    "doc_id": part.column("doc_id"), "at": pa.array(places, pa.int64()), "n_tokens": pa.array(np.diff(first) + 1),
+                })
         if out is not None:
             out.commit()
 

@@ -2,9 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelwright.llm import bpe, storage, token_records
+from panelwright.llm.pieces import cut
 
 tokenizers = pytest.importorskip("tokenizers")
 PATH = bpe.vocabulary_path()
@@ -22,13 +24,22 @@ def test_rank_array_equals_the_library():
     for text, e in zip(texts(), t.encode_batch(texts(), add_special_tokens=False), strict=True):
         assert own.encode(text) == e.ids, text
         assert own.decode(e.ids) == t.decode(e.ids, skip_special_tokens=False)
+    each, index, first = own.encode_many(pa.array(texts()))
+    for i, e in enumerate(t.encode_batch(texts(), add_special_tokens=False)):
+        assert [x for k in index[first[i] : first[i + 1]] for x in each[k]] == e.ids
+
+
+def test_texts_with_unusual_white_space_are_not_cut():
+    for c in filter(str.isspace, map(chr, range(0x11000))):
+        entries, n_parts, _, _ = cut(pa.array([f"a{c}b", "a b"]))
+        assert len(entries) - n_parts == (c not in " \n"), hex(ord(c))
 
 
 def test_piece_encoder_equals_the_library():
     t, own = tokenizers.Tokenizer.from_file(PATH), token_records.PieceEncoder(PATH)
     for _ in range(2):
-        got = own.encode(texts())
-        assert [list(np.frombuffer(g, "<u2")) for g in got] == [e.ids for e in t.encode_batch(texts(), add_special_tokens=False)]
+        ids, first = own.encode(pa.array([*texts(), None]))
+        assert [list(ids[a:b]) for a, b in zip(first, first[1:], strict=False)] == [*(e.ids for e in t.encode_batch(texts(), add_special_tokens=False)), []]
 
 
 def docs(spark):
