@@ -1,30 +1,37 @@
 """Exact deduplication with a cuckoo-filter index.
 
-Texts are equal when identical after lower-casing A-Z only. The key of a text is the SHA-256 of its
-normalised UTF-8 bytes. Spark groups whole normalised contents under their key (the bucketed content;
-copies are combined before the shuffle, so a group of any size sends one row per map task), and each
-shard of the index admits a key through its cuckoo filter: a miss is new for certain, a hit is verified
-against the contents stored under that key. Only counts and ids leave the content buckets.
+Texts are equal when identical after lower-casing A-Z only; the key of a text is the SHA-256 of its normalised
+UTF-8 bytes. Map tasks merge the copies that they hold at once (so a group of any size sends one row per
+``HELD_BYTES`` of distinct text), and contents are dealt into buckets by their key, as many as the total size
+asks for, so that a bucket's contents are small. Each bucket has a cuckoo-filter index: a miss of the filter
+is a new content for certain and enters filter and bucket; a hit is verified byte by byte against the contents
+stored under that key, and either joins one of them or is new; overflow rebuilds a larger filter from the
+stored keys. The groups are what the indexes hold at the end. ``update_index`` keeps the same index as a
+table of live contents, from which deletions take copies back.
 
 Edge cases: a null text counts as empty; an empty table gives an empty result; rows that repeat a doc_id
-with the same text share one verdict and both count in group_size; other columns of the input are ignored.
+with the same text share one verdict and both count in group_size; in a group without any doc_id keep_id is
+null and its rows are kept; other columns of the input are ignored (``keep_one`` keeps them).
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.storage import stored
 
 SLOTS = 4
 MAX_KICKS = 200
+#: Distinct text that a map task holds while it merges copies, and text of a bucket on average.
+HELD_BYTES, BUCKET_BYTES = 32 << 20, 8 << 20
 
 
 class CuckooFilter:
@@ -84,97 +91,156 @@ class CuckooFilter:
 
 
 class CuckooIndex:
-    """One shard: the filter in front of the stored keys with their content length and live count."""
+    """One bucket: the filter in front of the stored contents by key, each with its live count and largest doc_id."""
 
     def __init__(self, buckets: int = 64):
         self.filter, self.live, self.hits, self.false_hits = CuckooFilter(buckets), {}, 0, 0
 
-    def add(self, key: bytes, n_bytes: int, count: int = 1) -> bool:
-        """True if the content is new. A hit of the filter is checked against the stored contents."""
-        content = (key, n_bytes)
-        if self.filter.may_hold(key):
-            self.hits += 1
-            if content in self.live:
-                self.live[content] += count
-                return False
-            self.false_hits += 1
-        self.live[content] = count
+    def find(self, key: bytes, content: bytes) -> list | None:
+        """The entry of a content that the filter may hold; a hit is checked against the stored contents."""
+        if not self.filter.may_hold(key):
+            return None
+        self.hits += 1
+        for entry in self.live.get(key, ()):
+            if entry[0] == content:
+                return entry
+        self.false_hits += 1
+        return None
+
+    def add(self, key: bytes, content: bytes, n: int = 1, keep_id: int | None = None) -> bool:
+        """True if the content is new."""
+        if entry := self.find(key, content):
+            entry[1] += n
+            entry[2] = _larger(entry[2], keep_id)
+            return False
+        self.live.setdefault(key, []).append([content, n, keep_id])
         if not self.filter.put(key):
             self.resize()
         return True
 
-    def remove(self, key: bytes, n_bytes: int, count: int = 1) -> bool:
-        """Take back live copies; with the last one the key leaves filter and store. False if it was unknown."""
-        content = (key, n_bytes)
-        if not self.filter.may_hold(key) or content not in self.live:
+    def remove(self, key: bytes, content: bytes, n: int = 1) -> bool:
+        """Take back live copies; with the last one the content leaves filter and store. False if it was unknown."""
+        entry = self.find(key, content)
+        if not entry:
             return False
-        self.live[content] -= count
-        if self.live[content] <= 0:
-            del self.live[content]
+        entry[1] -= n
+        if entry[1] <= 0:
+            self.live[key].remove(entry)
             self.filter.drop(key)
+            if not self.live[key]:
+                del self.live[key]
         return True
 
-    def holds(self, key: bytes, n_bytes: int) -> bool:
-        return self.filter.may_hold(key) and (key, n_bytes) in self.live
-
     def resize(self) -> None:
         """Rebuild from the stored keys at twice the size, again while they overflow."""
         buckets = (self.filter.mask + 1) * 2
         while True:
             larger = CuckooFilter(buckets)
-            if all(larger.put(key) for key, _ in self.live):
+            if all(larger.put(key) for key, entries in self.live.items() for _ in entries):
                 self.filter = larger
                 return
             buckets *= 2
 
 
-def _texts(batch: pa.RecordBatch) -> pa.Array:
-    return pc.ascii_lower(pc.fill_null(batch.column("text"), ""))
+def _larger(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return pc.ascii_lower(pc.fill_null(batch.column("text"), "")).cast(pa.binary()).to_pylist()
+
+
+CONTENTS = "key binary, content binary, n long, keep_id long"
+
+
+def _contents(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(("key", "content", "n", "keep_id"), columns, kinds, strict=True)})
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents with the number of copies and the largest doc_id of a map task, given on whenever ``HELD_BYTES`` are held."""
+    held: dict[bytes, list] = {}
+    size = 0
 
+    def flush() -> pa.RecordBatch:
+        return _contents([(hashlib.sha256(c).digest(), c, n, i) for c, (n, i) in held.items()])
+
+    for batch in batches:
+        for content, doc_id in zip(_texts(batch), batch.column("doc_id").to_pylist(), strict=True):
+            if found := held.get(content):
+                found[0] += 1
+                found[1] = _larger(found[1], doc_id)
+                continue
+            held[content] = [1, doc_id]
+            size += len(content) + 100
+            if size > HELD_BYTES:
+                yield flush()
+                held.clear()
+                size = 0
+    yield flush()
+
+
+def contents(docs: DataFrame) -> DataFrame:
+    """(key, content, n, keep_id): the normalised texts, copies merged by map tasks."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(_merged, CONTENTS)
+
+
+def _buckets(*tables: DataFrame) -> int:
+    """How many buckets the total size of the texts (or contents) asks for."""
+    total = 0
+    for t in tables:
+        size = F.octet_length("content" if "content" in t.columns else F.col("text").cast("string"))
+        total += t.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return max(1, total // BUCKET_BYTES)
+
+
+def _indexed(rows: DataFrame, buckets: int) -> DataFrame:
+    """The live contents after an index a bucket took in ``rows`` (CONTENTS) and then took back those of negative n."""
 
-def _keyed(content: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, index = None, CuckooIndex()
+
+        def close() -> pa.RecordBatch:
+            return _contents([(key, *entry) for key, entries in index.live.items() for entry in entries])
+
         for batch in batches:
-            norm = _texts(batch)
-            raw = norm.cast(pa.binary())
-            keys = pa.array([hashlib.sha256(x).digest() for x in raw.to_pylist()], pa.binary())
-            size = pc.binary_length(raw).cast(pa.int64())
-            columns = {"doc_id": batch.column("doc_id"), "key": keys, "n_bytes": size}
-            if content:
-                columns["content"] = raw
-            yield pa.RecordBatch.from_pydict(columns)
+            for bucket, key, content, n, keep_id in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "content", "n", "keep_id")), strict=True):
+                if bucket != at:
+                    yield close()
+                    at, index = bucket, CuckooIndex()
+                if n > 0:
+                    index.add(key, content, n, keep_id)
+                else:
+                    index.remove(key, content, -n)
+        yield close()
 
-    return run
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    dealt = rows.select(bucket, "key", "content", "n", "keep_id").repartition("bucket").sortWithinPartitions("bucket", F.col("n") < 0)
+    return dealt.mapInArrow(run, CONTENTS)
 
 
 def content_groups(docs: DataFrame) -> DataFrame:
-    """One row (key, n_bytes, n, keep_id) per distinct content; whole contents are compared by the grouping."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = rows.mapInArrow(_keyed(True), "doc_id long, key binary, n_bytes long, content binary")
-    return (
-        keyed.groupBy("key", "n_bytes", "content")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
-        .select("key", "n_bytes", "n", "keep_id")
-    )
+    """One row (key, n_bytes, n, keep_id) per distinct content, as the indexes hold them."""
+    found = _indexed(contents(docs), _buckets(docs))
+    return found.select("key", F.octet_length("content").cast("long").alias("n_bytes"), "n", "keep_id")
 
 
-def _admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        new = [index.add(k, b, n) for k, b, n in zip(*(batch.column(c).to_pylist() for c in ("key", "n_bytes", "n")), strict=True)]
-        yield batch.append_column("admitted", pa.array(new, pa.bool_()))
-
-
-def admitted_groups(docs: DataFrame) -> DataFrame:
-    """Content groups after their shard's index took them in, keys spread evenly whatever the group sizes."""
-    return content_groups(docs).repartition(F.col("key")).mapInArrow(_admit, "key binary, n_bytes long, n long, keep_id long, admitted boolean")
+        raw = _texts(batch)
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "key": pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), "n_bytes": pa.array(list(map(len, raw)), pa.int64()),
+        })
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = rows.mapInArrow(_keyed(False), "doc_id long, key binary, n_bytes long").alias("d")
-    groups = admitted_groups(docs).where("admitted").alias("g")
+    keyed = rows.mapInArrow(_keyed, "doc_id long, key binary, n_bytes long").alias("d")
+    groups = content_groups(docs).alias("g")
     return keyed.join(groups, (F.col("d.key") == F.col("g.key")) & (F.col("d.n_bytes") == F.col("g.n_bytes"))).select(
         F.col("d.doc_id"),
         F.col("g.keep_id"),
@@ -184,78 +250,56 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def normalised_sha256(text: Column) -> Column:
+    upper = "".join(map(chr, range(0x41, 0x5B)))
+    return F.sha2(F.translate(F.coalesce(text.cast("string"), F.lit("")), upper, upper.lower()), 256)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, one row of each set of equal texts: one with the kept doc_id, or any where none has a doc_id."""
+    """``docs`` with all its columns, one row of each set of equal texts: one with the kept doc_id, or any where none has a doc_id.
+
+    Rows are named by doc_id and text, so null and repeated doc_ids lose no text.
+    """
     verdicts = stored(exact_dedup(docs), "exact-verdicts")
-    upper = "".join(map(chr, range(0x41, 0x5B)))
-    text_key = F.sha2(F.translate(F.coalesce(docs["text"].cast("string"), F.lit("")), upper, upper.lower()), 256)
-    keyed = docs.withColumn("exact_text_key", text_key)
+    key, v_doc, v_key = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "doc", "text"))
+    keyed = docs.withColumn(key, normalised_sha256(docs["text"]))
 
     def same(rows: DataFrame):
-        return keyed["doc_id"].cast("long").eqNullSafe(rows["v_doc"]) & (keyed["exact_text_key"] == rows["v_key"])
+        return keyed["doc_id"].cast("long").eqNullSafe(rows[v_doc]) & (keyed[key] == rows[v_key])
 
-    named = verdicts.select(F.col("doc_id").alias("v_doc"), F.col("text_sha256").alias("v_key"), "kept")
-    gone = named.where("NOT kept").select("v_doc", "v_key").distinct()
+    named = verdicts.select(F.col("doc_id").alias(v_doc), F.col("text_sha256").alias(v_key), "kept")
+    gone = named.where("NOT kept").select(v_doc, v_key).distinct()
     left = keyed.join(gone, same(gone), "left_anti")
-    twice = stored(named.where("kept").groupBy("v_doc", "v_key").count().where("count > 1").select("v_doc", "v_key"), "repeated")
+    twice = stored(named.where("kept").groupBy(v_doc, v_key).count().where("count > 1").select(v_doc, v_key), "repeated")
     if not twice.isEmpty():
-        once = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "exact_text_key"])
+        once = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", key])
         left = left.join(twice, same(twice), "left_anti").unionByName(once)
-    return left.drop("exact_text_key")
+    return left.drop(key)
 
 
-STATE = "shard int, buckets long, cells binary, keys array<binary>, sizes array<long>, live array<long>"
+def update_index(state: DataFrame | None, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """The live contents (key, content, n, keep_id) after inserting one set of documents and deleting another; ``state`` is a former result or None.
 
-
-def _with_keys(docs: DataFrame, shards: int, sign: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = rows.mapInArrow(_keyed(False), "doc_id long, key binary, n_bytes long")
-    return keyed.groupBy("key", "n_bytes").agg((sign * F.count(F.lit(1))).alias("n")).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-
-
-def update_index(state: DataFrame | None, added: DataFrame, removed: DataFrame | None = None, shards: int = 64) -> DataFrame:
-    """The index after inserting one set of documents and deleting another; ``state`` is a former result or None.
-
-    Shards are a fixed hash of the key, so raise ``shards`` with the expected number of distinct texts.
+    The result may be written and used as ``state`` later; buckets are dealt anew by the size of all. keep_id
+    is the largest doc_id ever inserted for a content that is still live. Taking back an unknown text does nothing.
     """
-    import pandas as pd
-
-    changes = _with_keys(added, shards, 1)
+    rows, tables = contents(added), [added]
     if removed is not None:
-        changes = changes.unionByName(_with_keys(removed, shards, -1))
-    if state is None:
-        state = added.sparkSession.createDataFrame([], STATE)
-
-    def apply(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        index = CuckooIndex()
-        for row in old.itertuples():
-            index.filter = CuckooFilter(row.buckets, row.cells)
-            index.live = dict(zip(zip(map(bytes, row.keys), row.sizes, strict=True), row.live, strict=True))
-        for row in new.sort_values("n", ascending=False).itertuples():
-            (index.add if row.n > 0 else index.remove)(bytes(row.key), row.n_bytes, abs(row.n))
-        contents = list(index.live)
-        return pd.DataFrame({"shard": [int(key[0])], "buckets": [index.filter.mask + 1], "cells": [index.filter.cells.tobytes()], "keys": [[k for k, _ in contents]], "sizes": [[b for _, b in contents]], "live": [list(index.live.values())]})
-
-    return state.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(apply, STATE)
-
+        rows = rows.union(contents(removed).withColumn("n", -F.col("n")))
+        tables.append(removed)
+    if state is not None:
+        rows = rows.union(state.select("key", "content", "n", "keep_id"))
+        tables.append(state)
+    return _indexed(rows, _buckets(*tables))
 
-def seen_before(state: DataFrame, docs: DataFrame, shards: int = 64) -> DataFrame:
-    """doc_id and whether the index holds a live copy of its text."""
-    import pandas as pd
 
+def seen_before(state: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id of each row and whether the index holds a live copy of its text."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = rows.mapInArrow(_keyed(False), "doc_id long, key binary, n_bytes long")
-    contents = keyed.select("key", "n_bytes").distinct().withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-
-    def probe(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        index = CuckooIndex()
-        for row in old.itertuples():
-            index.filter = CuckooFilter(row.buckets, row.cells)
-            index.live = dict.fromkeys(zip(map(bytes, row.keys), row.sizes, strict=True), 1)
-        return pd.DataFrame({"key": new.key, "n_bytes": new.n_bytes, "seen": [index.holds(bytes(k), b) for k, b in zip(new.key, new.n_bytes, strict=True)]})
-
-    found = state.groupBy("shard").cogroup(contents.groupBy("shard")).applyInPandas(probe, "key binary, n_bytes long, seen boolean")
-    return keyed.join(found, ["key", "n_bytes"]).select("doc_id", "seen")
+    keyed = rows.mapInArrow(_keyed, "doc_id long, key binary, n_bytes long")
+    held = _indexed(state.select("key", "content", "n", "keep_id"), _buckets(state))
+    live = held.select(F.col("key").alias("of"), F.octet_length("content").cast("long").alias("size"))
+    return keyed.join(live, (keyed.key == live.of) & (keyed.n_bytes == live.size), "left").select("doc_id", F.col("of").isNotNull().alias("seen"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -19,12 +19,52 @@ def docs(spark, rows):
 def test_cuckoo_index_inserts_deletes_and_grows():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     index = CuckooIndex(4)
-    assert all(index.add(k, 1) for k in keys) and not any(index.add(k, 1) for k in keys)
-    assert index.filter.mask > 512 and all(index.holds(k, 1) for k in keys) and not index.holds(keys[0], 2)
+    assert all(index.add(k, b"x") for k in keys) and not any(index.add(k, b"x") for k in keys)
+    assert index.filter.mask > 512 and all(index.find(k, b"x") for k in keys) and not index.find(keys[0], b"y")
     for k in keys[::2]:
-        assert index.remove(k, 1) and index.holds(k, 1) and index.remove(k, 1)
-    assert not any(index.holds(k, 1) for k in keys[::2]) and all(index.holds(k, 1) for k in keys[1::2])
-    assert not index.remove(keys[0], 1)
+        assert index.remove(k, b"x") and index.find(k, b"x") and index.remove(k, b"x")
+    assert not any(index.find(k, b"x") for k in keys[::2]) and all(index.find(k, b"x") for k in keys[1::2])
+    assert not index.remove(keys[0], b"x") and index.add(keys[1], b"other") and index.live[keys[1]] == [[b"x", 2, None], [b"other", 1, None]]
+
+
+def indexed(rows, **changed):
+    """What the index of one bucket makes of rows (key, content), with parts of it put out of order."""
+    class Filter(exact_dedup.CuckooFilter):
+        may_hold = changed.get("may_hold", exact_dedup.CuckooFilter.may_hold)
+
+    class Index(CuckooIndex):
+        find = changed.get("find", CuckooIndex.find)
+
+    index = Index()
+    index.filter = Filter(64)
+    for i, (key, content) in enumerate(rows):
+        index.add(key, content, 1, i)
+    return sorted((c, n, i) for entries in index.live.values() for c, n, i in entries)
+
+
+def test_the_filter_and_its_verification_decide():
+    key = hashlib.sha256(b"k").digest()
+    rows = [(key, b"a"), (key, b"b"), (key, b"a"), (key[:10] + bytes(22), b"c")]
+    want = [(b"a", 2, 2), (b"b", 1, 1), (b"c", 1, 3)]
+    assert indexed(rows) == want
+    assert indexed(rows, may_hold=lambda self, key: False) == [(b"a", 1, 0), (b"a", 1, 2), (b"b", 1, 1), (b"c", 1, 3)]
+    trusting = lambda self, key, content: next(iter(self.live.values()))[0] if self.filter.may_hold(key) else None
+    assert indexed(rows, find=trusting) == [(b"a", 4, 3)]
+
+
+@pytest.mark.parametrize("size", [20, 1 << 20])
+def test_exact_dedup_in_many_buckets(spark, monkeypatch, size):
+    r = random.Random(8)
+    monkeypatch.setattr(exact_dedup, "BUCKET_BYTES", size)
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 300)
+    rows = [(r.choice([None, *range(900)]), r.choice([None, "", "A", "a", "É", *(r.choice("xX") * n for n in range(40))])) for _ in range(600)]
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    members = {}
+    for i, t in rows:
+        members.setdefault(low(t), []).append(i)
+    most = {t: max((i for i in ids if i is not None), default=None) for t, ids in members.items()}
+    want = [(i, most[low(t)], len(members[low(t)]), i == most[low(t)], hashlib.sha256(low(t).encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(str, map(tuple, exact_dedup.exact_dedup(docs(spark, rows).repartition(3)).collect()))) == sorted(map(str, want))
 
 
 def test_exact_dedup(spark):
@@ -48,10 +88,12 @@ def test_keep_one_with_null_and_reused_ids(spark):
 
 
 def test_index_over_batches(spark):
-    first = exact_dedup.update_index(None, docs(spark, [(1, "a"), (2, "b"), (3, "A")]), shards=4)
-    second = exact_dedup.update_index(first, docs(spark, [(4, "c")]), docs(spark, [(2, "b"), (1, "a")]), shards=4)
-    seen = {r.doc_id: r.seen for r in exact_dedup.seen_before(second, docs(spark, [(1, "a"), (2, "B"), (3, "c"), (4, "z")]), shards=4).collect()}
-    assert seen == {1: True, 2: False, 3: True, 4: False}
+    first = exact_dedup.update_index(None, docs(spark, [(1, "a"), (2, "b"), (3, "A")]))
+    second = exact_dedup.update_index(first, docs(spark, [(4, "c"), (9, None)]), docs(spark, [(2, "b"), (1, "a"), (7, "never")]))
+    assert sorted((r.content, r.n, r.keep_id) for r in second.collect()) == [(b"", 1, 9), (b"a", 1, 3), (b"c", 1, 4)]
+    seen = {r.doc_id: r.seen for r in exact_dedup.seen_before(second, docs(spark, [(1, "a"), (2, "B"), (3, "c"), (4, "z"), (5, "")])).collect()}
+    assert seen == {1: True, 2: False, 3: True, 4: False, 5: True}
+    assert exact_dedup.update_index(None, docs(spark, [])).count() == 0
 
 
 def plain_fp(text, size=3):
@@ -164,10 +206,20 @@ def test_similar_groups_in_large_blocks_with_one_equal_minimum(spark, monkeypatc
     assert got == {i: i - i % 2 for i in ids}
 
 
-def test_components_of_a_long_chain(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
-    got = {r.node: r.root for r in components.components(links).collect()}
-    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
+@pytest.mark.parametrize("shape", ["shuffled", "star", "scattered"])
+def test_components_in_few_rounds(spark, monkeypatch, shape):
+    r, n, written = random.Random(6), 10_000, []
+    nodes = r.sample(range(n), n)
+    pairs = {"star": [(nodes[0], x) for x in nodes[1:]], "scattered": [(r.randrange(n), r.randrange(n)) for _ in range(n // 2)]}.get(shape, list(zip(nodes, nodes[1:], strict=False)))
+    links = spark.createDataFrame(pairs + [(20_001, 20_000), (20_001, 20_002), (20_001, 20_000), (30_000, 30_000), (None, 1)], "a long, b long")
+    keep = components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or keep(df, name))
+    got = {x.node: x.root for x in components.components(links).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    want = groups(range(n), pairs)
+    assert got == {i: want[i] for i in linked} | dict.fromkeys((20_000, 20_001, 20_002), 20_000)
+    assert len(written) <= 17
+    assert components.components(links.limit(0)).count() == 0
 
 
 def test_pipeline_stages_on_small_documents(spark, tmp_path):
