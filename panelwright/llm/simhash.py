@@ -12,7 +12,7 @@ so six keys of two parts hold every link. A block beyond ``LARGE`` is cut by two
 the rest (again exact), after which it can hold 65,536 different fingerprints at most.
 
 ``similar_groups`` serves shingle similarity instead (five words, 0.8 by default), the share of different
-shingles that two texts have in common: 512-bit fingerprints of the different shingles only filter, inside
+shingles that two texts have in common; texts of equal shingle sets count as one: 512-bit fingerprints of the different shingles only filter, inside
 blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are compared in tasks of two
 chunks each. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
 and a link is kept where the exact similarity of its two sets is high enough.
@@ -25,7 +25,7 @@ component unless its whole group has none; other columns of the input are ignore
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 from math import comb
@@ -185,36 +185,69 @@ class BitSlices:
         return more
 
 
-def forest(fps: list[bytes], radius: int, split: int = 0) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the block; with ``split`` only between the first ``split`` members and the rest."""
-    root = list(range(len(fps)))
+class Trees:
+    """Disjoint sets of a block's members; ``mates`` is the bit mask of a member's set."""
 
-    def find(i: int) -> int:
+    def __init__(self, n: int):
+        self.root, self.masks = list(range(n)), [1 << i for i in range(n)]
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = i = root[root[i]]
         return i
 
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
+    def mates(self, i: int) -> int:
+        return self.masks[self.find(i)]
+
+    def join(self, i: int, j: int) -> None:
+        a, b = sorted((self.find(i), self.find(j)))
         if a != b:
-            root[max(a, b)] = min(a, b)
-            links.append((i, j))
+            self.root[b] = a
+            self.masks[a] |= self.masks[b]
+            self.masks[b] = 0
+
+
+def _near(fps: list[bytes], radius: int):
+    """A function of (member, mask) to the mask of those members of it within ``radius``; small blocks are compared one by one."""
+    if len(fps) >= 12:
+        block = BitSlices(fps)
+        return lambda i, among: block.within(i, radius, among)
+    numbers = [int.from_bytes(f, "little") for f in fps]
+    return lambda i, among: sum(1 << j for j, x in enumerate(numbers) if among >> j & 1 and (numbers[i] ^ x).bit_count() <= radius)
+
 
+def forest(fps: list[bytes], radius: int, split: int = 0, alike: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs within ``radius`` that are ``alike``; with ``split`` only of pairs between the first ``split`` members and the rest.
+
+    A member is compared with those before it that are in no tree of its own yet: one by one with the
+    members of most links, then in bit planes with what is left. So n near copies cost n links, not n² looks.
+    """
+    trees, near_of, numbers = Trees(len(fps)), _near(fps, radius), [int.from_bytes(f, "little") for f in fps]
+    degree, hubs = [0] * len(fps), []
     links: list[tuple[int, int]] = []
-    if len(fps) < 12:
-        numbers = [int.from_bytes(f, "little") for f in fps]
-        for i in range(1, len(fps)):
-            for j in range(i):
-                if (not split or j < split <= i) and (numbers[i] ^ numbers[j]).bit_count() <= radius:
-                    join(i, j)
-        return links
-    block = BitSlices(fps)
+
+    def link(i: int, j: int) -> bool:
+        if alike and not alike(i, j):
+            return False
+        links.append((i, j))
+        trees.join(i, j)
+        degree[j] += 1
+        if j not in hubs:
+            hubs.append(j)
+        hubs.sort(key=degree.__getitem__, reverse=True)
+        del hubs[8:]
+        return True
+
     for i in range(max(1, split), len(fps)):
-        near = block.within(i, radius, (1 << (split or i)) - 1)
+        rest = (1 << (split or i)) - 1
+        for j in list(hubs):
+            if rest >> j & 1 and (numbers[i] ^ numbers[j]).bit_count() <= radius:
+                rest &= ~trees.mates(i) if link(i, j) else ~(1 << j)
+        near = near_of(i, rest) if rest else 0
         while near:
-            low = near & -near
-            join(i, low.bit_length() - 1)
-            near ^= low
+            j = (near & -near).bit_length() - 1
+            near &= ~trees.mates(i) if link(i, j) else ~(1 << j)
     return links
 
 
@@ -319,7 +352,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp: 512 bits, minima: the least of six hashes) over the different shingles of each text."""
+    """(doc_id, fp: 512 bits, minima: the least of six hashes, same: a digest of the set) over the different shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
@@ -331,9 +364,9 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 first = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
                 for k in range(MINIMA):
                     least[some, k] = np.minimum.reduceat(_mixed(hashes, 100 + k), first)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array([r.tobytes() for r in fp], pa.binary()), "minima": pa.array(list(least.view(np.int64)), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array([r.tobytes() for r in fp], pa.binary()), "minima": pa.array(list(least.view(np.int64)), pa.list_(pa.int64())), "same": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, minima array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, minima array<long>, same binary")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -356,44 +389,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def alike_links(fps: list[bytes], sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the pairs within ``radius`` bits whose sets have ``similarity``.
-
-    Each pair in the radius is compared unless it is in one tree already; the members with most links are tried first.
-    """
-    root, members = list(range(len(fps))), [1 << i for i in range(len(fps))]
-    degree, hubs = [0] * len(fps), []
-    links: list[tuple[int, int]] = []
-    block = BitSlices(fps) if len(fps) >= 12 else None
-    numbers = [] if block else [int.from_bytes(f, "little") for f in fps]
+    """Links of a spanning forest of the pairs within ``radius`` bits whose sets have ``similarity``."""
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
+    def alike(i: int, j: int) -> bool:
+        small, big = sorted((len(sets[i]), len(sets[j])))
+        return small >= similarity * big * (1 - 1e-9) and jaccard(sets[i], sets[j]) >= similarity
 
-    for i in range(1, len(fps)):
-        near = block.within(i, radius, (1 << i) - 1) if block else sum(1 << j for j in range(i) if (numbers[i] ^ numbers[j]).bit_count() <= radius)
-        first = [h for h in hubs if near >> h & 1]
-        while near:
-            j = first.pop() if first else (near & -near).bit_length() - 1
-            if not near >> j & 1:
-                continue
-            small, big = sorted((len(sets[i]), len(sets[j])))
-            if small < similarity * big * (1 - 1e-9) or jaccard(sets[i], sets[j]) < similarity:
-                near ^= 1 << j
-                continue
-            links.append((i, j))
-            a, b = sorted((find(i), find(j)))
-            root[b] = a
-            members[a] |= members[b]
-            members[b] = 0
-            near &= ~members[a]
-            degree[j] += 1
-            if j not in hubs:
-                hubs.append(j)
-            hubs.sort(key=degree.__getitem__)
-            del hubs[:-8]
-    return links
+    return forest(fps, radius, alike=alike)
 
 
 GROUPS = "group long, key long, id long, fp binary"
@@ -480,7 +482,8 @@ def _alike(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
     """(doc_id, component_id) of the rows that have a partner of ``similarity`` or more. doc_id must not be null."""
     radius = wide_radius(similarity)
-    base = stored(sketches(docs, shingle), "sketches").withColumnRenamed("doc_id", "id")
+    every = stored(sketches(docs, shingle), "sketches")
+    base = stored(every.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("minima").alias("minima")), "distinct")
     minima = [F.get("minima", F.lit(i)) for i in range(MINIMA)]
     first = stored(_loose_groups(_spread(base, minima), radius, large), "blocks")
     loose, left = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("key", "id", "fp")
@@ -497,7 +500,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(loose.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = _sets(texts, shingle)
     links = _alike(loose.join(sets, "id"), radius, similarity)
-    return components(links).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    equal = every.select("same", F.col("doc_id").alias("a")).join(base.select("same", F.col("id").alias("b")), "same").where("a <> b")
+    return components(links.union(equal.select("a", "b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

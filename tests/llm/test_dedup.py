@@ -198,8 +198,8 @@ def test_similar_groups_in_large_blocks_with_one_equal_minimum(spark, monkeypatc
     ids = list(range(60))
     prints = {i: r.getrandbits(512) for i in ids[::2]}
     prints |= {i + 1: f ^ (1 << r.randrange(512)) for i, f in prints.items()}
-    marked = [(i, prints[i].to_bytes(64, "little"), [7, *(100 * i + k for k in range(5))]) for i in ids]
-    sketch = spark.createDataFrame(marked, "doc_id long, fp binary, minima array<long>")
+    marked = [(i, prints[i].to_bytes(64, "little"), [7, *(100 * i + k for k in range(5))], b"%d" % i) for i in ids]
+    sketch = spark.createDataFrame(marked, "doc_id long, fp binary, minima array<long>, same binary")
     monkeypatch.setattr(simhash, "sketches", lambda docs, shingle: sketch)
     rows = [(i, f"the words of pair {i // 2} are these") for i in ids]
     got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs(spark, rows), large=8).collect()}
