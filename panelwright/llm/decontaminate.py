@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.rows import drop_rows, text_key
+
 WINDOW = 10
 #: Windows of up to this many benchmark words in all are broadcast (some 20 MB); more are joined.
 BROADCAST_WINDOWS = 200_000
@@ -231,10 +233,9 @@ def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> D
 
 def _cleaned_by_join(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> DataFrame:
     hits = _hits(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, size)
-    text_key = F.unhex(F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("h_doc")) & (text_key == F.col("h_key"))
     if not spans:
-        return docs.join(hits.select("h_doc", "h_key").distinct(), same, "left_anti")
+        return drop_rows(docs, hits.select(F.col("h_doc").alias("doc_id"), F.lower(F.hex("h_key")).alias("row_key")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("h_doc")) & (F.unhex(text_key(docs["text"])) == F.col("h_key"))
     where = hits.groupBy("h_doc", "h_key").agg(F.collect_set(F.struct("at", "n")).alias("h_spans"))
 
     names = docs.columns

@@ -17,7 +17,6 @@ null and its rows are kept; other columns of the input are ignored (``keep_one``
 from __future__ import annotations
 
 import hashlib
-import uuid
 from array import array
 from collections.abc import Iterator
 
@@ -26,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.rows import drop_rows
 from panelwright.llm.storage import stored
 
 SLOTS = 4
@@ -260,21 +260,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are named by doc_id and text, so null and repeated doc_ids lose no text.
     """
-    verdicts = stored(exact_dedup(docs), "exact-verdicts")
-    key, v_doc, v_key = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "doc", "text"))
-    keyed = docs.withColumn(key, normalised_sha256(docs["text"]))
-
-    def same(rows: DataFrame):
-        return keyed["doc_id"].cast("long").eqNullSafe(rows[v_doc]) & (keyed[key] == rows[v_key])
-
-    named = verdicts.select(F.col("doc_id").alias(v_doc), F.col("text_sha256").alias(v_key), "kept")
-    gone = named.where("NOT kept").select(v_doc, v_key).distinct()
-    left = keyed.join(gone, same(gone), "left_anti")
-    twice = stored(named.where("kept").groupBy(v_doc, v_key).count().where("count > 1").select(v_doc, v_key), "repeated")
-    if not twice.isEmpty():
-        once = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", key])
-        left = left.join(twice, same(twice), "left_anti").unionByName(once)
-    return left.drop(key)
+    verdicts = stored(exact_dedup(docs), "exact-verdicts").withColumnRenamed("text_sha256", "row_key")
+    repeated = verdicts.where("kept").groupBy("doc_id", "row_key").count().where("count > 1")
+    return drop_rows(docs, verdicts.where("NOT kept"), repeated, normalised_sha256)
 
 
 def update_index(state: DataFrame | None, added: DataFrame, removed: DataFrame | None = None) -> DataFrame:

@@ -19,7 +19,8 @@ and a link is kept where the exact similarity of its two sets is high enough.
 
 Edge cases: null and empty texts have no shingle and fingerprint zero, linked like any other; fewer words
 than a shingle make one shingle; repeated rows and ties share a component; a null doc_id never names a
-component unless its whole group has none; other columns of the input are ignored.
+component unless its whole group has none; an empty table gives no rows; other columns of the input are
+ignored (``drop_similar`` keeps them).
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import components
+from panelwright.llm.rows import drop_rows, text_key
 from panelwright.llm.storage import stored
 
 SEED = 42
@@ -113,11 +115,11 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], name: str = "doc_id", most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts) of bounded size."""
     for batch in batches:
         ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for doc_id, text in zip(batch.column(name).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
             ids.append(doc_id)
             texts.append(text or b"")
             size += len(texts[-1])
@@ -352,7 +354,7 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp: 512 bits, minima: the least of six hashes, same: a digest of the set) over the different shingles of each text."""
+    """(doc_id, row_key, fp: 512 bits, minima: the least of six hashes, same: a digest of the set) over the different shingles of each text; row_key is its SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _chunks(batches):
@@ -364,19 +366,20 @@ def sketches(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 first = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
                 for k in range(MINIMA):
                     least[some, k] = np.minimum.reduceat(_mixed(hashes, 100 + k), first)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fp": pa.array([r.tobytes() for r in fp], pa.binary()), "minima": pa.array(list(least.view(np.int64)), pa.list_(pa.int64())), "same": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())})
+            keys = [hashlib.sha256(t).hexdigest() for t in texts]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "row_key": pa.array(keys, pa.string()), "fp": pa.array([r.tobytes() for r in fp], pa.binary()), "minima": pa.array(list(least.view(np.int64)), pa.list_(pa.int64())), "same": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp binary, minima array<long>, same binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, row_key string, fp binary, minima array<long>, same binary")
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, shingles: the shingle set as bytes)."""
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, shingles: the shingle set as bytes) of rows (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _chunks(batches):
+        for ids, texts in _chunks(batches, "id"):
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "shingles": pa.array([x.tobytes() for x in shingle_sets(texts, shingle)], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
+    return texts.mapInArrow(run, "id long, shingles binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -479,11 +482,9 @@ def _alike(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     return dealt.select("group", "id", "fp", "shingles").mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
-    """(doc_id, component_id) of the rows that have a partner of ``similarity`` or more. doc_id must not be null."""
+def _verified_links(docs: DataFrame, base: DataFrame, shingle: int, similarity: float, large: int) -> DataFrame:
+    """Links (a, b) that join all of ``base`` (id, fp, minima, doc_id, row_key), a row a set of shingles, within ``similarity``."""
     radius = wide_radius(similarity)
-    every = stored(sketches(docs, shingle), "sketches")
-    base = stored(every.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("minima").alias("minima")), "distinct")
     minima = [F.get("minima", F.lit(i)) for i in range(MINIMA)]
     first = stored(_loose_groups(_spread(base, minima), radius, large), "blocks")
     loose, left = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("key", "id", "fp")
@@ -497,17 +498,41 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
         for part in (_loose_groups(across, radius, 1 << 30, halves=True), _loose_groups(alone, radius, 1 << 30)):
             loose = loose.union(part.select("group", "id", "fp"))
     loose = stored(loose.distinct(), "loose")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(loose.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = _sets(texts, shingle)
-    links = _alike(loose.join(sets, "id"), radius, similarity)
-    equal = every.select("same", F.col("doc_id").alias("a")).join(base.select("same", F.col("id").alias("b")), "same").where("a <> b")
-    return components(links.union(equal.select("a", "b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    wanted = base.join(loose.select("id").distinct(), "id").select("id", F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key(F.col("text")))
+    texts = keyed.join(wanted, F.expr("doc_id <=> of_doc AND row_key = of_key")).select("id", "text").dropDuplicates(["id"])
+    return _alike(loose.join(_sets(texts, shingle), "id"), radius, similarity)
+
+
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
+    """(doc_id, row_key, keep_id, keep_key) of the rows that have a partner of ``similarity`` or more, and the name of the row of their group that stays.
+
+    That is the one of the smallest doc_id, then row_key (SHA-256 of the text); a row without doc_id stays only where all are without.
+    """
+    every = stored(sketches(docs, shingle), "sketches")
+    base = every.groupBy("same").agg(F.min(F.struct("doc_id", "row_key")).alias("at"), F.first("fp").alias("fp"), F.first("minima").alias("minima"))
+    base = stored(base.select("same", F.monotonically_increasing_id().alias("id"), "fp", "minima", "at.doc_id", "at.row_key"), "distinct")
+    roots = components(_verified_links(docs, base, shingle, similarity, large))
+    group = base.select("same", "id").join(roots, F.col("id") == F.col("node"), "left").select("same", F.coalesce("root", "id").alias("group"))
+    named = stored(every.select("doc_id", "row_key", "same").join(group, "same").select("doc_id", "row_key", "group"), "named")
+    keep = named.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("keep"))
+    kept = keep.where("n > 1").select("group", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_key").alias("keep_key"))
+    return named.join(kept, "group").select("doc_id", "row_key", "keep_id", "keep_key")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
+    """(doc_id, component_id) of the rows that have a partner of ``similarity`` or more; component_id is the smallest doc_id of the group."""
+    return similar_rows(docs, shingle, similarity, large).select("doc_id", F.col("keep_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with all its columns; of each group of similar rows the one with the smallest doc_id stays."""
-    go = stored(similar_groups(docs.where("doc_id IS NOT NULL"), shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "similar")
-    return docs.join(go, docs["doc_id"] == F.col("gone"), "left_anti")
+    """``docs`` with all its columns; of each group of similar rows the one that similar_rows names stays, once if it repeats.
+
+    Rows are named by doc_id and text, so null and repeated doc_ids lose no other text.
+    """
+    rows = stored(similar_rows(docs, shingle, similarity), "similar")
+    stays = F.expr("doc_id <=> keep_id AND row_key = keep_key")
+    return drop_rows(docs, rows.where(~stays), rows.where(stays).groupBy("doc_id", "row_key").count().where("count > 1"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
