@@ -5,8 +5,8 @@ the mean log frequency of its character n-grams, of the longest order from five
 knows any. A text's score is the softmax of the mean over its words, sharpened with their number.
 
 The model is fitted on a bounded sample of labelled rows: of each language at most ``rows_per_language``
-different texts on average, chosen by a hash of doc_id, and at most ``words`` words and ``grams`` n-grams.
-A prediction sees the text alone.
+different texts on average, chosen by a hash of doc_id. It holds every word of the sample and every n-gram of
+these words, so its size is bounded by the sample. A prediction sees the text alone.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with no labelled text at all every
 text is; a row with null doc_id is neither learned from nor held out; equal scores go to the language that
@@ -15,6 +15,7 @@ sorts first; repeated rows are predicted each; other columns of the input are ig
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,8 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.storage import stored
+
 UNKNOWN = "und"
 ORDERS = range(5, 0, -1)
+#: Different texts of a language to learn from, on average.
+ROWS_PER_LANGUAGE = 1000
 #: Unknown words remembered by a worker at once.
 REMEMBERED = 200_000
 
@@ -64,33 +69,30 @@ def _to_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "gram": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
 
-def _top(counts: DataFrame, key: str, most: int, languages: list[str]) -> tuple[list, np.ndarray]:
-    """The most frequent keys, and for each a row of log frequencies by language, less their mean."""
+def _table(counts: DataFrame, key: str, languages: list[str]) -> tuple[list, np.ndarray]:
+    """The keys of the sample, and for each a row of log frequencies by language, less their mean."""
     by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
-    each = counts.groupBy(key).agg(*by, F.sum("n").alias("total")).where("total > 1").orderBy(F.desc("total"), key).limit(most)
-    found = each.drop("total").toArrow()
+    found = counts.groupBy(key).agg(*by).orderBy(key).toArrow()
     n = np.column_stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))]).astype(float)
     log = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * len(n) + 1))
     return found.column(key).to_pylist(), (log - log.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, rows_per_language: int = 3000, words: int = 100_000, grams: int = 100_000) -> dict:
-    """A model from rows (doc_id, text, lang); its size is bounded by ``words``, ``grams`` and the number of languages."""
+def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
+    """A model from rows (doc_id, text, lang); its size is bounded by ``rows_per_language`` and the number of languages."""
     rows = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # a row a language
+    model = {"name": uuid.uuid4().hex, "languages": sorted(sizes)}
     if not sizes:
-        return {"languages": [], "words": ([], np.zeros((0, 1), np.float32)), "grams": ([], np.zeros((0, 1), np.float32))}
+        return model | dict.fromkeys(("words", "grams"), ([], np.zeros((0, 1), np.float32)))
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, min(1.0, rows_per_language / n)).otherwise(share)
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
-    counted = sample.dropDuplicates(["lang", "text"]).select("lang", "text").mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    languages = sorted(sizes)
-    return {
-        "languages": languages,
-        "words": _top(counted, "word", words, languages),
-        "grams": _top(counted.mapInArrow(_to_grams, "lang string, gram string, n long"), "gram", grams, languages),
-    }
+    different = sample.dropDuplicates(["lang", "text"]).select("lang", "text")
+    counted = stored(different.mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "word-counts")
+    grams_of = counted.mapInArrow(_to_grams, "lang string, gram string, n long")
+    return model | {"words": _table(counted, "word", model["languages"]), "grams": _table(grams_of, "gram", model["languages"])}
 
 
 class Scorer(dict):
@@ -150,12 +152,23 @@ class Scorer(dict):
         return labels, scores
 
 
+_READY: dict[str, Scorer] = {}
+
+
+def ready(model: dict) -> Scorer:
+    """The scorer of a model, built once per Python worker; a worker keeps that of the last model only."""
+    if model["name"] not in _READY:
+        _READY.clear()
+        _READY[model["name"]] = Scorer(model)
+    return _READY[model["name"]]
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = ready(sent.value)
         for batch in batches:
             labels, scores = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(labels, pa.string()), "score": pa.array(scores, pa.float64())})
@@ -169,7 +182,7 @@ def keep_identified(docs: DataFrame, model: dict, least_score: float = 0.3) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
+        scorer = ready(sent.value)
         for batch in batches:
             labels, scores = scorer.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(labels, scores, strict=True)], pa.bool_()))

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -189,3 +191,59 @@ def test_language(spark):
     assert got[902].lang_pred == "bb" and 0 <= got[902].score <= 1 and 20 < sum(x.held_out for x in got.values()) < 80
     none = language.predict(d, language.fit(d.limit(0))).collect()
     assert {x.lang_pred for x in none} == {"und"}
+
+
+def plain_language(rows, text):
+    """Words first, then n-grams from five down, over plain counts; (language, score) as the model should give them."""
+    langs = sorted({lang for _, _, lang in rows})
+    cut = lambda t: re.findall("[a-z\x80-\U0010ffff]+", t.lower())
+    grams = lambda w, n: [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]
+    counts = {lang: Counter(w for t in {t for _, t, x in rows if x == lang} for w in cut(t)) for lang in langs}
+    by_gram = {lang: Counter() for lang in langs}
+    for lang in langs:
+        for w, k in counts[lang].items():
+            for n in range(1, 6):
+                for g in grams(w, n):
+                    by_gram[lang][g] += k
+
+    def table(counted):
+        keys = set().union(*counted.values())
+        logs = {k: [math.log((counted[x][k] + 0.1) / (sum(counted[x].values()) + 0.1 * len(keys) + 1)) for x in langs] for k in keys}
+        return {k: [v - sum(row) / len(row) for v in row] for k, row in logs.items()}
+
+    known, known_grams = table(counts), table(by_gram)
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    found = []
+    for w in cut(text):
+        row = known.get(w)
+        for n in range(5, 0, -1):
+            if row is None and (some := [known_grams[g] for g in grams(w, n) if g in known_grams]):
+                row = [sum(c) / len(c) for c in zip(*some, strict=True)]
+        found.append(row or [0.0] * len(langs))
+    z = [min(len(found), 20) * sum(c) / len(c) for c in zip(*found, strict=True)]
+    p = [math.exp(v - max(z)) for v in z]
+    return langs[p.index(max(p))], max(p) / sum(p)
+
+
+def test_language_against_plain_counts(spark):
+    r = random.Random(12)
+    kinds = {"aa": ["tion", "ing", "the", "wh"], "bb": ["eau", "oux", "ère", "que"], "cc": ["ung", "ing", "sch", "the"]}
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(kinds[lang], r.randint(1, 30)), lang) for i in range(200) for lang in [sorted(kinds)[i % 3]]]
+    rows += [(300 + i, rows[i][1], rows[i][2]) for i in range(20)]  # repeated texts count once
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(d)
+    asked = [t for _, t, _ in rows[:60]] + [make(["zz", "qq", "ing", "é", "x1"], r.randint(1, 25)) for _ in range(60)] + ["zzz", "— … —", "Ünï", None, "", "12", "日本", "thE-ING,WH"]
+    got = language.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    for x in got:
+        want = plain_language(rows, asked[x.doc_id])
+        assert x.lang_pred == want[0] and abs(x.score - want[1]) < 1e-4, (asked[x.doc_id], want, x)
+
+
+def test_language_ties_go_to_the_first(spark):
+    d = spark.createDataFrame([(1, "same words here", "bb"), (2, "same words here", "aa")], "doc_id long, text string, lang string")
+    got = language.predict(d, language.fit(d)).collect()
+    assert [(x.lang_pred, x.score) for x in got] == [("aa", 0.5)] * 2
+    assert language.predict(d.limit(0), language.fit(d)).count() == 0
+    assert language.keep_identified(d.withColumn("score", d.doc_id), language.fit(d)).columns == ["doc_id", "text", "lang", "score"]
