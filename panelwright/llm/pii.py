@@ -1,12 +1,16 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Base spans come from fixed patterns with a check each (``BASE``), leftmost and without overlap by kind, and
-always stay. Wider patterns (``WIDER``) give more candidates. On every candidate four labelers vote yes,
-no or nothing: the shape of the match, a gazetteer (top-level domains, calling codes, issuer digits,
-reserved networks, key prefixes), words in the text before it, and the characters around it. The votes of
-all documents are counted by pattern (three to the power of four patterns a kind at most, whatever the
-number of documents); from these counts expectation-maximisation estimates each labeler's reliability and
-the probability of each pattern, and a logistic classifier is fitted to them, which judges the candidates.
+always stay. Wider patterns (``WIDER``) give more candidates of each kind, and a kind of secrets. On every
+candidate four labelers vote yes, no or nothing: the shape of the match, a gazetteer (top-level domains, calling
+codes, issuer digits, reserved networks, key prefixes), words in the text before it, and the characters around
+it. The votes of all documents are counted by pattern, together with three features of the span itself (length,
+share of digits, case), some thousands of rows at most whatever the number of documents; from the votes
+expectation-maximisation estimates each labeler's reliability and the probability that a candidate is real, and
+a logistic classifier of votes and features is fitted to these, which judges the wider candidates.
+
+Places of matches are prefix sums in blocks, and overlaps are found by a sorted sweep, so the cost of a text
+grows with its length and not with the square of its matches.
 
 Edge cases: a null text counts as empty; overlapping candidates of a wider pattern give way to base spans;
 repeated rows are judged each; without candidates nothing is fitted and base spans alone are returned;
@@ -16,10 +20,14 @@ offsets are code points, ends exclusive; other columns of the input are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.functions.arrays import let
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 
 #: Possessive forms, which can't backtrack over long runs. A match begins where the last one ended or where its run begins.
@@ -30,18 +38,21 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDER = {
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]++)+",
+    "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
 }
 #: A text without these has no match; asking is cheaper than the pattern.
-NEEDS = {"email": "@", "phone": "+"}
+NEEDS = {"base_email": "@", "base_phone": "+", "wider_email": "at", "wider_ip": ":"}
 
 GAZETTEER = {
-    "email": r"\.(com|org|net|edu|gov|info|io|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0+\.|127\.|255\.|22[4-9]\.|23[0-9]\.)",
+    "email": r"(?i)(\.|dot[\])] ?)([a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|cloud|online|site|example|test)$",
+    "ip": r"^(?!0+\.|127\.|255\.|22[4-9]\.|23[0-9]\.|0+:0+:0+:0+:)",
     "card": r"^[3-6]",
     "phone": r"^\(?\+?(1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9]|[2-9][0-9]{2}\)?[ .-])",
-    "secret": r"^(ghp_|gho_|AKIA|sk-|xox|glpat-|eyJ)",
+    "secret": r"^(gh[opusr]_|github_pat_|AKIA|ASIA|sk-|sk_|pk_|rk_|xox|glpat-|npm_|AIza|ya29|eyJ|SG\.)",
 }
 BEFORE = {
     "email": r"(?i)(mail|contact|write|reply|address|from|to)\W{0,3}$",
@@ -51,7 +62,9 @@ BEFORE = {
     "secret": r"(?i)(token|key|secret|password|passwd|pwd|auth|bearer|credential)\W{0,6}$",
 }
 AGAINST = r"(?i)(\bv|version|isbn|issn|doi|order|invoice|commit|sha\d*|hash|digest|id|no|http\S*)\W{0,3}$"
-LABELERS = 4
+LABELERS, TRAITS = 4, 3
+#: Values that a prefix sum handles one after another.
+BLOCK = 64
 
 
 def _digits(v: Column) -> Column:
@@ -86,34 +99,59 @@ def _matches(pattern: str, needs: str | None) -> Column:
     return F.when(F.instr("text", needs) > 0, found).otherwise(F.array().cast("array<string>")) if needs else found
 
 
+def _prefix(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Each value of a non-empty array of ints >= 0 combined with all before it: inside blocks first, then with what the blocks before amount to."""
+    empty = lambda: F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def inside(a: Column, x: Column) -> Column:
+        now = combine(a["last"], x)
+        return F.struct(now.alias("last"), F.concat(a["out"], F.array(now)).alias("out"))
+
+    def across(a: Column, x: Column) -> Column:
+        return F.struct(combine(a["last"], F.element_at(x, -1)).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / BLOCK).cast("int") - 1), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+    local = F.transform(blocks, lambda x: F.aggregate(x, empty(), inside, lambda a: a["out"]))
+    joined = let(local, lambda y: F.zip_with(y, F.aggregate(y, empty(), across, lambda a: a["out"]), lambda x, t: F.transform(x, lambda v: combine(t, v))))
+    return F.flatten(joined)
+
+
 def _spans(hits: str, pattern: str) -> Column:
-    """Places of the matches: the lengths of what lies between them, added up."""
-    gaps = F.split("text", pattern, -1)
-    both = F.zip_with(F.slice(gaps, 1, F.size(hits)), F.col(hits), lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("v")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    """Places of the matches: the lengths of them and of what lies between them, added up."""
+    gaps = F.slice(F.split("text", pattern, -1), 1, F.size(hits))
+    sizes = F.zip_with(gaps, F.col(hits), lambda g, h: F.length(g) + F.length(h))
+    placed = let(sizes, lambda n: F.zip_with(hits, _prefix(n, lambda a, b: a + b), lambda h, e: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("v"))))
+    return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast(SPAN))
+
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["v"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("out"))
+def _clear(more: str, base: str) -> Column:
+    """The spans of ``more`` that overlap none of ``base``: of the base spans that begin before a span ends, none may end after it begins."""
+    asked = F.transform(more, lambda x: F.struct(x["e"].alias("at"), F.lit(0).alias("end"), x.alias("x")))
+    said = F.transform(base, lambda b: F.struct(b["s"].alias("at"), b["e"].alias("end"), F.get(more, F.lit(0)).alias("x")))
 
-    return F.when(F.size(hits) > 0, F.aggregate(both, empty, step, lambda a: a["out"])).otherwise(F.array().cast(SPAN))
+    def sweep(events: Column) -> Column:
+        ends = _prefix(F.transform(events, lambda v: v["end"]), F.greatest)
+        judged = F.zip_with(events, ends, lambda v, end: F.struct(((v["end"] == 0) & (end <= v["x"]["s"])).alias("ok"), v["x"].alias("x")))
+        return F.transform(F.filter(judged, lambda j: j["ok"]), lambda j: j["x"])
+
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), let(F.sort_array(F.concat(asked, said)), sweep)).otherwise(F.col(more))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base, wider): arrays of structs (kind, s, e, v) with kind as a place in ``KINDS``."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    todo = [(f"base_{k}", k, p, NEEDS.get(k)) for k, p in BASE.items()] + [(f"wider_{k}", k, p, None) for k, p in WIDER.items()]
-    hits = rows.select("doc_id", "text", *[_matches(p, needs).alias(name) for name, _, p, needs in todo])
-    placed = hits.select("doc_id", "text", *[_spans(name, p).alias(name) for name, _, p, _ in todo])
+    todo = [(f"{part}_{k}", k, p) for part, patterns in (("base", BASE), ("wider", WIDER)) for k, p in patterns.items()]
+    hits = rows.select("doc_id", "text", *[_matches(p, NEEDS.get(name)).alias(name) for name, _, p in todo])
+    placed = hits.select("doc_id", "text", *[_spans(name, p).alias(name) for name, _, p in todo])
 
     def checked(name: str, kind: str) -> Column:
-        return F.transform(F.filter(F.col(name), lambda x: _valid(kind, x["v"])), lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
+        wide = name == "wider_ip"  # eight groups, checked by its pattern
+        valid = F.col(name) if wide else F.filter(F.col(name), lambda x: _valid(kind, x["v"]))
+        return F.transform(valid, lambda x: F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
 
-    sure = placed.select("*", F.concat(*[checked(n, k) for n, k, _, _ in todo if n.startswith("base_")]).alias("base"))
-    more = sure.select("doc_id", "text", "base", F.concat(*[checked(n, k) for n, k, _, _ in todo if n.startswith("wider_")]).alias("more"))
-    clear = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return more.select("doc_id", "text", "base", clear.alias("wider"))
+    sure = placed.select("*", F.concat(*[checked(n, k) for n, k, _ in todo if n.startswith("base_")]).alias("base"))
+    more = sure.select("doc_id", "text", "base", F.concat(*[checked(n, k) for n, k, _ in todo if n.startswith("wider_")]).alias("more"))
+    return more.select("doc_id", "text", "base", _clear("more", "base").alias("wider"))
 
 
 def _by_kind(kind: Column, patterns: dict[str, str], v: Column) -> Column:
@@ -123,8 +161,19 @@ def _by_kind(kind: Column, patterns: dict[str, str], v: Column) -> Column:
     return out
 
 
+def _traits(v: Column) -> list[Column]:
+    """Features of a span as digits: length, share of digits, and case (no letter, lower, upper, both)."""
+    n = F.length(v)
+    digits = n - F.length(F.translate(v, "0123456789", ""))
+    return [
+        F.when(n < 12, "0").when(n < 24, "1").when(n < 40, "2").otherwise("3"),
+        F.least(F.floor(digits * 4 / n), F.lit(3)).cast("int").cast("string"),
+        (F.when(F.upper(v) != v, 1).otherwise(0) + F.when(F.lower(v) != v, 2).otherwise(0)).cast("string"),
+    ]
+
+
 def _voted(spans: str, base: bool) -> Column:
-    """The spans with their votes, 1, -1 or 0, written as digits 2, 0 and 1 in one string."""
+    """The spans with their votes, 1, -1 or 0, written as digits 2, 0 and 1, and their traits in one string."""
 
     def vote(yes: Column, no: Column) -> Column:
         return F.when(no, "0").when(yes, "2").otherwise("1")
@@ -141,22 +190,26 @@ def _voted(spans: str, base: bool) -> Column:
             vote(_by_kind(kind, BEFORE, left), left.rlike(AGAINST) & ~_by_kind(kind, BEFORE, left)),
             vote(left.rlike(r"(^|[\s\"'(<:=,;|])$") & right.rlike(r"^([\s\"')>.,;|!?]|$)"), left.rlike(r"[\p{L}0-9/]$") | right.rlike(r"^[\p{L}0-9/]")),
         ]
-        return F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.concat(*votes).alias("votes"))
+        return F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.concat(*votes, *_traits(v)).alias("votes"))
 
     return F.transform(spans, one)
 
 
 def vote_counts(found: DataFrame) -> list[tuple[int, str, int]]:
-    """(kind, votes, number of candidates): at most 81 rows a kind, over all documents."""
+    """(kind, votes and traits, number of candidates) over all documents: at most 81 x 64 rows a kind."""
     voted = found.select(F.explode(F.concat(_voted("base", True), _voted("wider", False))).alias("c"))
     return sorted((r[0], r[1], r[2]) for r in voted.groupBy("c.kind", "c.votes").count().collect())
 
 
 def estimate(counts: list[tuple[int, str, int]], rounds: int = 25) -> dict[tuple[int, str], float]:
-    """Probability that a candidate with these votes is real, by expectation-maximisation for each kind; votes are independent given the truth, each labeler with rates of its own, smoothed."""
+    """(kind, votes) -> the probability that a candidate with these votes is real, by expectation-maximisation for each kind; votes are independent given the truth, each labeler with rates of its own, smoothed."""
     out: dict[tuple[int, str], float] = {}
     for kind in sorted({k for k, _, _ in counts}):
-        rows = [(v, n) for k, v, n in counts if k == kind]
+        tally_of: dict[str, int] = {}
+        for k, v, n in counts:
+            if k == kind:
+                tally_of[v[:LABELERS]] = tally_of.get(v[:LABELERS], 0) + n
+        rows = sorted(tally_of.items())
         real = {v: 1 / (1 + math.exp(-sum(int(c) - 1 for c in v))) for v, _ in rows}
         for _ in range(rounds):
             yes = sum(n * real[v] for v, n in rows)
@@ -177,24 +230,33 @@ def estimate(counts: list[tuple[int, str, int]], rounds: int = 25) -> dict[tuple
     return out
 
 
+#: Weights of the classifier: kind, yes votes, no votes, and for each kind the values of the traits.
+N_WEIGHTS = len(KINDS) + 2 * LABELERS + len(KINDS) * TRAITS * 4
+
+
+def _trait_at(kind: int, j: int) -> int:
+    return len(KINDS) + 2 * LABELERS + (kind * TRAITS + j) * 4
+
+
 def _features(kind: int, votes: str) -> list[float]:
-    return [float(kind == k) for k in range(len(KINDS))] + [float(c == "2") for c in votes] + [float(c == "0") for c in votes]
+    x = [float(kind == k) for k in range(len(KINDS))] + [float(c == "2") for c in votes[:LABELERS]] + [float(c == "0") for c in votes[:LABELERS]]
+    x += [0.0] * (N_WEIGHTS - len(x))
+    for j, c in enumerate(votes[LABELERS:]):
+        x[_trait_at(kind, j) + int(c)] = 1.0
+    return x
 
 
 def train(counts: list[tuple[int, str, int]], rounds: int = 300) -> list[float]:
-    """Weights of the final classifier: logistic regression on the estimated probabilities, weighted by the logarithm of the counts."""
+    """Weights of the final classifier: logistic regression of votes and traits on the estimated probabilities, weighted by the logarithm of the counts."""
+    if not counts:
+        return [0.0] * N_WEIGHTS
     target = estimate(counts)
-    rows = [(_features(k, v), target[k, v], math.log1p(n)) for k, v, n in counts]
-    w = [0.0] * (len(KINDS) + 2 * LABELERS)
-    total = sum(n for _, _, n in rows) or 1.0
+    x = np.array([_features(k, v) for k, v, _ in counts])
+    y, n = np.array([target[k, v[:LABELERS]] for k, v, _ in counts]), np.log1p([n for _, _, n in counts])
+    w = np.zeros(N_WEIGHTS)
     for _ in range(rounds):
-        slope = [0.01 * x for x in w]
-        for x, y, n in rows:
-            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
-            for j, b in enumerate(x):
-                slope[j] += n / total * (p - y) * b
-        w = [a - 2.0 * g for a, g in zip(w, slope, strict=True)]
-    return w
+        w -= 2.0 * (0.01 * w + x.T @ (n * (1 / (1 + np.exp(-x @ w)) - y)) / n.sum())
+    return w.tolist()
 
 
 def _accepted(spans: str, w: list[float]) -> Column:
@@ -203,6 +265,9 @@ def _accepted(spans: str, w: list[float]) -> Column:
         for j in range(LABELERS):
             c = F.substring(x["votes"], j + 1, 1)
             total += F.when(c == "2", w[len(KINDS) + j]).when(c == "0", w[len(KINDS) + LABELERS + j]).otherwise(0.0)
+        traits = F.array(*[F.lit(a) for a in w[len(KINDS) + 2 * LABELERS :]])
+        for j in range(TRAITS):
+            total += F.element_at(traits, (x["kind"] * TRAITS + j) * 4 + F.substring(x["votes"], LABELERS + j + 1, 1).cast("int") + 1)
         return total
 
     return F.filter(F.col(spans), lambda x: score(x) > 0)

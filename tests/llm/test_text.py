@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -247,3 +248,57 @@ def test_language_ties_go_to_the_first(spark):
     assert [(x.lang_pred, x.score) for x in got] == [("aa", 0.5)] * 2
     assert language.predict(d.limit(0), language.fit(d)).count() == 0
     assert language.keep_identified(d.withColumn("score", d.doc_id), language.fit(d)).columns == ["doc_id", "text", "lang", "score"]
+
+
+def test_pii_candidates_against_a_plain_version(spark):
+    r = random.Random(7)
+    bits = ["ann (at) site (dot) com", "a.b@c.de", "2001:db8:0:0:0:0:0:1", "4111/1111/1111/1111", "4111_1111_1111_1112", "407-555-7710", "+1 407 555 7710", "24be64439e3e49cf46b2", "word", "x" * 25, "1.2.3.4", " ", "-", "@b.c", "4111 1111 1111 1111"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", ", "]) for _ in range(r.randint(0, 12))) for _ in range(300)] + [None, ""]
+    got = {x.doc_id: x for x in pii.candidates(docs(spark, list(enumerate(texts)))).collect()}
+    digits = lambda v: sum(c.isdigit() for c in v)
+    ok = {
+        "card": lambda v: 13 <= digits(v) <= 19 and luhn(v), "phone": lambda v: 9 <= digits(v) <= 15,
+        "secret": lambda v: digits(v) > 0 and any(c.isascii() and c.isalpha() for c in v),
+    }
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, x.split(":")[1:])) for x in base_spans(t)]
+        want = []
+        for kind, pattern in pii.WIDER.items():
+            for m in re.finditer(pattern, t or ""):
+                if ok.get(kind, lambda v: True)(m[0]) and not any(s < m.end() and m.start() < e for s, e in base):
+                    want.append((pii.KINDS.index(kind), m.start(), m.end(), m[0]))
+        assert sorted(tuple(x) for x in got[i].wider) == sorted(want), t
+        assert [(x.s, x.e) for x in got[i].base] == base
+
+
+def test_pii_of_a_text_with_very_many_matches(spark):
+    """Grows with the text, not with the square of its matches."""
+    many = "a@b.co, 24be64439e3e49cf46b2d7c90f3602a3d0b907ff " * 100_000
+    began = time.time()
+    got = pii.candidates(docs(spark, [(1, many)])).selectExpr("size(base) AS b", "size(wider) AS w", "wider[99999].s AS s").first()
+    assert (got.b, got.w, got.s) == (100_000, 100_000, 99_999 * 49 + 8) and time.time() - began < 60
+
+
+def test_estimate_against_unweighted_rows():
+    """EM over every single candidate gives what EM over counted patterns gives."""
+    r = random.Random(4)
+    rows = ["".join(r.choices("012", [1, 2, 4] if i % 3 else [4, 2, 1], k=4)) for i in range(900)]
+    got = pii.estimate([(0, v + "213", n) for v, n in Counter(rows).items()], rounds=8)
+    p = {v: 1 / (1 + math.exp(-sum(int(c) - 1 for c in v))) for v in rows}
+    for _ in range(8):
+        yes = sum(p[v] for v in rows)
+        real, fake = [], []
+        for j in range(4):
+            real.append({c: (sum(p[v] for v in rows if v[j] == c) + s) / (yes + 3.5) for c, s in zip("012", (0.5, 1, 2), strict=True)})
+            fake.append({c: (sum(1 - p[v] for v in rows if v[j] == c) + s) / (len(rows) - yes + 3.5) for c, s in zip("012", (2, 1, 0.5), strict=True)})
+        prior = (yes + 1) / (len(rows) + 2)
+        p = {v: (a := prior * math.prod(real[j][v[j]] for j in range(4))) / (a + (1 - prior) * math.prod(fake[j][v[j]] for j in range(4))) for v in p}
+    assert all(abs(got[0, v] - q) < 1e-9 for v, q in p.items())
+
+
+def test_classifier_uses_votes_and_traits():
+    counts = [(4, "2222" + "313", 400), (4, "2212" + "313", 300), (4, "0101" + "001", 500), (4, "0011" + "001", 300), (4, "1111" + "313", 20), (4, "1111" + "001", 20)]
+    w = pii.train(counts)
+    score = lambda v: sum(a * b for a, b in zip(w, pii._features(4, v), strict=True))
+    assert score("2222313") > 0 > score("0101001") and score("1111313") > score("1111001")
+    assert pii.train([]) == [0.0] * pii.N_WEIGHTS
