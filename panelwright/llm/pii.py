@@ -110,8 +110,10 @@ def _prefix(values: Column, combine: Callable[[Column, Column], Column]) -> Colu
     def across(a: Column, x: Column) -> Column:
         return F.struct(combine(a["last"], F.element_at(x, -1)).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out"))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(values) / BLOCK).cast("int") - 1), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
-    local = F.transform(blocks, lambda x: F.aggregate(x, empty(), inside, lambda a: a["out"]))
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / BLOCK).cast("int") - 1), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+
+    local = F.transform(let(values, cut), lambda x: F.aggregate(x, empty(), inside, lambda a: a["out"]))
     joined = let(local, lambda y: F.zip_with(y, F.aggregate(y, empty(), across, lambda a: a["out"]), lambda x, t: F.transform(x, lambda v: combine(t, v))))
     return F.flatten(joined)
 
@@ -120,7 +122,7 @@ def _spans(hits: str, pattern: str) -> Column:
     """Places of the matches: the lengths of them and of what lies between them, added up."""
     gaps = F.slice(F.split("text", pattern, -1), 1, F.size(hits))
     sizes = F.zip_with(gaps, F.col(hits), lambda g, h: F.length(g) + F.length(h))
-    placed = let(sizes, lambda n: F.zip_with(hits, _prefix(n, lambda a, b: a + b), lambda h, e: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("v"))))
+    placed = F.zip_with(hits, _prefix(sizes, lambda a, b: a + b), lambda h, e: F.struct((e - F.length(h)).alias("s"), e.alias("e"), h.alias("v")))
     return F.when(F.size(hits) > 0, placed).otherwise(F.array().cast(SPAN))
 
 
