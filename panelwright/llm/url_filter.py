@@ -7,8 +7,10 @@ characters), with additive smoothing; a URL's score is the difference of its log
 length. A fifth of the examples stays out of the counts and calibrates the threshold: the point between
 the means of both classes where two normal curves of their variances are equally likely.
 
-Counts cover all distinct example URLs. Every table here is joined on a key, so Spark broadcasts only what
-its own size statistics allow; windows shared by many URLs are scored once.
+Counts cover all distinct example URLs. URLs go by a number, the windows of a URL are counted before they meet
+their scores, and a window is scored once however many URLs share it. Windows with more than one in
+``HOT_SHARE`` of all rows (so fewer than ``HOT_SHARE`` of them) are broadcast, the others are joined on the window, so no
+task gets more than a small share of the rows for one key.
 
 Edge cases: a null URL or one without ``://`` has empty host and path; only rules with empty host would fit
 it; the models judge the empty text by their threshold alone (score 0). Without examples of both classes the
@@ -27,6 +29,7 @@ from panelwright.llm.storage import stored
 ORDER = 4
 ALPHA = 0.5
 ALPHABET = 96
+HOT_SHARE = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict)
@@ -69,12 +72,31 @@ def model(examples: DataFrame) -> DataFrame:
     return counts.join(totals, "context").select("g", (chance("yes", "all_yes") - chance("no", "all_no")).alias("gain"))
 
 
+def _resolved(windows: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(w, gain) for distinct windows ``w``: the gain of their longest suffix in ``fitted``, or 0.
+
+    Suffixes are looked up once each, and take over from the suffix a character shorter, which has at most as many
+    takers as the alphabet has characters.
+    """
+    own = _suffixes(windows.select("w")).select("g").distinct().join(fitted, "g", "left")
+    own = stored(own.select("g", "gain", F.length("g").alias("n")), "suffixes")
+    best = own.where("n = 1").select("g", F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    for n in range(2, ORDER + 2):
+        shorter = best.select(F.col("g").alias("parent"), F.col("gain").alias("before"))
+        level = own.where(F.col("n") == n).withColumn("parent", F.expr(f"right(g, {n - 1})"))
+        best = level.join(shorter, "parent").select("g", F.coalesce("gain", "before").alias("gain"))
+    return best.withColumnRenamed("g", "w")
+
+
 def scores(urls: DataFrame, fitted: DataFrame) -> DataFrame:
-    """(url, score) for distinct rows (url, chars): the mean gain of the characters."""
-    each = _windows(urls, "url")
-    distinct = _suffixes(each.select("w").distinct())
-    best = distinct.join(fitted, "g", "left").groupBy("w").agg(F.coalesce(F.max_by("gain", F.when(F.col("gain").isNotNull(), F.length("g"))), F.lit(0.0)).alias("gain"))
-    return each.join(best, "w").groupBy("url").agg(F.round(F.avg("gain"), 9).alias("score"))
+    """(id, score) for distinct rows (id, chars): the mean gain of the characters."""
+    each = stored(_windows(urls, "id").groupBy("id", "w").agg(F.count(F.lit(1)).alias("n")), "url-windows")
+    rows = each.groupBy("w").agg(F.count(F.lit(1)).alias("urls"))
+    best = stored(rows.join(_resolved(rows, fitted), "w"), "window-gains")
+    limit = each.count() / HOT_SHARE
+    hot, cold = F.broadcast(best.where(F.col("urls") > limit)), best.where(F.col("urls") <= limit)
+    near = each.join(hot, "w").union(each.join(hot, "w", "left_anti").join(cold, "w").select("w", "id", "n", "urls", "gain"))
+    return near.groupBy("id").agg(F.round(F.sum(F.col("gain") * F.col("n")) / F.sum("n"), 9).alias("score"))
 
 
 def threshold(calibration: DataFrame) -> float | None:
@@ -102,11 +124,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None
     split = rows.select("page_id", "url", host.alias("host"), path.alias("path"))
     split = split.select("*", _by_rules(rules, lambda h, p, v: h + p).alias("rule"), _by_rules(rules, lambda h, p, v: v).alias("ruled"))
     urls = split.select("url", F.concat("host", "path").alias("chars"), "ruled").where("url IS NOT NULL").distinct()
-    urls = stored(urls.select("*", (F.pmod(F.crc32("url"), F.lit(5)) == 0).alias("aside")), "urls")
+    urls = stored(urls.select("*", (F.pmod(F.crc32("url"), F.lit(5)) == 0).alias("aside"), F.monotonically_increasing_id().alias("id")), "urls")
     fitted = stored(model(urls.where("ruled IS NOT NULL AND NOT aside").select("chars", (F.col("ruled") == "allow").alias("accepted"))), "url-model")
-    need = stored(scores(urls.where("ruled IS NULL OR aside").select("url", "chars"), fitted), "url-scores")
-    limit = threshold(need.join(urls.where("ruled IS NOT NULL AND aside"), "url").select((F.col("ruled") == "allow").alias("accepted"), "score"))
-    open_urls = need.join(urls.where("ruled IS NULL").select("url"), "url").select(F.col("url").alias("of"), "score")
+    need = stored(scores(urls.where("ruled IS NULL OR aside").select("id", "chars"), fitted), "url-scores")
+    limit = threshold(need.join(urls.where("ruled IS NOT NULL AND aside"), "id").select((F.col("ruled") == "allow").alias("accepted"), "score"))
+    open_urls = need.join(urls.where("ruled IS NULL").select("id", "url"), "id").select(F.col("url").alias("of"), "score")
     told = F.lit("allow") if limit is None else F.when(F.coalesce("score", F.lit(0.0)) >= limit, "allow").otherwise("block")
     return split.join(open_urls, split.url == F.col("of"), "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", told).alias("verdict"))
 

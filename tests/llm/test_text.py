@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -302,3 +303,61 @@ def test_classifier_uses_votes_and_traits():
     score = lambda v: sum(a * b for a, b in zip(w, pii._features(4, v), strict=True))
     assert score("2222313") > 0 > score("0101001") and score("1111313") > score("1111001")
     assert pii.train([]) == [0.0] * pii.N_WEIGHTS
+
+
+def plain_urls(urls, rules):
+    """(rule, verdict) of each URL by counts of plain Python."""
+    judged = {}
+    for u in urls:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match("[^/?#]*", rest)[0].lower(), re.match("[^/?#]*([^?#]*)", rest)[1]
+        fit = [r for r in rules if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])]
+        rule = max(fit, key=lambda r: len(r[0] + r[1])) if fit else None
+        judged[u] = (host + path, rule and rule[0] + rule[1], rule and rule[2])
+    known = {u: (c, v) for u, (c, _, v) in judged.items() if u is not None}
+    aside = {u for u in known if zlib.crc32(u.encode()) % 5 == 0}
+    ngrams = lambda c: [p[max(0, i - k) : i + 1] for p in ["\2" * 4 + c + "\3"] for i in range(4, len(p)) for k in range(5)]
+    seen = {v: Counter(g for u, (c, x) in known.items() if x == v and u not in aside for g in ngrams(c)) for v in ("allow", "block")}
+    totals = {v: Counter() for v in seen}
+    for v, counted in seen.items():
+        for g, n in counted.items():
+            totals[v][g[:-1]] += n
+    chance = lambda v, g: math.log((seen[v][g] + 0.5 / 96) / (totals[v][g[:-1]] + 0.5))
+
+    def score(c):
+        p, gains = "\2" * 4 + c + "\3", []
+        for i in range(4, len(p)):
+            g = next((g for k in range(4, -1, -1) if (g := p[i - k : i + 1]) in seen["allow"] or g in seen["block"]), None)
+            gains.append(chance("allow", g) - chance("block", g) if g else 0.0)
+        return sum(gains) / len(gains)
+
+    marks = {v: [score(known[u][0]) for u in aside if known[u][1] == v] for v in seen}
+    (m1, v1), (m0, v0) = ((sum(x) / len(x), max(1e-6, sum(a * a for a in x) / len(x) - (sum(x) / len(x)) ** 2)) for x in (marks["allow"], marks["block"]))
+    lo, hi = m0, m1
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        allow = -((mid - m1) ** 2) / (2 * v1) - math.log(v1) / 2 >= -((mid - m0) ** 2) / (2 * v0) - math.log(v0) / 2
+        lo, hi = (lo, mid) if allow else (mid, hi)
+    limit = (lo + hi) / 2
+    return {u: (rule, v or ("allow" if (score(c) if u is not None else 0.0) >= limit else "block")) for u, (c, rule, v) in judged.items()}, m1 > m0
+
+
+@pytest.mark.parametrize("share", [url_filter.HOT_SHARE, 30])
+def test_url_model_against_plain_counts(spark, monkeypatch, share):
+    monkeypatch.setattr(url_filter, "HOT_SHARE", share)
+    r = random.Random(14)
+    word = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(2, 4)))
+    good, bad = ["lib", "doc", "ref", "é"], ["win", "xx", "cash", "doc"]
+    urls = [f"http://{word(bad)}.net/{word(bad)}" for _ in range(120)] + [f"http://{word(good)}.org/fr/{word(good)}?q=1" for _ in range(120)]
+    urls += [f"http://{word(r.choice([good, bad]))}.io/{word(r.choice([good, bad]))}" for _ in range(150)] + ["http://same.io/a"] * 30 + [None, "", "x", "http://"]
+    want, ordered = plain_urls(urls, url_filter.RULES)
+    assert ordered and {v for _, v in want.values()} == {"allow", "block"}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge_urls(pages).collect()}
+    assert got == {i: want[u] for i, u in enumerate(urls)}
+
+
+def test_url_filter_without_examples(spark):
+    pages = spark.createDataFrame([(1, "http://a.io/b", "x"), (2, None, "y"), (3, "http://q.net/", "z")], "page_id long, url string, verdict string")
+    got = {x.page_id: x.verdict for x in url_filter.judge_urls(pages).collect()}
+    assert got == {1: "allow", 2: "allow", 3: "block"} and url_filter.judge_urls(pages.limit(0)).count() == 0
