@@ -15,7 +15,6 @@ sorts first; repeated rows are predicted each; other columns of the input are ig
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,9 +28,9 @@ from panelwright.llm.storage import stored
 UNKNOWN = "und"
 ORDERS = range(5, 0, -1)
 #: Different texts of a language to learn from, on average.
-ROWS_PER_LANGUAGE = 1000
+ROWS_PER_LANGUAGE = 400
 #: Unknown words remembered by a worker at once.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 _TABLE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -82,7 +81,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
     """A model from rows (doc_id, text, lang); its size is bounded by ``rows_per_language`` and the number of languages."""
     rows = labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # a row a language
-    model = {"name": uuid.uuid4().hex, "languages": sorted(sizes)}
+    model = {"languages": sorted(sizes)}
     if not sizes:
         return model | dict.fromkeys(("words", "grams"), ([], np.zeros((0, 1), np.float32)))
     share = F.lit(0.0)
@@ -152,23 +151,12 @@ class Scorer(dict):
         return labels, scores
 
 
-_READY: dict[str, Scorer] = {}
-
-
-def ready(model: dict) -> Scorer:
-    """The scorer of a model, built once per Python worker; a worker keeps that of the last model only."""
-    if model["name"] not in _READY:
-        _READY.clear()
-        _READY[model["name"]] = Scorer(model)
-    return _READY[model["name"]]
-
-
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = ready(sent.value)
+        scorer = Scorer(sent.value)
         for batch in batches:
             labels, scores = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(labels, pa.string()), "score": pa.array(scores, pa.float64())})
@@ -182,7 +170,7 @@ def keep_identified(docs: DataFrame, model: dict, least_score: float = 0.3) -> D
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = ready(sent.value)
+        scorer = Scorer(sent.value)
         for batch in batches:
             labels, scores = scorer.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(labels, scores, strict=True)], pa.bool_()))
