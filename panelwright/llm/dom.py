@@ -20,6 +20,14 @@ ENDS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("tr", "tbody", "thead"), ("table",)), "option": (("option",), ("select",)),
 }
 P_SCOPE = frozenset("table td th caption button object html template".split())
+A_SCOPE = P_SCOPE | BLOCK
+ENDS = {tag: (frozenset(tags), frozenset(stop)) for tag, (tags, stop) in ENDS.items()}
+NONE = frozenset()
+#: Elements nested deeper hang on their ancestor at this depth, as in browsers; their text stays.
+MAX_DEPTH = 512
+_KINDS = (BLOCK, P_SCOPE, A_SCOPE, *{k for pair in ENDS.values() for k in pair})
+#: The kinds of elements that a tag belongs to.
+KINDS_OF = {tag: tuple(k for k in dict.fromkeys(_KINDS) if tag in k) for tag in frozenset().union(*_KINDS)}
 TAGS = ("text", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "li", "ul", "ol", "nav", "header", "footer", "aside", "form", "table", "td", "blockquote", "pre", "figure", "figcaption", "dl", "dd", "other")
 #: Words in class, id and role attributes, by what they hint at.
 HINTS = {
@@ -64,6 +72,9 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node(-1, "body", frozenset(), 0)]
         self.open: list[tuple[str, int]] = [("body", 0)]
+        #: Places in ``open`` of each tag and each kind of tags, so that the last one is found without a search.
+        self.places: dict[str | frozenset, list[int]] = {}
+        self.last_ends: dict[str, int] = {}
         self.skip: list[str] = []
         self.links = 0
         self.words: list[str] = []
@@ -72,6 +83,8 @@ class Tree(HTMLParser):
         for m in re.finditer("\n", html):
             self.lines.append(m.end())
         self.feed(html)
+        if self.rawdata.startswith("<!--"):
+            self.rawdata = ""  # an unclosed comment goes to the end of the page
         self.close()
         self.flush()
         for i in range(len(self.nodes) - 1, 0, -1):
@@ -84,32 +97,46 @@ class Tree(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            parent = self.open[-1][1]
-            node = Node(parent, "text", frozenset(), self.nodes[parent].depth + 1)
+            node = self.nodes[self.node(self.open[-1][1], "text", NONE)]
             node.text, node.chars, node.linked = text, len(text), min(self.linked, len(text))
-            self.nodes.append(node)
         self.words, self.linked = [], 0
 
+    def node(self, parent: int, tag: str, hints: frozenset[str]) -> int:
+        if self.nodes[parent].depth >= MAX_DEPTH:
+            parent = self.nodes[parent].parent
+        self.nodes.append(Node(parent, tag, hints, self.nodes[parent].depth + 1))
+        return len(self.nodes) - 1
+
+    def push(self, tag: str, parent: int) -> None:
+        for k in (tag, *KINDS_OF.get(tag, ())):
+            self.places.setdefault(k, []).append(len(self.open))
+        self.open.append((tag, parent))
+        self.links += tag == "a"
+
     def shut(self, at: int) -> None:
         """Close the open elements from place ``at`` on."""
         if any(t in BLOCK for t, _ in self.open[at:]):
             self.flush()
-        self.links -= sum(t == "a" for t, _ in self.open[at:])
-        del self.open[at:]
+        while len(self.open) > at:
+            tag, _ = self.open.pop()
+            self.links -= tag == "a"
+            for k in (tag, *KINDS_OF.get(tag, ())):
+                self.places[k].pop()
 
-    def last(self, tags, stop) -> int:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] in tags:
-                return i
-            if self.open[i][0] in stop:
-                break
-        return 0
+    def last(self, tags: str | frozenset, stop: frozenset = NONE) -> int:
+        """Place of the last open element of ``tags``, 0 if there is none or one of ``stop`` stands after it."""
+        at, wall = self.places.get(tags), self.places.get(stop)
+        return at[-1] if at and (not wall or at[-1] >= wall[-1]) else 0
 
     def ends(self, tag: str) -> bool:
         """Whether the element of the current start tag has an end tag: after it, and before the next start tag unless these may nest."""
         line, column = self.getpos()
-        tags = re.compile(("</" if tag in NESTED else "</?") + tag + r"(?=[\s/>])", re.IGNORECASE)
-        m = tags.search(self.html, self.lines[line - 1] + column + 1)
+        here = self.lines[line - 1] + column + 1
+        if tag in NESTED:
+            if tag not in self.last_ends:
+                self.last_ends[tag] = max((m.start() for m in re.finditer(f"</{tag}(?=[\\s/>])", self.html, re.IGNORECASE)), default=-1)
+            return self.last_ends[tag] >= here
+        m = re.compile(f"</?{tag}(?=[\\s/>])", re.IGNORECASE).search(self.html, here)
         return m is not None and m[0][1] == "/"
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -129,13 +156,13 @@ class Tree(HTMLParser):
         if tag == "br":
             self.words.append(" ")
             return
-        if tag in CLOSES_P and (at := self.last(("p",), P_SCOPE)):
+        if tag in CLOSES_P and (at := self.last("p", P_SCOPE)):
             self.shut(at)
         if tag in ENDS and (at := self.last(*ENDS[tag])):
             while nxt := self.last(*ENDS[tag]):
                 at = min(at, nxt)
                 self.shut(nxt)
-        if tag == "a" and (at := self.last(("a",), P_SCOPE | BLOCK)):
+        if tag == "a" and (at := self.last("a", A_SCOPE)):
             self.shut(at)
         if tag in BLOCK:
             self.flush()
@@ -143,10 +170,8 @@ class Tree(HTMLParser):
             return
         parent = self.open[-1][1]
         if tag in BLOCK:
-            self.nodes.append(Node(parent, tag, hints_of(attrs), self.nodes[parent].depth + 1))
-            parent = len(self.nodes) - 1
-        self.open.append((tag, parent))
-        self.links += tag == "a"
+            parent = self.node(parent, tag, hints_of(attrs))
+        self.push(tag, parent)
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
@@ -156,13 +181,12 @@ class Tree(HTMLParser):
                 return
             if tag in ("body", "html"):
                 self.skip.clear()
-            if tag not in BLOCK or self.skip and self.skip[-1] in RAW or not self.last((tag,), ()):
+            if tag not in BLOCK or self.skip and self.skip[-1] in RAW or not self.last(tag):
                 return
             self.skip.clear()  # the end of a block around it ends what is skipped
         if tag in VOID or tag in ("html", "body"):
             return
-        stop = () if tag in BLOCK else BLOCK
-        if at := self.last((tag,), stop):
+        if at := self.last(tag, NONE if tag in BLOCK else BLOCK):
             self.shut(at)
 
     def handle_data(self, data: str) -> None:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process (tests)."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
@@ -43,24 +48,41 @@ def open_store(uri: str):
 
 
 class AtomicFile:
-    """A file that appears under its name only when complete, so that a retried task leaves no half-written one."""
+    """A file that appears under its name only when complete, so that a retried task leaves no half-written one.
+
+    For use with ``with``: the file is begun by the first write, moved into place at the end, and deleted on an error.
+    """
 
     def __init__(self, folder: str, name: str):
-        self.fs, path = open_store(folder)
-        self.fs.create_dir(path, recursive=True)
-        self.final, self.temp = f"{path}/{name}", f"{path}/_{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temp, compression=None)
+        self.folder, self.name, self.out = folder, name, None
 
     def write(self, data: bytes) -> None:
+        if self.out is None:
+            self.fs, path = open_store(self.folder)
+            self.fs.create_dir(path, recursive=True)
+            self.final, self.temp = f"{path}/{self.name}", f"{path}/_{self.name}.{uuid.uuid4().hex}"
+            self.out = self.fs.open_output_stream(self.temp, compression=None)
         self.out.write(data)
 
     def tell(self) -> int:
-        return self.out.tell()
+        return self.out.tell() if self.out else 0
 
-    def commit(self) -> None:
-        self.out.close()
-        self.fs.move(self.temp, self.final)
+    def __enter__(self) -> AtomicFile:
+        return self
 
-    def abort(self) -> None:
+    def __exit__(self, kind, error, trace) -> None:
+        if self.out is None:
+            return
         self.out.close()
-        self.fs.delete_file(self.temp)
+        if kind is None:
+            self.fs.move(self.temp, self.final)
+        else:
+            self.fs.delete_file(self.temp)
+
+
+def a_file_a_task(files: DataFrame, *more: str) -> DataFrame:
+    """The rows of ``files`` (path and ``more``; a row a file written, so few), in order, each in a partition of its own."""
+    rows = sorted(tuple(r) for r in files.select("path", *more).distinct().collect())
+    spark, n = files.sparkSession, max(1, len(rows))
+    named = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], StructType([StructField("file", LongType()), *files.select("path", *more).schema]))
+    return spark.range(0, n, 1, n).withColumnRenamed("id", "file").join(F.broadcast(named), "file").select("path", *more)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.bpe import vocabulary_path
 from panelwright.llm.pieces import Recent, chunks, cut
-from panelwright.llm.storage import AtomicFile, open_store, scratch, stored
+from panelwright.llm.storage import AtomicFile, a_file_a_task, open_store, scratch, stored
 
 #: Fixed value: the constant of the usual masked-checksum formula.
 MASK_DELTA = 0xA282EAD8
@@ -104,13 +104,11 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sh
     rows = rows.repartitionByRange(*([shards] if shards else []), *order[:2]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, shard = encoder(vocabulary), None, TaskContext.get().partitionId()
+        enc, shard = encoder(vocabulary), TaskContext.get().partitionId()
         name = f"part-{shard:06d}.rec"
         end, width = end_id.to_bytes(enc.width, "little"), bytes([enc.width])
-        for batch in batches:
-            if batch.num_rows and out is None:
-                out = AtomicFile(f"{folder}/records", name)
-            for part in chunks(batch):
+        with AtomicFile(f"{folder}/records", name) as out:
+            for part in (p for batch in batches for p in chunks(batch)):
                 ids, first = enc.encode(part.column("text"))
                 places, n = [], part.num_rows
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
@@ -120,8 +118,6 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sh
                     "shard": pa.array([shard] * n, pa.int32()), "path": pa.array([f"{folder}/records/{name}"] * n, pa.string()),
                     "doc_id": part.column("doc_id"), "at": pa.array(places, pa.int64()), "n_tokens": pa.array(np.diff(first) + 1),
                 })
-        if out is not None:
-            out.commit()
 
     return stored(rows.mapInArrow(run, INDEX), "index", f"{folder}/index")
 
@@ -138,8 +134,7 @@ def read_records(spark: SparkSession, index: DataFrame) -> DataFrame:
     for shard, path, n in sizes:
         bases.append((shard, path, total))
         total += n
-    todo = spark.createDataFrame(bases, "shard int, path string, base long")
-    todo = todo.repartitionByRange(len(bases), "shard") if bases else todo  # a file a task
+    todo = a_file_a_task(spark.createDataFrame(bases, "shard int, path string, base long"), "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,10 +3,13 @@
 An ARC file begins with a version block that names the fields of its record lines: version 1 has five
 (URL, IP address, date, content type, length), version 2 ten (with result code, checksum, location, offset
 and file name before the length). The converter reads a record's line by its file's version and its block
-by the declared length, and synthesises what WARC asks for and ARC lacks: record identifiers (name-based
-UUIDs), ISO timestamps, record types and SHA-1 digests. Of records with equal payloads one is a response
-and the others revisit it. Both kinds of file hold one gzip member a record, so a record is read again by
-its place without its neighbours, and no payload is ever shuffled: only digests and places are.
+by the declared length, which alone finds the next record, so plain files and gzip members of one or many
+records are read. It synthesises what WARC asks for and ARC lacks: record identifiers (name-based UUIDs), ISO
+timestamps, record types and SHA-1 digests. HTTP answers become responses, and of those with equal payloads
+(by size, SHA-1 and BLAKE2) one is a response and the others revisit it; other records (dns:, ftp:) become
+resources; a version block becomes a warcinfo record. Files written here hold a gzip member a record, so a
+record is read again by its place without its neighbours, and no payload is ever shuffled: only digests and
+places are.
 
 Edge cases: a null html counts as empty; a null url is written as ``urn:absent`` and white space in a url
 is percent-encoded; a null page_id can't be referred to and is a response unless an equal payload has an
@@ -27,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm.storage import AtomicFile, open_store, scratch, stored
+from panelwright.llm.storage import AtomicFile, a_file_a_task, open_store, scratch, stored
 
 #: The record-line definitions of the two ARC versions and the WARC revisit profile.
 ARC_FIELDS = {
@@ -36,7 +39,10 @@ ARC_FIELDS = {
 }
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the RFC 4122 name space of URLs
-PLACES = "path string, at long, size long"
+PLACES = "path string, at long, size long, inside long"
+GZIP = b"\x1f\x8b"
+#: Rows that a task gives on at once.
+ROWS = 4096
 
 
 def member(data: bytes, level: int = 1) -> bytes:
@@ -64,6 +70,49 @@ def members(path: str) -> Iterator[tuple[int, int, bytes]]:
             at += size
 
 
+def unpacked(data: bytes) -> bytes:
+    return zlib.decompress(data, 31) if data[:2] == GZIP else data
+
+
+def arc_records(path: str) -> Iterator[tuple[int, int, int, bytes]]:
+    """(offset, size, place inside, record line and block) of the records of an ARC file, each found by the length before it.
+
+    A plain file is read record by record; of a compressed one a member is held at a time.
+    """
+    store, name = open_store(path)
+    with store.open_input_stream(name, compression=None) as stream:
+        packed = stream.read(2) == GZIP
+    if packed:
+        for at, size, data in members(path):
+            inside = 0
+            while inside < len(data):
+                line = data.index(b"\n", inside) + 1
+                if (line - inside) > 1:
+                    end = line + _declared(data[inside:line])
+                    yield at, size, inside, data[inside:end]
+                    line = end
+                inside = line
+        return
+    with store.open_input_stream(name, compression=None, buffer_size=1 << 20) as stream:
+        at, rest = 0, b""
+        while True:
+            while (cut := rest.find(b"\n")) < 0 and (more := stream.read(1 << 16)):
+                rest += more
+            if cut < 0:
+                return
+            line, size = rest[: cut + 1], cut + 1
+            if cut:
+                size += _declared(line)
+                if size > len(rest):
+                    rest += stream.read(size - len(rest))
+                yield at, size, 0, rest[:size]
+            at, rest = at + size, rest[size:]
+
+
+def _declared(line: bytes) -> int:
+    return int(line.rsplit(b" ", 1)[1])
+
+
 def _url(url: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url) if url else "urn:absent"
 
@@ -107,51 +156,49 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> Da
     """ARC files of ``pages`` (page_id, url, html), one a partition, versions 1 and 2 in turn. Returns their paths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, out = TaskContext.get().partitionId(), None
+        part, empty = TaskContext.get().partitionId(), True
         name, version = f"part-{part:06d}.arc.gz", 1 + part % 2
-        for batch in batches:
-            for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                if out is None:
-                    out = AtomicFile(f"{folder}/arc", name)
-                    out.write(member(arc_header(version, name, date)))
-                body = html or b""
-                mark = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
-                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body
-                out.write(member(arc_record(version, _url(url), date, block, name, out.tell())))
-        if out is not None:
-            out.commit()
+        with AtomicFile(f"{folder}/arc", name) as out:
+            for batch in batches:
+                for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                    if empty:
+                        out.write(member(arc_header(version, name, date)))
+                        empty = False
+                    body = html or b""
+                    mark = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
+                    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mark}Content-Length: {len(body)}\r\n\r\n".encode() + body
+                    out.write(member(arc_record(version, _url(url), date, block, name, out.tell())))
+        if not empty:
             yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/arc/{name}"])})
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string").cast("binary"))
     return stored(rows.mapInArrow(run, "path string"), "arc-files")
 
 
-def _a_file_a_task(files: DataFrame) -> DataFrame:
-    paths = sorted(r[0] for r in files.distinct().collect())  # one a partition written
-    todo = files.sparkSession.createDataFrame([(p,) for p in paths], "path string")
-    return todo.repartitionByRange(len(paths), "path") if paths else todo
-
-
-RECORDS = PLACES + ", page_id long, digest binary, n_bytes long, fields string"
+RECORDS = PLACES + ", page_id long, digest binary, strong binary, n_bytes long, kind string, fields string"
 
 
 def scan_arc(files: DataFrame) -> DataFrame:
-    """A row a record: place, page_id, SHA-1 and size of the payload, and the field names of its file."""
+    """A row a record: place, page_id, digests and size of the payload, kind (info, response or resource), and the field names of its file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fields, rows = None, []
-                for at, size, data in members(path):
-                    if fields is None:
-                        fields = arc_fields(data)
-                        continue
+                for at, size, inside, data in arc_records(path):
+                    first = fields is None
+                    fields = fields or arc_fields(data)
                     _, block = parse_arc(data, fields)
-                    http, body = http_parts(block)
-                    rows.append((path, at, size, int(http["x-page-id"]) if "x-page-id" in http else None, hashlib.sha1(body).digest(), len(body), " ".join(fields)))
+                    http, body = http_parts(block) if block.startswith(b"HTTP/") else (None, block)
+                    page_id = int(http["x-page-id"]) if http and "x-page-id" in http else None
+                    kind = "info" if first else "resource" if http is None else "response"
+                    rows.append((path, at, size, inside, page_id, hashlib.sha1(body).digest(), hashlib.blake2b(body, digest_size=16).digest(), len(body), kind, " ".join(fields)))
+                    if len(rows) == ROWS:
+                        yield _table(rows, RECORDS)
+                        rows = []
                 yield _table(rows, RECORDS)
 
-    return _a_file_a_task(files).mapInArrow(run, RECORDS)
+    return a_file_a_task(files).mapInArrow(run, RECORDS)
 
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -171,17 +218,29 @@ def digest32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def warc_record(found: dict[str, str], block: bytes, digest: bytes, name: str, refers: str | None) -> bytes:
-    """A response, or with ``refers`` a revisit, which keeps the HTTP headers without the payload."""
-    d = found["Archive-date"]
+def warc_date(date: str) -> str:
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def warc_info(found: dict[str, str], block: bytes, name: str) -> bytes:
+    """The version block of an ARC file as a warcinfo record."""
+    version, _, origin = block.split(b"\n", 1)[0].decode("utf-8", "replace").partition(" ")
+    body = f"arc-version: {version}\r\narc-origin: {origin.partition(' ')[2]}\r\narc-file: {found['URL'].removeprefix('filedesc://')}\r\n".encode()
+    lines = ["WARC/1.0", "WARC-Type: warcinfo", f"WARC-Record-ID: {name}", f"WARC-Date: {warc_date(found['Archive-date'])}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+
+def warc_record(found: dict[str, str], block: bytes, digest: bytes, name: str, refers: str | None, kind: str = "response") -> bytes:
+    """A response or resource, or with ``refers`` a revisit, which keeps the HTTP headers without the payload."""
     if refers:
         block = block.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
+    content = "application/http; msgtype=response" if kind == "response" else "text/dns" if found["URL"].startswith("dns:") else found["Content-type"]
     lines = [
-        "WARC/1.0", f"WARC-Type: {'revisit' if refers else 'response'}", f"WARC-Record-ID: {name}",
-        f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-Target-URI: {found['URL']}", f"WARC-IP-Address: {found['IP-address']}",
+        "WARC/1.0", f"WARC-Type: {'revisit' if refers else kind}", f"WARC-Record-ID: {name}",
+        f"WARC-Date: {warc_date(found['Archive-date'])}", f"WARC-Target-URI: {found['URL']}", f"WARC-IP-Address: {found['IP-address']}",
         f"WARC-Payload-Digest: sha1:{digest32(digest)}", f"WARC-Block-Digest: sha1:{digest32(hashlib.sha1(block).digest())}",
         *([f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers}"] if refers else []),
-        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
+        f"Content-Type: {content}", f"Content-Length: {len(block)}",
     ]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -189,29 +248,30 @@ def warc_record(found: dict[str, str], block: bytes, digest: bytes, name: str, r
 def convert(files: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """WARC files of the ARC ``files``; payloads of at least ``least_bytes`` that repeat become revisits. Returns their paths."""
     records = stored(scan_arc(files), "arc-records")
-    last = records.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(F.max("page_id").alias("target"))
-    same = F.expr("r.digest = l.digest AND r.n_bytes = l.n_bytes")
-    judged = records.alias("r").join(last.alias("l"), same, "left").select("r.*", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")).alias("refers"))
+    same = ["digest", "strong", "n_bytes"]
+    last = records.where((F.col("n_bytes") >= least_bytes) & (F.col("kind") == "response")).groupBy(*same).agg(F.max("page_id").alias("target"))
+    match = F.expr(" AND ".join(f"r.{c} = l.{c}" for c in same) + " AND r.kind = 'response'")
+    judged = records.alias("r").join(last.alias("l"), match, "left").select("r.*", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")).alias("refers"))
     parts = max(1, files.distinct().count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, opened, source = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None, None, None
-        for batch in batches:
-            for path, at, size, page_id, digest, _, fields, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if path != opened:
-                    store, inner = open_store(path)
-                    opened, source = path, store.open_input_file(inner)
-                source.seek(at)
-                found, block = parse_arc(zlib.decompress(source.read(size), 31), fields.split(" "))
-                if out is None:
-                    out = AtomicFile(f"{folder}/warc", name)
-                    out.write(member(b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: " + record_id(None, name).encode() + b"\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n"))
-                out.write(member(warc_record(found, block, digest, record_id(page_id, f"{path}:{at}"), None if refers is None else record_id(refers, ""))))
-        if out is not None:
-            out.commit()
+        name, opened, source = f"part-{TaskContext.get().partitionId():06d}.warc.gz", None, None
+        with AtomicFile(f"{folder}/warc", name) as out:
+            for batch in batches:
+                for path, at, size, inside, page_id, digest, kind, fields, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if path != opened:
+                        store, inner = open_store(path)
+                        opened, source = path, store.open_input_file(inner)
+                    source.seek(at)
+                    found, block = parse_arc(unpacked(source.read(size))[inside:], fields.split(" "))
+                    own = record_id(page_id, f"{path}:{at}:{inside}")
+                    out.write(member(warc_info(found, block, own) if kind == "info" else warc_record(found, block, digest, own, None if refers is None else record_id(refers, ""), kind)))
+            empty = out.tell() == 0
+        if not empty:
             yield pa.RecordBatch.from_pydict({"path": pa.array([f"{folder}/warc/{name}"])})
 
-    ordered = judged.select(*[c.split()[0] for c in RECORDS.split(", ")], "refers").repartitionByRange(parts, "path", "at").sortWithinPartitions("path", "at")
+    columns = ["path", "at", "size", "inside", "page_id", "digest", "kind", "fields", "refers"]
+    ordered = judged.select(*columns).repartitionByRange(parts, "path", "at").sortWithinPartitions("path", "at", "inside")
     return stored(ordered.mapInArrow(run, "path string"), "warc-files")
 
 
@@ -228,7 +288,7 @@ WARC = "record_id string, refers_id string, page_id long, url string, record_typ
 
 
 def read_warc(files: DataFrame) -> DataFrame:
-    """A row a response or revisit record of the files; block digests and payload digests are checked."""
+    """A row a response, revisit or resource record of the files; block digests and payload digests are checked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,16 +296,21 @@ def read_warc(files: DataFrame) -> DataFrame:
                 rows = []
                 for _, _, data in members(path):
                     found, block = parse_warc(data)
-                    if (kind := found["warc-type"]) not in ("response", "revisit"):
+                    if (kind := found["warc-type"]) not in ("response", "revisit", "resource"):
                         continue
-                    http, body = http_parts(block)
+                    http, body = http_parts(block) if kind != "resource" else ({}, block)
                     digest = found["warc-payload-digest"].removeprefix("sha1:")
-                    if found["warc-block-digest"] != f"sha1:{digest32(hashlib.sha1(block).digest())}" or kind == "response" and digest32(hashlib.sha1(body).digest()) != digest:
+                    if found["warc-block-digest"] != f"sha1:{digest32(hashlib.sha1(block).digest())}" or kind != "revisit" and digest32(hashlib.sha1(body).digest()) != digest:
                         raise ValueError(f"a digest in {path} doesn't hold")
-                    rows.append((found["warc-record-id"], found.get("warc-refers-to"), int(http["x-page-id"]) if "x-page-id" in http else None, found["warc-target-uri"], kind, digest, int(http["content-length"])))
+                    page_id = int(http["x-page-id"]) if "x-page-id" in http else None
+                    size = int(http["content-length"]) if "content-length" in http else None if kind == "revisit" else len(body)
+                    rows.append((found["warc-record-id"], found.get("warc-refers-to"), page_id, found["warc-target-uri"], kind, digest, size))
+                    if len(rows) == ROWS:
+                        yield _table(rows, WARC)
+                        rows = []
                 yield _table(rows, WARC)
 
-    return _a_file_a_task(files).mapInArrow(run, WARC)
+    return a_file_a_task(files).mapInArrow(run, WARC)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,11 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from panelwright.llm import decontaminate, html_extract, language, pii, storage, url_filter, warc
-from panelwright.llm.dom import Tree
+from panelwright.llm.dom import MAX_DEPTH, Tree
 from panelwright.llm.labelled_pages import page
 
 
@@ -88,6 +89,36 @@ def test_arc_versions_and_bad_lengths():
             warc.parse_arc(b"http://x 1 2 3 200 - - 0 f 99\nshort" if version == 2 else b"http://x 1 2 3 99\nshort", fields)
 
 
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("packed", ["plain", "whole", "records"])
+def test_foreign_arc_files(spark, tmp_path, version, packed):
+    """Records without a member each are told apart by their declared lengths alone, even where a block looks like a record line."""
+    date, page = "20010203040506", b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\nhttp://fake 1.2.3.4 20010203040506 text/html 5\n12345\n\n"
+    records = [warc.arc_header(version, "old.arc", date), *(warc.arc_record(version, u, date, b, "old.arc", 0) for u, b in [("http://a/", page), ("dns:a", b"20010203\na. 1 IN A 1.2.3.4\n"), ("http://b/", page), ("http://c/", b"HTTP/1.0 200 OK\r\n\r\n"), ("ftp://d/x", b"plain text")])]
+    data = {"plain": b"".join(records), "whole": warc.member(b"".join(records)), "records": b"".join(map(warc.member, records))}[packed]
+    (tmp_path / "old.arc").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/old.arc",)], "path string")
+    out = warc.convert(files, storage.scratch(spark, "foreign"))
+    got = {r.url: r for r in warc.read_warc(out).collect()}
+    assert {u: r.record_type for u, r in got.items()} == {"http://a/": "response", "http://b/": "response", "http://c/": "response", "dns:a": "resource", "ftp://d/x": "resource"}
+    assert got["http://a/"].payload_bytes == len(page.partition(b"\r\n\r\n")[2]) and got["dns:a"].payload_bytes == 27
+    raw = b"".join(d for _, _, d in warc.members(out.first()[0]))
+    assert raw.count(b"WARC-Type: warcinfo") == 1 and f"arc-version: {version}".encode() in raw and b"2001-02-03T04:05:06Z" in raw and b"text/dns" in raw
+
+
+def test_warc_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    folder = storage.scratch(spark, "arc")
+    assert warc.read_warc(warc.convert(warc.write_arc(pages, folder), folder)).count() == 0
+
+
+def test_a_failed_file_leaves_nothing(tmp_path):
+    with pytest.raises(RuntimeError), storage.AtomicFile(f"file://{tmp_path}", "x") as out:
+        out.write(b"half")
+        raise RuntimeError
+    assert list(tmp_path.iterdir()) == []
+
+
 def luhn(x):
     d = [int(c) for c in x if c.isdigit()][::-1]
     return sum(v if i % 2 == 0 else 2 * v - 9 * (v > 4) for i, v in enumerate(d)) % 10 == 0
@@ -144,6 +175,7 @@ def test_html_extraction(spark):
     pages = spark.createDataFrame([(1, "u", html), (2, None, None), (3, "u", "")], "page_id long, url string, html string")
     got = {r.page_id: r for r in html_extract.extract(pages, model).collect()}
     assert got[1].text == "A & B\n\nOne two.\n\nThree four five six." and got[1].n_chars == len(got[1].text) and got[2].text == got[3].text == ""
+    assert html_extract.extract(pages.limit(0), model).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -165,11 +197,23 @@ def test_unclosed_elements_swallow_no_text(html, want):
     assert " ".join(n.text for n in Tree(html).nodes if n.tag == "text") == want
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "li", "a", "p", "svg", "b", "button", "template", "table"])
+def test_pages_of_very_many_open_elements(tag):
+    began = time.process_time()
+    nodes = Tree(f"<article>{f'<{tag}>' * 200_000}One.</article><p>Two.").nodes
+    assert {"One.", "Two."} & {n.text for n in nodes} and max(n.depth for n in nodes) <= MAX_DEPTH
+    w = (np.zeros(html_extract.N_FEATURES), np.zeros((len(html_extract.EDGES), 2, 2)))
+    html_extract.Forest([nodes]).marginals(*w)
+    assert time.process_time() - began < 60
+
+
+def test_an_unclosed_comment_ends_the_page():
+    assert [n.text for n in Tree("<p>One.</p><script>x = '<!--'</script><p>Two.<!-- three").nodes if n.tag == "text"] == ["One.", "Two."]
+
+
 def test_messages_equal_enumeration():
     import itertools
 
-    import numpy as np
-
     nodes = Tree("<div><p>one</p><div>two<p>three</p></div></div>").nodes
     forest, rng = html_extract.Forest([nodes]), np.random.default_rng(0)
     w, pair = rng.normal(size=html_extract.N_FEATURES), rng.normal(size=(len(html_extract.EDGES), 2, 2))
