@@ -2,10 +2,11 @@
 
 A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII. A window is ten consecutive
 words of a benchmark item; an item of fewer words, but not none, is one window. The set of windows is
-broadcast while it is within ``BROADCAST_WINDOWS``; each text is scanned once for runs of words that all
-occur in the benchmark, candidates are found by hash and verified word by word. A benchmark beyond that
-bound is matched by a shuffled join of the windows themselves instead; its rows are named by doc_id and
-SHA-256 of the text, so null and repeated doc_ids are judged as in a broadcast.
+broadcast while it is within ``BROADCAST_WINDOWS`` and ``BROADCAST_BYTES``; each text is scanned once for runs of words that all
+occur in the benchmark, candidates are found by hash and verified word by word. A benchmark beyond these
+bounds gives the same results by a shuffled join of 128-bit digests of the windows, salted so that a window of
+many documents is dealt to ``SALTS`` tasks; items are attached to distinct windows afterwards. Its rows are named by
+doc_id and SHA-256 of the text, so null and repeated doc_ids are judged as in a broadcast.
 
 Edge cases: a null text has no words; items with null id or no words have no windows; items with equal
 windows are all named; repeated rows are judged each; an empty benchmark hits nothing; other columns of
@@ -15,6 +16,7 @@ either table are ignored (and kept by the cleaning functions).
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import chain, repeat
 
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.rows import drop_rows, text_key
+from panelwright.llm.storage import stored
 
 WINDOW = 10
-#: Windows of up to this many benchmark words in all are broadcast (some 20 MB); more are joined.
-BROADCAST_WINDOWS = 200_000
+#: So many windows of so many bytes in all are broadcast; more are joined.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 200_000, 64 << 20
+SALTS = 16
 
 _SEPARATES = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
 _TABLE = bytes(0x20 if b in set(_SEPARATES) else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -117,8 +121,9 @@ def _chunks(texts: list[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]:
 
 def small_windows(benchmark: DataFrame, size: int = WINDOW) -> list[tuple[bytes, str]] | None:
     """The windows for a broadcast, or None where there are more than may be broadcast."""
-    found = windows(benchmark, size).limit(BROADCAST_WINDOWS + 1).collect()
-    return [(bytes(g), i) for g, i in found] if len(found) <= BROADCAST_WINDOWS else None
+    found = windows(benchmark, size)
+    n, total = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("gram") + F.octet_length("item_id"))).first()
+    return [(bytes(g), i) for g, i in found.collect()] if n <= BROADCAST_WINDOWS and (total or 0) <= BROADCAST_BYTES else None
 
 
 FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -148,22 +153,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     return rows.mapInArrow(run, FOUND)
 
 
+def _digest(gram: bytes) -> bytes:
+    return hashlib.blake2b(gram, digest_size=16).digest()
+
+
+def _keyed_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """(window, item_id): digest of each window and the items that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"window": pa.array([_digest(g) for g in batch.column("gram").to_pylist()], pa.binary()), "item_id": batch.column("item_id")})
+
+    return windows(benchmark, size).mapInArrow(run, "window binary, item_id string")
+
+
 def _hits(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """(h_doc, h_key, at, n, item_id): documents' windows of n words from word ``at`` that are the benchmark's, by a join of their words."""
+    """(h_doc, h_key, at, n, window): documents' windows of n words from word ``at`` that are the benchmark's, by a salted join of their digests."""
     sizes = sorted({r[0] for r in windows(benchmark, size).select(F.size(F.split(F.col("gram").cast("string"), " "))).distinct().collect()})  # at most ``size`` rows
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), _raw(batch), strict=True):
                 w, key = words(text), hashlib.sha256(text).digest()
-                out = [(i, n, b" ".join(w[i : i + n])) for n in sizes for i in range(len(w) - n + 1)]
-                for lo in range(0, len(out), 20_000):
-                    at, n, gram = zip(*out[lo : lo + 20_000], strict=True)
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * len(at), pa.int64()), "text_key": pa.array([key] * len(at), pa.binary()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64()), "gram": pa.array(gram, pa.binary())})
+                places = [(i, n) for n in sizes for i in range(len(w) - n + 1)]
+                for lo in range(0, len(places), 20_000):
+                    at, n = zip(*places[lo : lo + 20_000], strict=True)
+                    found = [_digest(b" ".join(w[i : i + k])) for i, k in places[lo : lo + 20_000]]
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id] * len(at), pa.int64()), "text_key": pa.array([key] * len(at), pa.binary()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64()), "window": pa.array(found, pa.binary())})
 
-    at = rows.dropDuplicates().mapInArrow(spread, "doc_id long, text_key binary, at long, n long, gram binary")
-    found = at.join(windows(benchmark, size), "gram")
-    return found.select(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key"), "at", "n", "item_id")
+    at = rows.dropDuplicates().mapInArrow(spread, "doc_id long, text_key binary, at long, n long, window binary")
+    salted = at.withColumn("salt", F.pmod(F.xxhash64("text_key", "doc_id"), F.lit(SALTS)))
+    known = _keyed_windows(benchmark, size).select("window").distinct()
+    known = known.select("window", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return salted.join(known, ["window", "salt"]).select(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key"), "at", "n", "window")
 
 
 def _joined(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
@@ -174,9 +196,11 @@ def _joined(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
             raw = _raw(batch)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "text_key": pa.array([hashlib.sha256(t).digest() for t in raw], pa.binary()), "n_words": pa.array([len(words(t)) for t in raw], pa.int64())})
 
-    found, key = _hits(rows, benchmark, size), ["h_doc", "h_key"]
-    hit = found.select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("word")).distinct().groupBy("h_doc", "h_key").agg(F.count(F.lit(1)).alias("hits"))
-    items = found.select(*key, "item_id").distinct().groupBy("h_doc", "h_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    found, key = stored(_hits(rows, benchmark, size), "benchmark-hits"), ["h_doc", "h_key"]
+    hit = found.select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("word")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
+    of_window = _keyed_windows(benchmark, size).groupBy("window").agg(F.collect_set("item_id").alias("of"))
+    items = found.select(*key, "window").distinct().join(of_window, "window").select(*key, F.explode("of").alias("item_id")).distinct()
+    items = items.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     all_rows = rows.mapInArrow(base, "doc_id long, text_key binary, n_words long")
     items = items.withColumnsRenamed({"h_doc": "i_doc", "h_key": "i_key"})
     both = hit.join(items, F.expr("h_doc <=> i_doc AND h_key = i_key"))
@@ -235,16 +259,16 @@ def _cleaned_by_join(docs: DataFrame, benchmark: DataFrame, size: int, spans: bo
     hits = _hits(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), benchmark, size)
     if not spans:
         return drop_rows(docs, hits.select(F.col("h_doc").alias("doc_id"), F.lower(F.hex("h_key")).alias("row_key")))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("h_doc")) & (F.unhex(text_key(docs["text"])) == F.col("h_key"))
-    where = hits.groupBy("h_doc", "h_key").agg(F.collect_set(F.struct("at", "n")).alias("h_spans"))
-
+    places, v_doc, v_key = (f"{name}_{uuid.uuid4().hex}" for name in ("spans", "doc", "key"))
+    where = hits.groupBy(F.col("h_doc").alias(v_doc), F.col("h_key").alias(v_key)).agg(F.collect_set(F.struct("at", "n")).alias(places))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(v_doc)) & (F.unhex(text_key(docs["text"])) == F.col(v_key))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = batch.schema.get_field_index("text")
             text = batch.column(place).to_pylist()
-            for i, (raw, found) in enumerate(zip(_raw(batch), batch.column("h_spans").to_pylist(), strict=True)):
+            for i, (raw, found) in enumerate(zip(_raw(batch), batch.column(places).to_pylist(), strict=True)):
                 if found:
                     mask = np.zeros(len(words(raw)), bool)
                     for hit in found:
@@ -253,7 +277,7 @@ def _cleaned_by_join(docs: DataFrame, benchmark: DataFrame, size: int, spans: bo
             cut = batch.set_column(place, batch.schema.field(place), pa.array(text, batch.schema.field(place).type))
             yield cut.select(names)
 
-    return docs.join(where, same, "left").select(*[docs[c] for c in names], "h_spans").mapInArrow(run, docs.schema)
+    return docs.join(where, same, "left").select(*[docs[c] for c in names], places).mapInArrow(run, docs.schema)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,12 +54,19 @@ def test_spans_are_cut(spark):
     assert decontaminate.contamination(docs(spark, [(1, "a")]), empty).first().n_hit == 0
 
 
+def test_the_broadcast_is_bounded_by_bytes(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "w" * 3000)], "item_id long, text string")
+    assert len(decontaminate.small_windows(bench)) == 1 and decontaminate.small_windows(bench.limit(0)) == []
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2000)
+    assert decontaminate.small_windows(bench) is None
+
+
 @pytest.mark.parametrize("bound", [decontaminate.BROADCAST_WINDOWS, 1])
 def test_cleaning_with_null_and_repeated_ids(spark, monkeypatch, bound):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", bound)
     bench = spark.createDataFrame([(1, "one two three"), (2, "two three four"), (3, "x y")], "item_id long, text string")
     rows = [(None, "Say: One, two three! four ok"), (None, "fine"), (5, "a X/y b"), (5, "clean"), (5, "a X/y b"), (6, None), (None, None)]
-    table = docs(spark, rows)
+    table = docs(spark, rows).selectExpr("*", "1 AS h_doc", "2 AS h_key", "3 AS h_spans", "4 AS window", "5 AS salt", "6 AS at")
     clean = decontaminate.remove_contaminated(table, bench)
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([rows[i] for i in (1, 3, 5, 6)], key=str) and clean.schema == table.schema
     cut = decontaminate.remove_spans(table, bench)
