@@ -62,7 +62,7 @@ class RankArrayBpe:
         self.merged = [vocab[a + b] for a, b in merges]
         self.words = regex.compile(PATTERN)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.memo = Recent(lambda parts: list(map(self.of_part, parts)), 300_000)
+        self.memo = Recent(lambda parts: list(map(self.of_part, parts)), 150_000)
         self.names = [b"%d" % i for i in range(max(self.bytes_of) + 1)]
 
     def merge(self, word: bytes) -> list[int]:

@@ -31,7 +31,7 @@ from panelwright.llm.storage import stored
 SLOTS = 4
 MAX_KICKS = 200
 #: Distinct text that a map task holds while it merges copies, and text of a bucket on average.
-HELD_BYTES, BUCKET_BYTES = 32 << 20, 1 << 20
+HELD_BYTES, BUCKET_BYTES = 8 << 20, 1 << 20
 
 
 class CuckooFilter:

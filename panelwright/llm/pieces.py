@@ -75,7 +75,7 @@ class Recent:
         return found
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text; a longer text is the last of its slice."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, total = 0, 0

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import components
-from panelwright.llm.rows import drop_rows, text_key
+from panelwright.llm.rows import drop_rows, parted, text_key
 from panelwright.llm.storage import stored
 
 SEED = 42
@@ -115,7 +115,7 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], name: str = "doc_id", most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], name: str = "doc_id", most: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts) of bounded size."""
     for batch in batches:
         ids, texts, size = [], [], 0
@@ -499,7 +499,9 @@ def _verified_links(docs: DataFrame, base: DataFrame, shingle: int, similarity:
             loose = loose.union(part.select("group", "id", "fp"))
     loose = stored(loose.distinct(), "loose")
     wanted = base.join(loose.select("id").distinct(), "id").select("id", F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row_key", text_key(F.col("text")))
+    wanted = stored(wanted, "wanted")
+    rows, _ = parted(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted.select(F.col("of_doc").alias("doc_id")))
+    keyed = rows.withColumn("row_key", text_key(F.col("text")))
     texts = keyed.join(wanted, F.expr("doc_id <=> of_doc AND row_key = of_key")).select("id", "text").dropDuplicates(["id"])
     return _alike(loose.join(_sets(texts, shingle), "id"), radius, similarity)
 

@@ -65,7 +65,7 @@ def frames(stream, where: str) -> Iterator[bytes]:
 class PieceEncoder:
     """The tokenizers library behind a memory of pieces; ids of an entry come as little-endian bytes."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from panelwright.llm import components, decontaminate, exact_dedup, simhash
+from panelwright.llm import components, decontaminate, exact_dedup, rows, simhash
 from panelwright.llm.exact_dedup import CuckooIndex
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, key int, group_size long"
@@ -241,18 +241,20 @@ def test_recall_of_planted_near_copies(spark):
         assert sum(got.get(i) == c for i, c in want.items()) >= 0.9 * len(want) and set(got) <= set(want)
 
 
+@pytest.mark.parametrize("ids", [rows.BROADCAST_IDS, 0])
 @pytest.mark.parametrize("stage", ["exact", "near", "benchmark"])
-def test_stages_judge_rows(spark, stage):
+def test_stages_judge_rows(spark, monkeypatch, stage, ids):
     """Null and repeated doc_ids, repeated rows, columns named like helpers, and empty tables."""
+    monkeypatch.setattr(rows, "BROADCAST_IDS", ids)
     one, two, bad = "The quick brown fox jumps over the lazy dog", "A wholly different text of some words", "leak leak of the secret test items"
-    rows = [(1, one), (1, two), (1, two), (9, two + "s"), (None, one), (None, bad), (5, bad), (5, None), (None, ""), (9, one)]
-    table = spark.createDataFrame([(i, t, 1, 2, 3, 4, "x") for i, t in rows], "doc_id long, text string, gone int, twice int, hit_doc int, count int, row_key string")
+    table_rows = [(1, one), (1, two), (1, two), (9, two + "s"), (None, one), (None, bad), (5, bad), (5, None), (None, ""), (9, one)]
+    table = spark.createDataFrame([(i, t, 1, 2, 3, 4, "x") for i, t in table_rows], "doc_id long, text string, gone int, twice int, hit_doc int, count int, row_key string")
     bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
     run = {"exact": exact_dedup.keep_one, "near": simhash.drop_similar, "benchmark": lambda t: decontaminate.remove_contaminated(t, bench)}[stage]
     kept = {
         "exact": [(1, two), (9, two + "s"), (5, bad), (5, None), (9, one)],
         "near": [(1, one), (1, two), (9, two + "s"), (5, bad), (5, None)],
-        "benchmark": [r for r in rows if r[1] != bad],
+        "benchmark": [r for r in table_rows if r[1] != bad],
     }[stage]
     got = run(table)
     assert got.schema == table.schema and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(kept, key=str)
