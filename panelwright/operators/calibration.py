@@ -54,3 +54,8 @@ def optimal_temperature(df: DataFrame, lo: float = 0.5, hi: float = 5.0, steps:
     scored = p.select("step", "temperature", "label", F.array_max("probs").alias("prob"), A.argmax_last("probs").alias("pred"))
     e = errors(scored, n_bins, ["step", "temperature"])
     return e.agg(F.min_by("temperature", F.struct("ece", "step")).alias("temperature"), F.min("ece").alias("ece"))
+
+
+def is_well_calibrated(preds: DataFrame, limit: float = 0.05, n_bins: int = 10) -> DataFrame:
+    """One row: ece, mce, and whether the ece is below ``limit``."""
+    return errors(preds, n_bins).withColumn("well_calibrated", F.col("ece") < limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.ranges import before, in_ranges
+
 
 def per_sample(history: DataFrame) -> DataFrame:
     """One row a sample of (sample_id, epoch, pred, true_label, confidence): flips, stability, first and last epochs, regression, difficulty."""
@@ -48,24 +50,63 @@ def sample_weights(df: DataFrame, label: str = "label", beta: float | None = Non
     """Adds ``weight``, the class weight of the row scaled to a mean of 1 over all rows."""
     c = class_weights(df, label, beta)
     mean = c.agg(F.sum(F.col("n") * F.col("weight")) / F.sum("n")).first()[0]
-    return df.join(F.broadcast(c.select(F.col(label).alias("_l"), F.col("weight").alias("_w"))), df[label].eqNullSafe(F.col("_l"))).withColumn("weight", F.col("_w") / F.lit(mean)).drop("_l", "_w")
+    return df.join(c.select(F.col(label).alias("_l"), F.col("weight").alias("_w")), df[label].eqNullSafe(F.col("_l"))).withColumn("weight", F.col("_w") / F.lit(mean)).drop("_l", "_w")
 
 
 def curriculum_weights(df: DataFrame, easy_first: bool = True, loss: str = "loss", id_col: str = "sample_id") -> DataFrame:
-    """Adds ``weight``: 1 - 0.9 rank / n in order of loss (ties by id), scaled to a mean of 1. The rank is by ranges of the loss, so no task holds all rows."""
+    """Adds ``weight``: 1 - 0.9 rank / n in order of loss (ties by id), scaled to a mean of 1.
+
+    Rows of equal loss are counted by ranges of the id and different losses by ranges of the loss, so neither
+    many rows nor a loss of very many rows come to one task.
+    """
     n = df.count()
-    cuts = df.stat.approxQuantile(loss, [i / 64 for i in range(1, 64)], 0.001) if n else []
-    r = F.lit(0)
-    for c in sorted(set(cuts)):
-        r = r + (F.col(loss) > c).cast("int")
-    a = df.withColumn("_r", r if easy_first else -r)
-    counts = a.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_r", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    order = F.col(loss).asc() if easy_first else F.col(loss).desc()
-    k = a.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(order, id_col))).join(F.broadcast(before), "_r")
-    raw = 1 - 0.9 * ((F.col("_b") + F.col("_k") - 1) / n)
-    mean = 1 - 0.9 * (n - 1) / (2 * n) if n else 1.0
-    return k.withColumn("weight", raw / mean).drop("_r", "_k", "_b")
+    if not n:
+        return df.withColumn("weight", F.lit(1.0))
+    rows = in_ranges(df, id_col, "_q")
+    w = Window.partitionBy(loss).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(loss, "_q").agg(F.count(F.lit(1)).alias("_n")).withColumn("_same", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    values = cells.groupBy(loss).agg(F.sum("_n").alias("_n")).withColumn("_order", F.col(loss) if easy_first else -F.col(loss))
+    cut = in_ranges(values, "_order")
+    inside = Window.partitionBy("_r").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    less = cut.withColumn("_here", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(before(cut, [], F.col("_n"))), "_r")
+    less = less.select(F.col(loss).alias("_l"), (F.col("_before") + F.col("_here")).alias("_less"))
+    places = cells.join(less, F.col(loss).eqNullSafe(F.col("_l"))).select("_l", F.col("_q").alias("_p"), (F.col("_less") + F.col("_same")).alias("_first"))
+    numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy(loss, "_q").orderBy(id_col)))
+    k = numbered.join(places, F.col(loss).eqNullSafe(F.col("_l")) & (F.col("_q") == F.col("_p")))
+    raw = 1 - 0.9 * ((F.col("_first") + F.col("_k") - 1) / n)
+    mean = 1 - 0.9 * (n - 1) / (2 * n)
+    return k.withColumn("weight", raw / mean).select(*df.columns, "weight")
+
+
+def curriculum_share(epoch, epochs: int, start: float = 0.2, end: float = 1.0):
+    """Share of the data in use at an epoch: a straight line from ``start`` to ``end`` over the training."""
+    return start + (end - start) * F.least(epoch / max(epochs - 1, 1), F.lit(1.0))
+
+
+def best_epoch(history: DataFrame, metric: str = "valid_loss", lower_is_better: bool = True) -> DataFrame:
+    """One row: the first epoch of the best ``metric`` of a history (epoch, metric), and its value; NaN never is best."""
+    h = history.where(~F.isnan(metric) & F.col(metric).isNotNull())
+    best = F.min_by if lower_is_better else F.max_by
+    key = F.struct(F.col(metric), F.col("epoch") if lower_is_better else -F.col("epoch"))
+    return h.agg(best("epoch", key).alias("epoch"), best(metric, key).alias("value"))
+
+
+def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0, metric: str = "valid_loss", lower_is_better: bool = True) -> DataFrame:
+    """One row: the epoch at which training stops, or null: more than ``patience`` - 1 epochs in a row no better than the best by ``min_delta``, or a NaN.
+
+    A history has a row an epoch, so one task may fold it; runs are told apart by ``run_id`` where it has one.
+    """
+    by = ["run_id"] if "run_id" in history.columns else []
+    rows = F.array_sort(F.collect_list(F.struct("epoch", F.col(metric).cast("double").alias("m"))))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), F.lit(None).cast("long").alias("stop"))
+
+    def step(a, x):
+        better = a["best"].isNull() | (x["m"] < a["best"] - min_delta if lower_is_better else x["m"] > a["best"] + min_delta)
+        bad = F.when(better, 0).otherwise(a["bad"] + 1)
+        stop = F.coalesce(a["stop"], F.when(F.isnan(x["m"]) | (bad >= patience), x["epoch"].cast("long")))
+        return F.struct(F.when(better, x["m"]).otherwise(a["best"]).alias("best"), bad.alias("bad"), stop.alias("stop"))
+
+    return history.groupBy(*by).agg(F.aggregate(rows, start, step, lambda a: a["stop"]).alias("stop_epoch"))
 
 
 def pseudo_labels(preds: DataFrame, how: str = "threshold", threshold: float = 0.9, fraction: float = 0.5, per_class: int = 10, least: float = 0.0) -> DataFrame:

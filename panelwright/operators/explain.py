@@ -22,10 +22,61 @@ def permuted(df: DataFrame, column: str, seed: int = 42, id_col: str = "sample_i
     return df.join(pairs, df[id_col] == F.col("_id")).withColumn(column, F.col("_v")).drop("_id", "_v")
 
 
-def permutation_importance(df: DataFrame, columns: list[str], score: Callable[[DataFrame], float], seed: int = 42) -> list[tuple[str, float]]:
-    """Loss of score when a column is shuffled, the most important first."""
+def _importance(score: Callable[[DataFrame], float], base: float, shuffled: list[DataFrame]) -> tuple[float, float]:
+    """Mean and population deviation of the loss of score."""
+    lost = np.array([base - score(df) for df in shuffled])
+    return float(lost.mean()), float(lost.std())
+
+
+def permutation_importance(df: DataFrame, columns: list[str], score: Callable[[DataFrame], float], seed: int = 42, repeats: int = 5) -> list[tuple[str, float, float]]:
+    """(column, mean, deviation) of the loss of score over ``repeats`` shuffles of each column, the most important first."""
+    base = score(df)
+    found = [(c, *_importance(score, base, [permuted(df, c, seed + i) for i in range(repeats)])) for c in columns]
+    return sorted(found, key=lambda t: (-t[1], t[0]))
+
+
+def step_importance(df: DataFrame, steps: list[int], score: Callable[[DataFrame], float], seed: int = 42, repeats: int = 5, id_col: str = "sample_id") -> list[tuple[int, float, float]]:
+    """As permutation_importance for single steps of the series ``x`` (a row a sample): step t is taken from the next row of a shuffled ring."""
+
+    def moved(t: int, s: int) -> DataFrame:
+        one = permuted(df.withColumn("_step", F.get("x", F.lit(t))), "_step", s, id_col)
+        return one.withColumn("x", F.transform("x", lambda v, i: F.when(i == t, F.col("_step")).otherwise(v))).drop("_step")
+
     base = score(df)
-    return sorted(((c, base - score(permuted(df, c, seed))) for c in columns), key=lambda t: (-t[1], t[0]))
+    found = [(t, *_importance(score, base, [moved(t, seed + i) for i in range(repeats)])) for t in steps]
+    return sorted(found, key=lambda t: (-t[1], t[0]))
+
+
+def input_x_gradient(x: Column | str, gradient: Column | str) -> Column:
+    """|x g| of two arrays."""
+    return F.zip_with(A.col(x), A.col(gradient), lambda a, b: F.abs(a * b))
+
+
+def zero_baseline(x: Column | str) -> Column:
+    return F.transform(A.col(x), lambda v: F.lit(0.0))
+
+
+def normal_baseline(x: Column | str, seed: int = 42, keys: tuple[str, ...] = ("sample_id", "var_id")) -> Column:
+    """Standard normal values in the shape of ``x``, the same on every run."""
+    return F.transform(A.col(x), lambda v, t: R.normal(seed, "baseline", *keys, t))
+
+
+def normalised(attributions: DataFrame, by: list[str], column: str = "attribution") -> DataFrame:
+    """Arrays scaled to 0 ... 1 by the least and greatest value of each group of ``by``; constant groups become 0."""
+    ends = attributions.groupBy(*by).agg(F.min(F.array_min(column)).alias("_lo"), F.max(F.array_max(column)).alias("_hi"))
+    j = attributions.join(ends, by)
+    scale = F.col("_hi") - F.col("_lo")
+    return j.withColumn(column, F.transform(column, lambda v: F.when(scale > 0, (v - F.col("_lo")) / scale).otherwise(0.0))).drop("_lo", "_hi")
+
+
+def mean_by_variable(attributions: DataFrame, column: str = "attribution") -> DataFrame:
+    """(var_id, mean) over samples and steps."""
+    return attributions.select("var_id", F.explode(column).alias("v")).groupBy("var_id").agg(F.avg("v").alias("mean"))
+
+
+def mean_by_step(attributions: DataFrame, column: str = "attribution") -> DataFrame:
+    """(t, mean) over samples and variables."""
+    return attributions.select(F.posexplode(column).alias("t", "v")).groupBy("t").agg(F.avg("v").alias("mean"))
 
 
 def grad_cam(activations: Column | str, gradients: Column | str) -> Column:
@@ -38,9 +89,19 @@ def grad_cam(activations: Column | str, gradients: Column | str) -> Column:
 
 
 def integrated_gradients(x: np.ndarray, baseline: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray], steps: int = 50) -> np.ndarray:
-    """Midpoint rule along the straight line from ``baseline`` to ``x``."""
-    points = (np.arange(steps) + 0.5) / steps
-    return (x - baseline) * np.mean([gradient(baseline + p * (x - baseline)) for p in points], axis=0)
+    """Absolute values of (x - baseline) times the mean gradient along the straight line between them, by the trapezoid rule."""
+    found = np.array([gradient(baseline + p * (x - baseline)) for p in np.linspace(0, 1, steps + 1)])
+    return np.abs((x - baseline) * ((found[1:] + found[:-1]) / 2).mean(axis=0))
+
+
+def attention_mean(layers: list[np.ndarray]) -> np.ndarray:
+    """Mean over layers and heads, summed over the query positions: one value a key."""
+    return np.mean([a.mean(axis=0) for a in layers], axis=0).sum(axis=0)
+
+
+def attention_last(layers: list[np.ndarray]) -> np.ndarray:
+    """Head mean of the last layer, summed over the query positions."""
+    return layers[-1].mean(axis=0).sum(axis=0)
 
 
 def attention_rollout(layers: list[np.ndarray]) -> np.ndarray:

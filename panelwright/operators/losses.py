@@ -70,7 +70,7 @@ def masked_mean(loss: Column, pred, target) -> Column:
 def center_loss(df: DataFrame, centers: DataFrame, features: str = "x", label: str = "label") -> DataFrame:
     """Adds ``center_loss``: half the squared distance to the centre of the row's class; classes without one count as centred at zero. ``centers``: (label, center), a row a class."""
     c = centers.select(F.col("label").alias("_l"), F.col("center").alias("_c"))
-    j = df.join(F.broadcast(c), df[label] == F.col("_l"), "left")
+    j = df.join(c, df[label] == F.col("_l"), "left")
     zero = F.transform(features, lambda v: v * 0)
     d = F.zip_with(features, F.coalesce("_c", zero), lambda a, b: (a - b) * (a - b))
     return j.withColumn("center_loss", 0.5 * A.total(d)).drop("_l", "_c")
@@ -82,3 +82,9 @@ def updated_centers(df: DataFrame, centers: DataFrame, alpha: float = 0.5, featu
     old = centers.select("label", F.posexplode("center").alias("i", "c"))
     new = means.join(old, ["label", "i"], "full").select("label", "i", F.when(F.col("m").isNull(), F.col("c")).otherwise(F.coalesce("c", F.lit(0.0)) + alpha * (F.col("m") - F.coalesce("c", F.lit(0.0)))).alias("v"))
     return new.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias("center"))
+
+
+def center_plus(df: DataFrame, centers: DataFrame, logits: str = "logits", lam: float = 0.003, features: str = "x", label: str = "label") -> DataFrame:
+    """Adds ``loss``: cross entropy plus ``lam`` times the center loss."""
+    j = center_loss(df, centers, features, label)
+    return j.withColumn("loss", cross_entropy(logits, label) + lam * F.col("center_loss")).drop("center_loss")

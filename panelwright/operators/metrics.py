@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.operators.ranges import before, in_ranges
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
@@ -24,7 +26,8 @@ def confusion_grid(preds: DataFrame, n_classes: int) -> DataFrame:
     grid = spark.range(n_classes * n_classes).select(F.floor(F.col("id") / n_classes).cast("int").alias("label"), (F.col("id") % n_classes).cast("int").alias("pred"))
     counted = confusion(preds.select(F.col("label").cast("int"), F.col("pred").cast("int")))
     whole = F.sum("n").over(Window.partitionBy("label"))
-    return grid.join(F.broadcast(counted), ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n")).withColumn("share", _ratio(F.col("n"), whole))
+    counted = counted.where(F.col("label").between(0, n_classes - 1) & F.col("pred").between(0, n_classes - 1))
+    return grid.join(counted, ["label", "pred"], "left").select("label", "pred", F.coalesce("n", F.lit(0)).alias("n")).withColumn("share", _ratio(F.col("n"), whole))
 
 
 def per_class(preds: DataFrame) -> DataFrame:
@@ -61,24 +64,30 @@ def extreme_classes(preds: DataFrame) -> DataFrame:
 
 
 def mcc(preds: DataFrame) -> DataFrame:
-    """Matthews correlation, multiclass form; with two classes it equals the binary one."""
-    c = per_class(preds).agg(F.sum("hit").alias("c"), F.sum("support").alias("n"), F.sum(F.col("support") * F.col("predicted")).alias("pt"), F.sum(F.col("predicted") * F.col("predicted")).alias("pp"), F.sum(F.col("support") * F.col("support")).alias("tt"))
-    s = F.col("n").cast("double") * F.col("n")
+    """Matthews correlation, multiclass form; with two classes it equals the binary one. Products are of doubles, which counts can't overflow."""
+    hit, t, p = (F.col(c).cast("double") for c in ("hit", "support", "predicted"))
+    c = per_class(preds).agg(F.sum(hit).alias("c"), F.sum(t).alias("n"), F.sum(t * p).alias("pt"), F.sum(p * p).alias("pp"), F.sum(t * t).alias("tt"))
+    s = F.col("n") * F.col("n")
     return c.select(_ratio(F.col("c") * F.col("n") - F.col("pt"), F.sqrt((s - F.col("pp")) * (s - F.col("tt")))).alias("mcc"))
 
 
 def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rank-sum AUC of rows (positive BOOLEAN, score) with tied ranks averaged, 0.5 where a class is missing; for each group of ``by``.
 
-    Equal scores are counted first, so the window runs over distinct scores and needs no row per example.
+    Equal scores are counted first, and ranks come from counts by ranges of the score, so no task sees all scores.
     """
     by = by or []
     ties = scores.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.select(*by, "n", "p", (before + (F.col("n") + 1) / 2).alias("rank"))
-    s = ranked.groupBy(*by).agg(F.sum(F.col("p") * F.col("rank")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    cut = in_ranges(ties, "score")
+    inside = Window.partitionBy(*by, "_r").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    here = cut.withColumn("_here", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    rank = F.col("_before") + F.col("_here") + (F.col("n") + 1) / 2
+    ranked = here.join(before(cut, by, F.col("n")), [*by, "_r"]).select(*by, "n", "p", rank.alias("rank"))
+    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    s = ranked.groupBy(*by).agg(F.sum(p * F.col("rank")).alias("r"), F.sum(p).alias("p"), F.sum(n).alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")
-    return s.select(*by, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).otherwise(0.5).alias("auc"), ((p > 0) & (q > 0)).alias("both"))
+    both = (p > 0) & (q > 0)
+    return s.select(*by, F.when(both, (F.col("r") - p * (p + 1) / 2) / (p * q)).otherwise(0.5).alias("auc"), both.alias("both"))
 
 
 def auc_one_vs_rest(probs: DataFrame) -> DataFrame:
@@ -122,3 +131,29 @@ def difficulty(preds: DataFrame) -> DataFrame:
     """Adds ``bucket``: easy (right, confidence 0.9 or more), hard (wrong, or below 0.6), else medium."""
     right = F.col("label") == F.col("pred")
     return preds.withColumn("bucket", F.when(right & (F.col("prob") >= 0.9), "easy").when(~right | (F.col("prob") < 0.6), "hard").otherwise("medium"))
+
+
+def evaluate(preds: DataFrame) -> DataFrame:
+    """One row of (label, pred): accuracy, macro and weighted averages, and Matthews correlation."""
+    return report(preds).crossJoin(mcc(preds))  # two single rows
+
+
+def binary_scores(preds: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """One row of the notebook's two-class metrics of (label, pred) in 0 and 1, with ``eps`` in each denominator."""
+    hit = lambda y, p: F.sum(((F.col("label") == y) & (F.col("pred") == p)).cast("double"))
+    c = preds.agg(hit(1, 1).alias("tp"), hit(0, 1).alias("fp"), hit(1, 0).alias("fn"), hit(0, 0).alias("tn"))
+    p, r = F.col("tp") / (F.col("tp") + F.col("fp") + eps), F.col("tp") / (F.col("tp") + F.col("fn") + eps)
+    total = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    return c.select(((F.col("tp") + F.col("tn")) / total).alias("accuracy"), p.alias("precision"), r.alias("recall"), (2 * p * r / (p + r + eps)).alias("f1"))
+
+
+def label_cardinality(targets: DataFrame, y: str = "y") -> DataFrame:
+    """One row: least, greatest and mean number of positive labels of a multi-label row."""
+    n = F.aggregate(F.col(y), F.lit(0.0), lambda a, v: a + v)
+    return targets.select(n.alias("n")).agg(F.min("n").alias("min"), F.max("n").alias("max"), F.avg("n").alias("mean"))
+
+
+def label_frequency(targets: DataFrame, y: str = "y") -> DataFrame:
+    """(label, n, percent) of each place of a multi-label array."""
+    each = targets.select(F.posexplode(y).alias("label", "v")).groupBy("label")
+    return each.agg(F.sum("v").alias("n"), (F.avg("v") * 100).alias("percent"))

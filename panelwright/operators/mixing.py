@@ -25,7 +25,7 @@ def partners(samples: DataFrame, seed: int, op: str, label: str | None = None) -
     rows = samples.select(*keys)
     ranked = class_rank(rows, seed, "sample_id", label, op).withColumnRenamed("class_rank", "rank") if label else global_rank(rows, R.bits(seed, op, "sample_id"), "sample_id")
     sizes = ranked.groupBy(*([label] if label else [])).agg(F.count(F.lit(1)).alias("_n"))
-    a = ranked.join(F.broadcast(sizes), label) if label else ranked.crossJoin(F.broadcast(sizes))  # one row a class, or one
+    a = ranked.join(sizes, label) if label else ranked.crossJoin(F.broadcast(sizes))  # one row a class, or one
     nxt = a.withColumn("_next", (F.col("rank") + 1) % F.col("_n"))
     b = ranked.select(F.col("sample_id").alias("partner"), F.col("rank").alias("_k"), *([F.col(label).alias("_l")] if label else []))
     on = (nxt["_next"] == b["_k"]) & (nxt[label] == b["_l"] if label else F.lit(True))
@@ -64,3 +64,17 @@ def mix_labels(df: DataFrame, labels: DataFrame, n_classes: int) -> DataFrame:
     other = labels.select(F.col("sample_id").alias("_b"), one_hot("label", n_classes).alias("_yb"))
     j = df.join(mine, df["sample_id"] == F.col("_a")).join(other, F.col("partner") == F.col("_b"))
     return j.withColumn("y", F.zip_with("_ya", "_yb", lambda a, b: F.col("lam") * a + (1 - F.col("lam")) * b)).drop("_a", "_b", "_ya", "_yb")
+
+
+STRATEGIES = {"mixup": mixup, "cutmix": cutmix, "intra_class": lambda panel, samples, alpha, seed: cutmix(panel, samples, alpha, seed, label="label")}
+
+
+def mix(panel: DataFrame, samples: DataFrame, strategy: str = "mixup", alpha: float = 0.4, seed: int = 42) -> DataFrame:
+    """Mixing by a named strategy; ``random`` draws one of them from the seed."""
+    if strategy == "random":
+        import hashlib
+
+        strategy = sorted(STRATEGIES)[int(hashlib.md5(f"{seed}:mix".encode()).hexdigest()[:8], 16) % len(STRATEGIES)]
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    return STRATEGIES[strategy](panel, samples, alpha=alpha, seed=seed)

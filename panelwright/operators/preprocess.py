@@ -26,12 +26,24 @@ def standardize_series(panel: DataFrame) -> DataFrame:
 
 
 def standardize_samples(panel: DataFrame) -> DataFrame:
-    """By the mean and deviation over all variables and steps of a sample: sums of each series are added up by sample and joined back."""
-    sums = panel.groupBy("sample_id").agg(F.sum(F.size("x")).alias("_n"), F.sum(A.total("x")).alias("_a"), F.sum(A.total(F.transform("x", lambda v: v * v))).alias("_b"))
-    stats = sums.select(F.col("sample_id").alias("_id"), (F.col("_a") / F.col("_n")).alias("_m"), F.sqrt(F.greatest(F.col("_b") / F.col("_n") - F.pow(F.col("_a") / F.col("_n"), F.lit(2)), F.lit(0.0))).alias("_s"))
-    j = panel.join(stats, panel.sample_id == stats["_id"])
-    s = F.when(F.col("_s") < 1e-8, 1.0).otherwise(F.col("_s"))
-    return j.withColumn("x", F.transform("x", lambda v: (v - F.col("_m")) / s)).drop("_id", "_m", "_s")
+    """By the mean and deviation over all variables and steps of a sample.
+
+    Each series gives its count, mean and sum of squared deviations; a sample's variables merge theirs, so a large mean costs no digits.
+    """
+    x = F.col("x")
+    mean = A.total(x) / F.size(x)
+    own = A.let(mean, lambda m: F.struct(F.size(x).cast("double").alias("n"), m.alias("m"), F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)).alias("q")))
+
+    def merge(a, b):
+        n, d = a["n"] + b["n"], b["m"] - a["m"]
+        return F.struct(n.alias("n"), (a["m"] + d * b["n"] / n).alias("m"), (a["q"] + b["q"] + d * d * a["n"] * b["n"] / n).alias("q"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+    stats = panel.where(F.size("x") > 0).groupBy("sample_id").agg(F.aggregate(F.collect_list(own), none, merge).alias("_s"))
+    std = F.sqrt(F.col("_s.q") / F.col("_s.n"))
+    stats = stats.select(F.col("sample_id").alias("_id"), F.col("_s.m").alias("_m"), F.when(std < 1e-8, 1.0).otherwise(std).alias("_d"))
+    j = panel.join(stats, panel.sample_id == stats["_id"], "left")
+    return j.withColumn("x", F.transform("x", lambda v: (v - F.col("_m")) / F.col("_d"))).drop("_id", "_m", "_d")
 
 
 class Standardizer:

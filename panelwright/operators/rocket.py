@@ -69,12 +69,24 @@ def pool(y: np.ndarray, bias: float, kinds: tuple[str, ...]) -> list[np.ndarray]
     return [made[k]() for k in kinds]
 
 
+#: Fixed sets of what is pooled from a kernel's output.
 KINDS = {"rocket": ("max", "ppv"), "minirocket": ("ppv",), "multirocket": ("ppv", "mpv", "mipv", "lspv")}
 
 
-def fitted_biases(sample: np.ndarray, bank: list) -> list:
-    """The bank with each bias set to the median output over sample rows."""
-    return [(w, float(np.median(y)) if (y := convolve(sample, w, d, p)).size else b, d, p) for w, b, d, p in bank]
+def fitted_biases(series: list[np.ndarray], bank: list) -> list:
+    """The bank with each bias set to the median output over ``series``; a kernel without any output keeps its own."""
+    def median(w, bias, d, p):
+        y = [convolve(x[None], w, d, p).ravel() for x in series]
+        y = np.concatenate(y) if y else np.zeros(0)
+        return float(np.median(y)) if y.size else bias
+
+    return [(w, median(w, b, d, p), d, p) for w, b, d, p in bank]
+
+
+def fit_bank(panel: DataFrame, bank: list, rows: int = 100) -> list:
+    """``bank`` with biases fitted to the first ``rows`` series by id; that bounds what reaches the driver."""
+    few = panel.orderBy("sample_id", "var_id").select("x").limit(rows).collect()
+    return fitted_biases([np.array(r.x, float) for r in few], bank)
 
 
 def extract_array(x: np.ndarray, bank: list, kinds: tuple[str, ...]) -> np.ndarray:
@@ -118,3 +130,17 @@ def hydra(panel: DataFrame, groups: list[np.ndarray]) -> DataFrame:
                 yield pd.DataFrame({"sample_id": part["sample_id"], "var_id": part["var_id"], "features": list(np.stack(f, axis=1))})
 
     return panel.select(F.col("sample_id").cast("long"), F.col("var_id").cast("int"), "x").mapInPandas(run, "sample_id long, var_id int, features array<double>")
+
+
+def hydra_multirocket(panel: DataFrame, groups: list[np.ndarray]) -> DataFrame:
+    """(sample_id, var_id, features): MultiRocket's four features of each Hydra kernel; a kernel longer than the series gives zeros."""
+    bank = [(w, 0.0, 2**g, 0) for g, b in enumerate(groups) for w in b]
+    longest = max(((len(w) - 1) * d + 1 for w, _, d, _ in bank), default=0)
+    out = extract(panel, bank, "multirocket")
+    if not bank:
+        return out
+    needs = F.array(*[F.lit((len(w) - 1) * d + 1) for w, _, d, _ in bank])
+    sizes = panel.select(F.col("sample_id").alias("_s"), F.col("var_id").alias("_v"), F.size("x").alias("_n")).where(F.col("_n") < longest)
+    j = out.join(sizes, (F.col("sample_id") == F.col("_s")) & (F.col("var_id") == F.col("_v")), "left")
+    zeroed = F.transform("features", lambda v, i: F.when(F.get(needs, F.floor(i / 4).cast("int")) > F.col("_n"), 0.0).otherwise(v))
+    return j.select("sample_id", "var_id", F.when(F.col("_n").isNull(), F.col("features")).otherwise(zeroed).alias("features"))

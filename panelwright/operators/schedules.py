@@ -19,6 +19,10 @@ def one_cycle(step: Column, max_lr: float, total: int, start_share: float = 0.3,
     return F.when(s < warm, lo + (max_lr - lo) * s / max(warm, 1)).otherwise(end + (max_lr - end) * _cos((s - warm) / (total - warm)))
 
 
+def constant(step: Column, lr: float) -> Column:
+    return F.lit(float(lr))
+
+
 def cosine(step: Column, lr: float, least: float, total: int) -> Column:
     return least + (lr - least) * _cos(F.least(step, F.lit(max(total - 1, 0))) / total)
 
@@ -90,3 +94,9 @@ class PlateauReducer:
         if self.bad > self.patience:
             self.lr, self.bad, self.rest = max(self.lr * self.factor, self.least), 0, self.cooldown
         return self.lr
+
+
+def positional_encoding(position: Column, dim: Column, d_model: int) -> Column:
+    """Sinusoidal encoding: sine in even places, cosine in odd ones, of position / 10000^(2 (dim div 2) / d_model)."""
+    angle = position / F.pow(F.lit(10000.0), 2 * F.floor(dim / 2) / d_model)
+    return F.when(dim % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))

@@ -11,7 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def grid(space: dict[str, list]) -> list[dict]:
+def grid_values(spec) -> list:
+    """The values of a parameter in a grid: a list as it is, a range of floats as five equal steps, a range of ints whole."""
+    if isinstance(spec, list):
+        return spec
+    lo, hi = spec[1:] if spec[0] == "log" else spec
+    return list(range(lo, hi + 1)) if isinstance(lo, int) and isinstance(hi, int) else [lo + (hi - lo) * i / 4 for i in range(5)]
+
+
+def grid(space: dict) -> list[dict]:
+    """All combinations of a space as random_points takes it."""
+    space = {k: grid_values(v) for k, v in space.items()}
     return [dict(zip(space, v, strict=True)) for v in itertools.product(*space.values())]
 
 
@@ -46,13 +56,19 @@ def search(points: list[dict], objective: Callable[[dict], float], maximise: boo
     return sorted(((p, objective(p)) for p in points), key=lambda t: -t[1] if maximise else t[1])
 
 
-def successive_halving(points: list[dict], objective: Callable[[dict, int], float], budget: int, eta: int = 3, maximise: bool = True) -> list[tuple[dict, float]]:
-    """The best 1 / eta of each round go on with eta times the budget."""
-    while True:
+def successive_halving(points: list[dict], objective: Callable[[dict, int], float], budget: int, eta: int = 3, maximise: bool = True, max_budget: int | None = None) -> list[tuple[dict, float]]:
+    """The best 1 / eta of each round go on with eta times the budget, while several are left and the budget is within ``max_budget``.
+
+    Returns the trials of all rounds from best to worst; of equal ones the later stands first.
+    """
+    trials: list[tuple[dict, float]] = []
+    while points and (max_budget is None or budget <= max_budget):
         done = search(points, lambda p, b=budget: objective(p, b), maximise)
-        if len(done) <= 1:
-            return done
+        trials = done + trials
+        if len(done) == 1:
+            break
         points, budget = [p for p, _ in done[: max(1, len(done) // eta)]], budget * eta
+    return sorted(trials, key=lambda t: -t[1] if maximise else t[1])
 
 
 def leaderboard(trials: DataFrame, k: int = 10, maximise: bool = True) -> DataFrame:

@@ -1,8 +1,7 @@
 """Train, validation and test splits, cross-validation folds, samplers and batches over rows with an id.
 
 Orders are global where the semantics are (a shuffle cut at a count, consecutive batches). Such a rank is
-made without putting all rows into one task: rows are dealt into ranges of the order, counted by range, and
-ranked inside their range; only the counts, one row a range, are gathered.
+made by ranges (see operators.ranges), so no task holds all rows and the number of ranges follows their number.
 """
 
 from __future__ import annotations
@@ -11,29 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.rand import bits
+from panelwright.operators.ranges import ROWS_A_RANGE, in_ranges, ranked
 
+#: Ranges of a hashed order at least; more where there are more than ROWS_A_RANGE rows in each.
 RANGES = 64
 
 
+def _hashed(df: DataFrame, order: Column) -> DataFrame:
+    """Adds ``_o``, a hash of 32 bits as ``bits`` gives, and its range; hashes are even, so equal widths do."""
+    ranges = max(RANGES, -(-df.count() // ROWS_A_RANGE))
+    return df.withColumn("_o", order).withColumn("_r", F.floor(F.col("_o") / (2**32 / ranges)).cast("long"))
+
+
 def global_rank(df: DataFrame, order: Column, id_col: str, out: str = "rank") -> DataFrame:
     """Rank 0, 1, ... of all rows by (``order``, ``id_col``). ``order`` is a 32-bit integer, as ``bits`` gives."""
-    ranges = df.withColumn("_o", order).withColumn("_r", F.floor(F.col("_o") / (2**32 / RANGES)).cast("int"))
-    return _ranked(ranges, [F.col("_o"), F.col(id_col)], out)
+    return ranked(_hashed(df, order), ["_o", id_col], out).drop("_o")
 
 
 def rank_by_id(df: DataFrame, id_col: str, out: str = "rank") -> DataFrame:
-    """Rank of all rows by their id; ranges come from the least and greatest id."""
-    lo, hi = df.agg(F.min(id_col), F.max(id_col)).first()
-    width = max(1, -(-((hi or 0) - (lo or 0) + 1) // RANGES))
-    return _ranked(df.withColumn("_r", F.floor((F.col(id_col) - F.lit(lo)) / width).cast("int")), [F.col(id_col)], out)
-
-
-def _ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    counts = df.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))  # RANGES rows
-    before = counts.select("_r", (F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
-    inside = df.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
-    joined = inside.join(F.broadcast(before), "_r")
-    return joined.withColumn(out, (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_r", "_o", "_k", "_before")
+    """Rank of all rows by their numeric id; any distribution of ids will do."""
+    return ranked(in_ranges(df, id_col), [id_col], out)
 
 
 def _count(n: int, ratio: float) -> int:
@@ -109,19 +105,13 @@ def limited_labels(df: DataFrame, fraction: float, seed: int = 42, id_col: str =
 def _by_class(df: DataFrame, take: Column, yes: str, no: str, seed: int, id_col: str, label: str) -> DataFrame:
     rows = class_rank(df, seed, id_col, label)
     sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = rows.join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("_l")))
+    joined = rows.join(sizes, F.col(label).eqNullSafe(F.col("_l")))
     return joined.withColumn("split", F.when(F.col("class_rank") < take, yes).otherwise(no)).drop("class_rank", "_l", "_n")
 
 
 def class_rank(df: DataFrame, seed: int, id_col: str = "sample_id", label: str = "label", op: str = "class") -> DataFrame:
     """Rank 0, 1, ... of each row in a shuffle of its class, made by ranges as global_rank is."""
-    rows = df.withColumn("_o", bits(seed, op, id_col)).withColumn("_r", F.floor(F.col("_o") / (2**32 / RANGES)).cast("int"))
-    counts = rows.groupBy(F.col(label).alias("_c"), F.col("_r").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_c").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_c", "_q", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_k", F.row_number().over(Window.partitionBy(label, "_r").orderBy("_o", id_col)))
-    joined = inside.join(before, F.col(label).eqNullSafe(F.col("_c")) & (F.col("_r") == F.col("_q")))
-    return joined.withColumn("class_rank", (F.col("_before") + F.col("_k") - 1).cast("long")).drop("_o", "_r", "_k", "_c", "_q", "_before")
+    return ranked(_hashed(df, bits(seed, op, id_col)), ["_o", id_col], "class_rank", [label]).drop("_o")
 
 
 def stratified_order(df: DataFrame, seed: int = 42, id_col: str = "sample_id", label: str = "label") -> DataFrame:

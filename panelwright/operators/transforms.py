@@ -75,6 +75,12 @@ def gaussian_noise(x, d, std=0.1):
     return F.transform(x, lambda v, t: v + std * d.z("noise", *SERIES, t))
 
 
+@transform
+def uniform_noise(x, d, std=0.1):
+    """Adds uniform noise between -std and std to each element."""
+    return F.transform(x, lambda v, t: v + std * (2 * d.u("noise", *SERIES, t) - 1))
+
+
 @transform
 def mag_add_noise(x, d, magnitude=0.1):
     """Adds normal noise in proportion to the value's size."""
@@ -385,6 +391,13 @@ def resize_back(x, d, lo=0.8, hi=1.2, kernel="ends"):
     return A.lerp(A.lerp(x, n, kernel), _len(x), kernel)
 
 
+@transform
+def random_size(x, d, min_ratio=0.8, max_ratio=1.2):
+    """Resampled to a random ratio of its length and back, ends on ends."""
+    n = F.greatest(_int(_len(x) * d.between(min_ratio, max_ratio, "ratio")), F.lit(2))
+    return A.lerp(A.lerp(x, n), _len(x))
+
+
 @transform
 def random_time_scale(x, d, lo=0.8, hi=1.2):
     """Resampled to L / scale and back."""

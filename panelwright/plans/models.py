@@ -1,12 +1,12 @@
-"""Search, explanation, kernel-feature and streaming queries. Features of random kernels have no SQL; tests hold them against NumPy."""
+"""Search, explanation, classifier and streaming queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import explain, rocket, search
+from panelwright.operators import explain, search
 from panelwright.plans.registry import query
-from panelwright.plans.tables import E, Q, quarters, r, rr, table, vectors
+from panelwright.plans.tables import E, Q, r, rr, table, vectors
 from panelwright.streaming.windows import windowed_features
 
 
@@ -38,22 +38,6 @@ def event_windows(spark, sf_dir):
     return windowed_features(e, "user_id", "ts", "value", "7 days").select("sample_id", "start", "n", r("mean").alias("mean"), "min", "max")
 
 
-def _kernels(name, bank, kind):
-    @query(name)
-    def run(spark, sf_dir):
-        return rocket.extract(vectors(spark, sf_dir), bank(), kind)
-
-
-_kernels("minirocket", lambda: rocket.minirocket_bank(168, 64), "minirocket")
-_kernels("rocket", lambda: rocket.rocket_bank(100, 64), "rocket")
-_kernels("multirocket", lambda: rocket.minirocket_bank(84, 64), "multirocket")
-
-
-@query("hydra")
-def hydra(spark, sf_dir):
-    return rocket.hydra(quarters(spark, sf_dir), rocket.hydra_groups(2, 8, size=5))
-
-
 @query("rocket_classifier")
 def rocket_classifier(spark, sf_dir):
     from panelwright.operators.training import SeriesClassifier

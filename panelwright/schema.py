@@ -23,14 +23,15 @@ def to_panel(long: DataFrame) -> DataFrame:
     return long.groupBy(*KEY).agg(F.transform(cells, lambda c: c["value"]).alias("x"))
 
 
-def wide_to_panel(df: DataFrame, sample_id: str, columns: list[str], n_vars: int) -> DataFrame:
-    """Columns in order (var 0 step 0, var 0 step 1, ...) of each row; missing and unreadable cells become 0."""
+def wide_to_panel(df: DataFrame, sample_id: str, columns: list[str], n_vars: int, keep: list[str] | None = None) -> DataFrame:
+    """Columns in order (var 0 step 0, var 0 step 1, ...) of each row, with the columns of ``keep``; missing and unreadable cells become 0."""
     if n_vars < 1 or len(columns) % n_vars:
         raise ValueError(f"{len(columns)} columns don't make {n_vars} variables")
     length = len(columns) // n_vars
     cell = lambda c: F.coalesce(F.expr(f"try_cast(`{c}` AS DOUBLE)"), F.lit(0.0))
     series = [F.struct(F.lit(v).alias("var_id"), F.array(*[cell(c) for c in columns[v * length : (v + 1) * length]]).alias("x")) for v in range(n_vars)]
-    return df.select(F.col(sample_id).cast("long").alias("sample_id"), F.explode(F.array(*series)).alias("s")).select("sample_id", "s.var_id", "s.x")
+    keep = keep or []
+    return df.select(F.col(sample_id).cast("long").alias("sample_id"), *keep, F.explode(F.array(*series)).alias("s")).select("sample_id", "s.var_id", "s.x", *keep)
 
 
 def transpose(panel: DataFrame) -> DataFrame:
@@ -78,3 +79,47 @@ def label_codes(df: DataFrame, label: str = "label", out: str = "code") -> DataF
 def one_hot(code: Column | str, n: int) -> Column:
     c = F.col(code) if isinstance(code, str) else code
     return F.array(*[(c == i).cast("double") for i in range(n)])
+
+
+def stack_variables(frames: list[DataFrame]) -> DataFrame:
+    """One panel of several univariate frames (sample_id, x): frame i becomes variable i."""
+    out = None
+    for i, f in enumerate(frames):
+        part = f.select("sample_id", F.lit(i).alias("var_id"), "x")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mixed_input(panel: DataFrame, tabular: DataFrame) -> DataFrame:
+    """Series and tabular columns of the same samples, side by side; samples that only one of them has are an error."""
+    series = panel.select("sample_id").distinct()
+    rows = tabular.select("sample_id").distinct()
+    odd = series.join(rows, "sample_id", "left_anti").union(rows.join(series, "sample_id", "left_anti"))
+    if not odd.isEmpty():
+        raise ValueError("series and table name different samples")
+    return panel.join(tabular, "sample_id")
+
+
+def labelled_union(labelled: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """(sample_id, label, weight): true labels with weight 1 and pseudo-labels (sample_id, pred, weight) of samples without one."""
+    extra = pseudo.join(labelled.select("sample_id"), "sample_id", "left_anti").select("sample_id", F.col("pred").alias("label"), "weight")
+    return labelled.select("sample_id", "label", F.lit(1.0).alias("weight")).unionByName(extra)
+
+
+def class_count(*frames: DataFrame, label: str = "label") -> int:
+    """Different labels over all frames, as in train and test together."""
+    both = frames[0].select(label)
+    for f in frames[1:]:
+        both = both.union(f.select(label))
+    return both.agg(F.countDistinct(label)).first()[0]
+
+
+def filled(samples: DataFrame, n_vars: int, length: int, value: float = 0.0) -> DataFrame:
+    """A panel of one value for the ids of ``samples``: zeros, ones, or with ``value`` 1 a mask of valid steps."""
+    cells = F.array_repeat(F.lit(float(value)), length)
+    return samples.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(n_vars - 1))).alias("var_id")).withColumn("x", cells)
+
+
+def channels(images: dict[str, Column], order: list[str] | None = None) -> Column:
+    """Images of one series as an array (channel, row, column), in the given order."""
+    return F.array(*[images[k] for k in order or list(images)])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,15 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = N
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that nothing else uses, in the folder of ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
+        found = context.getCheckpointDir()
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -20,11 +20,10 @@ def read_csv(spark: SparkSession, path: str, n_vars: int, seq_len: int, has_labe
     if len(cells) != want:
         raise ValueError(f"{len(cells)} columns, {want} expected")
     rows = df.withColumn("sample_id", F.col(id_col).cast("long") if id_col else F.monotonically_increasing_id())
-    panel = schema.wide_to_panel(rows, "sample_id", cells[: n_vars * seq_len], n_vars)
     if not has_labels:
-        return panel
-    labels = rows.select("sample_id", F.expr(f"try_cast(`{cells[-1]}` AS DOUBLE)").alias("label"))
-    return panel.join(labels, "sample_id")
+        return schema.wide_to_panel(rows, "sample_id", cells, n_vars)
+    rows = rows.withColumn("label", F.expr(f"try_cast(`{cells[-1]}` AS DOUBLE)"))
+    return schema.wide_to_panel(rows, "sample_id", cells[:-1], n_vars, keep=["label"])
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str], n_vars: int, label: str | None = None, sample_id: str | None = None) -> DataFrame:
@@ -64,7 +63,7 @@ def remap_labels(train: DataFrame, test: DataFrame | None = None, label: str = "
     """``code`` 0, 1, ... of the sorted distinct labels of train and test together, so that both use the same codes."""
     labels = train.select(label) if test is None else train.select(label).union(test.select(label))
     codes = labels.where(F.col(label).isNotNull()).distinct().select(F.col(label).alias("_l"), (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias("code"))
-    join = lambda df: df.join(F.broadcast(codes), df[label] == codes["_l"], "left").drop("_l")  # noqa: E731  a row a class
+    join = lambda df: df.join(codes, df[label] == codes["_l"], "left").drop("_l")  # noqa: E731  a row a class
     return join(train), None if test is None else join(test)
 
 
@@ -91,7 +90,7 @@ def read_tsf(spark: SparkSession, path: str) -> DataFrame:
 
 def tsf_attributes(spark: SparkSession, path: str) -> dict[str, str]:
     """Header attributes by lower-case name; a header is a few lines."""
-    rows = _lines(spark, path).where(F.col("line").startswith("@")).select(F.split("line", "\\s+", 2).alias("p")).limit(1000).collect()
+    rows = _lines(spark, path).where(F.col("line").startswith("@")).select(F.split("line", "\\s+", 2).alias("p")).collect()
     return {r.p[0][1:].lower(): (r.p[1] if len(r.p) > 1 else "") for r in rows}
 
 
@@ -130,5 +129,6 @@ def read_npy(spark: SparkSession, path: str, key: str | None = None) -> DataFram
 
 
 def read_archive(spark: SparkSession, train: str, test: str, reader=read_tsv) -> DataFrame:
-    """Both files of a data set with ``split``."""
-    return reader(spark, train).withColumn("split", F.lit("train")).unionByName(reader(spark, test).withColumn("split", F.lit("test")))
+    """Both files of a data set with ``split``. Ids count anew in each file, so training samples get even ids and test samples odd ones."""
+    name = lambda path, k, split: reader(spark, path).withColumn("sample_id", F.col("sample_id") * 2 + k).withColumn("split", F.lit(split))
+    return name(train, 0, "train").unionByName(name(test, 1, "test"))

@@ -22,3 +22,40 @@ def write_json(df: DataFrame, path: str) -> None:
 def write_panel(panel: DataFrame, path: str, buckets: int | None = None) -> None:
     """Parquet, hashed by sample where ``buckets`` is given, so that all variables of a sample lie together."""
     (panel.repartition(buckets, "sample_id") if buckets else panel).write.mode("error").parquet(path)
+
+
+def write_npy(panel: DataFrame, path: str, key: str | None = None) -> str:
+    """Rank-3 arrays (sample, variable, step), a .npy file (.npz with ``key``) a partition of whole samples; series must have one length. Returns ``path``."""
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        for i, b in enumerate(batches):
+            for j, (_, whole) in enumerate(b.groupby(b["xs"].map(len))):
+                out = io.BytesIO()
+                a = np.stack([np.stack(list(xs)) for xs in whole["xs"]])
+                np.savez(out, **{key: a}) if key else np.save(out, a)
+                yield pd.DataFrame({"name": [f"part-{part:05d}-{i:05d}-{j}"], "content": [out.getvalue()]})
+
+    series = F.transform(F.array_sort(F.collect_list(F.struct("var_id", "x"))), lambda s: s["x"])
+    whole = panel.groupBy("sample_id").agg(series.alias("xs"))
+    files = whole.select("xs").mapInPandas(run, "name string, content binary")
+    end = "npz" if key else "npy"
+
+    def save(rows):
+        from pyarrow import fs
+
+        for r in rows:
+            uri = path if "://" in path else "file://" + path.removeprefix("file:")
+            store, folder = fs.FileSystem.from_uri(uri)
+            store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{folder}/{r.name}.{end}", compression=None) as f:
+                f.write(r.content)
+
+    files.foreachPartition(save)
+    return path
