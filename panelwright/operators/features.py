@@ -55,21 +55,29 @@ def longest_strike(x: Column, test) -> Column:
 
 
 def approximate_entropy(x: Column, r: Column, m: int = 2) -> Column:
-    """Self-matches count; quadratic in the length of the series."""
+    """Self-matches count; quadratic in the length of the series. Windows of m + 1 values that match are looked for among those whose first m do."""
+    n = F.size(x) - m + 1
 
-    def phi(size: int) -> Column:
-        n = F.size(x) - size + 1
+    def alike(a: Column, b: Column, r: Column, places) -> Column:
+        out = F.lit(True)
+        for k in places:
+            out = out & (F.abs(a[f"v{k}"] - b[f"v{k}"]) <= r)
+        return out
 
-        def alike(i: Column, j: Column) -> Column:
-            out = F.lit(True)
-            for k in range(size):
-                out = out & (F.abs(F.get(x, i + k) - F.get(x, j + k)) <= r)
-            return out
+    def counts(w: Column, r: Column) -> Column:
+        def one(a: Column) -> Column:
+            near = F.filter(w, lambda b: alike(a, b, r, range(m)))
+            more = lambda c: F.when(a[f"v{m}"].isNotNull(), F.size(F.filter(c, lambda b: F.coalesce(alike(a, b, r, [m]), F.lit(False)))))
+            return A.let(near, lambda c: F.struct(F.size(c).alias("short"), more(c).alias("long")))
 
-        shares = F.transform(A.steps(n), lambda i: F.log(F.size(F.filter(A.steps(n), lambda j: alike(i, j))) / n))
-        return A.total(shares) / n
+        return F.transform(w, one)
 
-    return F.when(F.size(x) >= 10, phi(m) - phi(m + 1))
+    def phi(found: Column, name: str, n: Column) -> Column:
+        return A.total(F.transform(found, lambda c: F.coalesce(F.log(c[name] / n), F.lit(0.0)))) / n
+
+    windows = F.transform(A.steps(n), lambda i: F.struct(*[F.get(x, i + k).alias(f"v{k}") for k in range(m + 1)]))
+    found = A.let(windows, lambda w: A.let(r, lambda r: counts(w, r)))
+    return F.when(F.size(x) >= 10, A.let(found, lambda c: phi(c, "short", n) - phi(c, "long", n - 1)))
 
 
 def binned_entropy(x: Column, lo: Column, hi: Column, bins: int = 10) -> Column:
