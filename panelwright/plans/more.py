@@ -12,7 +12,7 @@ from panelwright.operators import calibration, dynamics, explain, losses, metric
 from panelwright.operators import mixing as X
 from panelwright.operators import transforms as T
 from panelwright.plans.registry import query
-from panelwright.plans.tables import E, L, Q, V, logits, quarters, r, rr, table, vectors
+from panelwright.plans.tables import E, L, Q, S, V, events_long, logits, quarters, r, rr, table, vectors
 from panelwright.plans.transforms import _SER, _U, _long, _lookup, _panel, _resample, _transform
 
 # transforms
@@ -295,6 +295,44 @@ def image_channels(spark, sf_dir):
     return rows.select("sample_id", "channel", "i", F.posexplode("row").alias("j", "v")).select("sample_id", "channel", "i", "j", r("v").alias("value"))
 
 
+@query("select_rows", f"WITH {E} SELECT pos, e.sample_id, e.t::INT AS t, {rr('v')} AS value FROM e JOIN (SELECT i AS pos, (i * 7) % 20 AS k FROM range(30) AS q(i)) ON sample_id = (SELECT min(sample_id) FROM e) + k WHERE t < 4")
+def select_rows(spark, sf_dir):
+    """Rows by a list of ids in its order, some twice."""
+    v = vectors(spark, sf_dir).select("sample_id", "var_id", F.slice("x", 1, 4).alias("x"))
+    first = v.agg(F.min("sample_id")).first()[0]
+    index = spark.range(30).select(F.col("id").alias("pos"), ((F.col("id") * 7) % 20 + F.lit(first)).alias("sample_id"))
+    return _long(schema.select_rows(v, index), "pos")
+
+
+@query("long_to_panel", f"WITH {S} SELECT sample_id, count(*)::INT AS n, {rr('sum(v * (t + 1))', 4)} AS weighted FROM e GROUP BY 1")
+def long_to_panel(spark, sf_dir):
+    p = schema.to_panel(events_long(spark, sf_dir).withColumn("var_id", F.lit(0)))
+    weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return p.select("sample_id", F.size("x").alias("n"), r(weighted, 4).alias("weighted"))
+
+
+@query("panel_to_long", f"WITH {E}, {Q} SELECT sample_id, var_id, t, {rr('v')} AS value FROM q")
+def panel_to_long(spark, sf_dir):
+    rows = schema.to_long(quarters(spark, sf_dir).select("sample_id", "var_id", "x"))
+    return rows.select("sample_id", "var_id", "t", r("value").alias("value"))
+
+
+@query("panel_numel", f"WITH {E}, {Q} SELECT count(*) AS cells, true AS compatible FROM q")
+def panel_numel(spark, sf_dir):
+    q = quarters(spark, sf_dir)
+    return schema.numel(q).crossJoin(schema.compatible(q.where("sample_id % 2 = 0"), q.where("sample_id % 2 = 1")))
+
+
+_MIX = "ring AS (SELECT sample_id, label, coalesce(lead(sample_id) OVER w, first_value(sample_id) OVER w) AS partner FROM (SELECT vec_id AS sample_id, label, {} AS b FROM embeddings) WINDOW w AS (ORDER BY b, sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+@query("mix_labels", f"WITH {_MIX.format(sql_bits(42, 'mixup', 'vec_id'))}, p AS (SELECT a / (a + b) AS l FROM (SELECT power({sql_uniform(42, 'mixup/u')}, 1 / 0.4::DOUBLE) AS a, power({sql_uniform(42, 'mixup/v')}, 1 / 0.4::DOUBLE) AS b)) SELECT r.sample_id, c::INT AS class, {rr('l * (r.label = c)::INT + (1 - l) * (o.label = c)::INT')} AS y FROM ring r JOIN ring o ON o.sample_id = r.partner, p, range(10) AS k(c)")
+def mix_labels(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    mixed = X.mix_labels(X.mixup(v.select("sample_id", "var_id", "x"), v.select("sample_id", "label")), v.select("sample_id", "label"), 10)
+    return mixed.select("sample_id", F.posexplode("y").alias("class", "y")).select("sample_id", "class", r("y").alias("y"))
+
+
 # attributions: the second half of a vector stands for the gradient of the first
 
 

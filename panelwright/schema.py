@@ -123,3 +123,15 @@ def filled(samples: DataFrame, n_vars: int, length: int, value: float = 0.0) ->
 def channels(images: dict[str, Column], order: list[str] | None = None) -> Column:
     """Images of one series as an array (channel, row, column), in the given order."""
     return F.array(*[images[k] for k in order or list(images)])
+
+
+def numel(panel: DataFrame) -> DataFrame:
+    """One row: the number of cells."""
+    return panel.agg(F.coalesce(F.sum(F.size("x")), F.lit(0)).cast("long").alias("cells"))
+
+
+def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: whether two panels agree in variables and length, so that they may be joined end to end."""
+    one, two = (shape(p).select("n_vars", "seq_len") for p in (a, b))
+    left, right = one.toDF("v", "n"), two.toDF("w", "m")
+    return left.crossJoin(right).select(((F.col("v") == F.col("w")) & (F.col("n") == F.col("m"))).alias("compatible"))  # two single rows
