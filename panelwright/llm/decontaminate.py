@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.pieces import chunks
 from panelwright.llm.rows import drop_rows, text_key
 from panelwright.llm.storage import stored
 
@@ -107,18 +108,6 @@ class Scanner:
         return [(int(k), covered[s : s + k], f) for k, s, f in zip(sizes, starts, items, strict=False)]
 
 
-def _chunks(texts: list[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]:
-    chunk, size = [], 0
-    for t in texts:
-        chunk.append(t)
-        size += len(t)
-        if size > most:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
-
-
 def small_windows(benchmark: DataFrame, size: int = WINDOW) -> list[tuple[bytes, str]] | None:
     """The windows for a broadcast, or None where there are more than may be broadcast."""
     found = windows(benchmark, size)
@@ -146,8 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(sent.value)
-        for batch in batches:
-            found = [x for chunk in _chunks(_raw(batch)) for x in scanner.scan(chunk)]
+        for batch in (part for whole in batches for part in chunks(whole)):
+            found = scanner.scan(_raw(batch))
             yield _verdict(batch.column("doc_id").to_pylist(), [k for k, _, _ in found], [int(m.sum()) for _, m, _ in found], [f for _, _, f in found])
 
     return rows.mapInArrow(run, FOUND)
@@ -241,9 +230,9 @@ def _cleaned(docs: DataFrame, benchmark: DataFrame, size: int, spans: bool) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             raw = _raw(batch)
-            masks = [m for chunk in _chunks(raw) for _, m, _ in scanner.scan(chunk)]
+            masks = [m for _, m, _ in scanner.scan(raw)]
             hit = [bool(m.any()) for m in masks]
             if not spans:
                 yield batch.filter(pa.array([not h for h in hit], pa.bool_()))

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.pieces import chunks
 from panelwright.llm.rows import drop_rows
 from panelwright.llm.storage import stored
 
@@ -167,7 +168,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         return _contents([(hashlib.sha256(c).digest(), c, n, i) for c, (n, i) in held.items()])
 
-    for batch in batches:
+    for batch in (part for whole in batches for part in chunks(whole)):
         for content, doc_id in zip(_texts(batch), batch.column("doc_id").to_pylist(), strict=True):
             if found := held.get(content):
                 found[0] += 1
@@ -206,7 +207,7 @@ def _indexed(rows: DataFrame, buckets: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             return _contents([(key, *entry) for key, entries in index.live.items() for entry in entries])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "content")):
             for bucket, key, content, n, keep_id in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "content", "n", "keep_id")), strict=True):
                 if bucket != at:
                     yield close()
@@ -229,7 +230,7 @@ def content_groups(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in chunks(whole)):
         raw = _texts(batch)
         yield pa.RecordBatch.from_pydict({
             "doc_id": batch.column("doc_id"), "key": pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), "n_bytes": pa.array(list(map(len, raw)), pa.int64()),

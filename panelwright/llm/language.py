@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.pieces import chunks
 from panelwright.llm.storage import stored
 
 UNKNOWN = "und"
@@ -30,7 +31,7 @@ ORDERS = range(5, 0, -1)
 #: Different texts of a language to learn from, on average.
 ROWS_PER_LANGUAGE = 400
 #: Unknown words remembered by a worker at once.
-REMEMBERED = 50_000
+REMEMBERED = 100_000
 
 _TABLE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -50,7 +51,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in chunks(whole)):
         found: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             found.setdefault(lang, Counter()).update(words(text))
@@ -136,7 +137,7 @@ class Scorer(dict):
                 at.append(i)
                 each.append(words(text))
                 size += len(each[-1])
-            if size and (size > 200_000 or i == len(texts) - 1):
+            if size and (size > 100_000 or i == len(texts) - 1):
                 self.room(len(set().union(*each)))
                 count = np.array([len(w) for w in each])
                 rows = np.fromiter((r for w in each for r in map(self.__getitem__, w)), np.int64, size)
@@ -157,7 +158,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             labels, scores = scorer.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(labels, pa.string()), "score": pa.array(scores, pa.float64())})
 
@@ -171,7 +172,7 @@ def keep_identified(docs: DataFrame, model: dict, least_score: float = 0.3) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole)):
             labels, scores = scorer.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in zip(labels, scores, strict=True)], pa.bool_()))
 

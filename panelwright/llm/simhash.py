@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.components import components
+from panelwright.llm.pieces import chunks
 from panelwright.llm.rows import drop_rows, parted, text_key
 from panelwright.llm.storage import stored
 
@@ -115,19 +116,11 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ z >> np.uint64(31)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], name: str = "doc_id", most: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], name: str = "doc_id") -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts) of bounded size."""
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc_id, text in zip(batch.column(name).to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text or b"")
-            size += len(texts[-1])
-            if size > most:
-                yield ids, texts
-                ids, texts, size = [], [], 0
-        if ids:
-            yield ids, texts
+    for part in (part for batch in batches for part in chunks(batch)):
+        if part.num_rows:
+            yield part.column(name).to_pylist(), [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -468,7 +461,7 @@ def _alike(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
             links = alike_links(fps, sets, radius, similarity)
             return pa.RecordBatch.from_pydict({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, "shingles")):
             for g, i, f, x in zip(*(batch.column(c).to_pylist() for c in ("group", "id", "fp", "shingles")), strict=True):
                 if g != group:
                     yield close()
