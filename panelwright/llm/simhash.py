@@ -13,8 +13,8 @@ the rest (again exact), after which it can hold 65,536 different fingerprints at
 
 ``similar_groups`` serves shingle similarity instead (five words, 0.8 by default), the share of different
 shingles that two texts have in common; texts of equal shingle sets count as one: 512-bit fingerprints of the different shingles only filter, inside
-blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are compared in tasks of two
-chunks each. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
+blocks of equal minimum shingle hash under six hashes; blocks beyond ``LARGE`` are compared with some
+representatives first, and then chunk by chunk as far as their members are in different components. Rows with a partner in the loose radius form groups, the shingle sets of these come to them,
 and a link is kept where the exact similarity of its two sets is high enough.
 
 Edge cases: null and empty texts have no shingle and fingerprint zero, linked like any other; fewer words
@@ -338,6 +338,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 
 
 MINIMA = 6
+#: Members of a large block that all others of it are compared with first.
+REPRESENTATIVES = 64
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -475,21 +477,8 @@ def _alike(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
     return dealt.select("group", "id", "fp", "shingles").mapInArrow(run, "a long, b long")
 
 
-def _verified_links(docs: DataFrame, base: DataFrame, shingle: int, similarity: float, large: int) -> DataFrame:
-    """Links (a, b) that join all of ``base`` (id, fp, minima, doc_id, row_key), a row a set of shingles, within ``similarity``."""
-    radius = wide_radius(similarity)
-    minima = [F.get("minima", F.lit(i)) for i in range(MINIMA)]
-    first = stored(_loose_groups(_spread(base, minima), radius, large), "blocks")
-    loose, left = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("key", "id", "fp")
-    if not left.isEmpty():
-        size = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / (large // 2)).cast("int").alias("chunks"))
-        dealt = left.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        both = dealt.select("id", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-        across = both.where("mine <> other").select("id", "fp", F.xxhash64("key", lo, hi).alias("key"), (F.col("mine") == hi).cast("int").alias("side"))
-        alone = both.where("mine = other").select("id", "fp", F.xxhash64("key", "mine").alias("key"))
-        for part in (_loose_groups(across, radius, 1 << 30, halves=True), _loose_groups(alone, radius, 1 << 30)):
-            loose = loose.union(part.select("group", "id", "fp"))
+def _verified(docs: DataFrame, base: DataFrame, loose: DataFrame, shingle: int, radius: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the rows of ``loose`` (group, id, fp) by the shingle sets of their texts."""
     loose = stored(loose.distinct(), "loose")
     wanted = base.join(loose.select("id").distinct(), "id").select("id", F.col("doc_id").alias("of_doc"), F.col("row_key").alias("of_key"))
     wanted = stored(wanted, "wanted")
@@ -499,6 +488,69 @@ def _verified_links(docs: DataFrame, base: DataFrame, shingle: int, similarity:
     return _alike(loose.join(_sets(texts, shingle), "id"), radius, similarity)
 
 
+def _cut(rows: DataFrame, n: str, size: int) -> DataFrame:
+    """Adds ``chunks``, how many of ``size`` rows the ``n`` of a block make, and ``mine``, the row's."""
+    return rows.withColumn("chunks", F.ceil(F.col(n) / size).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+
+
+def _sides(first: DataFrame, second: DataFrame, label: str) -> DataFrame:
+    """Blocks (key, id, fp, side) of every chunk of ``first`` with every chunk of ``second``; both have key, id, fp, mine and ``others``, the chunks of the other."""
+    every = F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other")
+    a = first.select("id", "fp", "key", "mine", every).select("id", "fp", F.xxhash64(F.lit(label), "key", "mine", "other").alias("key"), F.lit(0).alias("side"))
+    b = second.select("id", "fp", "key", "mine", every).select("id", "fp", F.xxhash64(F.lit(label), "key", "other", "mine").alias("key"), F.lit(1).alias("side"))
+    return a.union(b)
+
+
+def _represented(left: DataFrame, large: int) -> DataFrame:
+    """Blocks of about REPRESENTATIVES members of each large block, drawn by a hash, with each chunk of its other members."""
+    chosen = F.pmod(F.xxhash64("id", F.lit("drawn")), F.lit(1 << 30)) * F.col("n") < F.lit(REPRESENTATIVES << 30)
+    drawn = _cut(left, "n", large // 2).withColumn("drawn", chosen)
+    few = drawn.where("drawn").withColumn("others", F.col("chunks")).withColumn("mine", F.lit(0))
+    return _sides(few, drawn.where("NOT drawn").withColumn("others", F.lit(1)), "drawn")
+
+
+def _rest(left: DataFrame, links: DataFrame, large: int) -> list[tuple[DataFrame, bool]]:
+    """Blocks for the pairs of large blocks that aren't in one component of ``links`` yet: of a block, what is not in its largest component against all."""
+    roots = components(links)
+    named = left.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "fp", F.coalesce("root", "id").alias("root"))
+    sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("n_main"), (F.sum("size") - F.max("size")).alias("n_rest"))
+    joined = stored(named.join(most.where("n_rest > 0"), "key"), "apart")
+    if joined.isEmpty():
+        return []
+    size, chunks = large // 2, lambda n: F.ceil(F.col(n) / (large // 2)).cast("int")
+    main = _cut(joined.where("root = main"), "n_main", size).withColumn("others", chunks("n_rest"))
+    rest = _cut(joined.where("root <> main"), "n_rest", size)
+    both = rest.select("id", "fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    across = both.where("mine <> other").select("id", "fp", F.xxhash64("key", lo, hi).alias("key"), (F.col("mine") == hi).cast("int").alias("side"))
+    alone = both.where("mine = other").select("id", "fp", F.xxhash64("key", "mine").alias("key"))
+    return [(_sides(main, rest.withColumn("others", chunks("n_main")), "apart"), True), (across, True), (alone, False)]
+
+
+def _verified_links(docs: DataFrame, base: DataFrame, shingle: int, similarity: float, large: int) -> DataFrame:
+    """Links (a, b) that join all of ``base`` (id, fp, minima, doc_id, row_key), a row a set of shingles, within ``similarity``.
+
+    Blocks of up to ``large`` members are compared whole. Larger ones are first compared with representatives, which
+    join a group of near copies of any size at a cost in proportion to it; then only pairs of different components are
+    left, and all of these are compared in chunks.
+    """
+    radius = wide_radius(similarity)
+    minima = [F.get("minima", F.lit(i)) for i in range(MINIMA)]
+    first = stored(_loose_groups(_spread(base, minima), radius, large), "blocks")
+    loose, left = first.where("group IS NOT NULL").select("group", "id", "fp"), first.where("key IS NOT NULL").select("key", "id", "fp")
+    if left.isEmpty():
+        return _verified(docs, base, loose, shingle, radius, similarity)
+    left = stored(left.join(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key"), "large-blocks")
+    loose = loose.union(_loose_groups(_represented(left, large), radius, 1 << 30, halves=True).select("group", "id", "fp"))
+    links = stored(_verified(docs, base, loose, shingle, radius, similarity), "links")
+    more = None
+    for blocks, halves in _rest(left, links, large):
+        part = _loose_groups(blocks, radius, 1 << 30, halves=halves).select("group", "id", "fp")
+        more = part if more is None else more.union(part)
+    return links if more is None else links.union(_verified(docs, base, more, shingle, radius, similarity))
+
+
 def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, large: int = LARGE) -> DataFrame:
     """(doc_id, row_key, keep_id, keep_key) of the rows that have a partner of ``similarity`` or more, and the name of the row of their group that stays.
 

@@ -140,8 +140,9 @@ def test_bit_slices_against_popcount():
             assert block.within(i, radius, (1 << len(fps)) - 1) == want
 
 
-@pytest.mark.parametrize("large", [simhash.LARGE, 5])
-def test_similar_groups_find_near_copies(spark, large):
+@pytest.mark.parametrize(("large", "drawn"), [(simhash.LARGE, 64), (5, 64), (5, 2)])
+def test_similar_groups_find_near_copies(spark, monkeypatch, large, drawn):
+    monkeypatch.setattr(simhash, "REPRESENTATIVES", drawn)
     r = random.Random(9)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
     originals = [[word() for _ in range(250)] for _ in range(12)]
