@@ -22,7 +22,9 @@ def _bin(n_bins: int):
 def bins(preds: DataFrame, n_bins: int = 10, by: list[str] | None = None) -> DataFrame:
     """(bin, n, confidence, accuracy) of non-empty bins."""
     by = by or []
-    return preds.groupBy(*by, _bin(n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob")))).alias("confidence"), F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob")))
+    right = (F.col("pred") == F.col("label")).cast("double")
+    return preds.groupBy(*by, _bin(n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("confidence"), F.avg(right).alias("accuracy"))
 
 
 def all_bins(preds: DataFrame, n_bins: int = 10) -> DataFrame:

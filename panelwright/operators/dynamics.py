@@ -34,7 +34,14 @@ def difficulty_scores(history: DataFrame, epochs: int) -> DataFrame:
 def summary(history: DataFrame, unstable: float = 0.7) -> DataFrame:
     s = per_sample(history)
     count = lambda c: F.sum(c.cast("long"))
-    return s.agg(F.count(F.lit(1)).alias("samples"), count(~F.col("ever_correct")).alias("never_correct"), count(F.col("always_correct")).alias("always_correct"), count(F.col("regressed")).alias("regressed"), count(F.col("stability") < unstable).alias("unstable"), F.avg("stability").alias("mean_stability"))
+    return s.agg(
+        F.count(F.lit(1)).alias("samples"),
+        count(~F.col("ever_correct")).alias("never_correct"),
+        count(F.col("always_correct")).alias("always_correct"),
+        count(F.col("regressed")).alias("regressed"),
+        count(F.col("stability") < unstable).alias("unstable"),
+        F.avg("stability").alias("mean_stability"),
+    )
 
 
 def class_weights(df: DataFrame, label: str = "label", beta: float | None = None) -> DataFrame:

@@ -33,7 +33,11 @@ def confusion_grid(preds: DataFrame, n_classes: int) -> DataFrame:
 def per_class(preds: DataFrame) -> DataFrame:
     """(class, precision, recall, f1, support, predicted) for the union of true and predicted classes; zero where undefined."""
     c = confusion(preds)
-    each = c.select(F.explode(F.array(F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("hit")))).alias("e")).select("e.*")
+    none, n = F.lit(0).cast("long"), F.col("n")
+    hit = F.when(F.col("label") == F.col("pred"), n).otherwise(0)
+    of_label = F.struct(F.col("label").alias("class"), n.alias("support"), none.alias("predicted"), hit.alias("hit"))
+    of_pred = F.struct(F.col("pred").alias("class"), none.alias("support"), n.alias("predicted"), none.alias("hit"))
+    each = c.select(F.explode(F.array(of_label, of_pred)).alias("e")).select("e.*")
     s = each.groupBy("class").agg(*[F.sum(x).alias(x) for x in ("support", "predicted", "hit")])
     p, r = _ratio(F.col("hit"), F.col("predicted")), _ratio(F.col("hit"), F.col("support"))
     return s.select("class", p.alias("precision"), r.alias("recall"), _ratio(2 * p * r, p + r).alias("f1"), "support", "predicted", "hit")
@@ -51,7 +55,12 @@ def report(preds: DataFrame) -> DataFrame:
 def macro_scores(preds: DataFrame, n_classes: int | None = None) -> DataFrame:
     """One row with the differing macro averages: F1 and recall over classes in the labels, precision over predicted classes, and F1 over all ``n_classes``."""
     c = per_class(preds)
-    out = [F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("f1_in_labels"), F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("recall_in_labels"), F.avg(F.when(F.col("predicted") > 0, F.col("precision"))).alias("precision_in_predictions")]
+    in_labels, in_preds = F.col("support") > 0, F.col("predicted") > 0
+    out = [
+        F.avg(F.when(in_labels, F.col("f1"))).alias("f1_in_labels"),
+        F.avg(F.when(in_labels, F.col("recall"))).alias("recall_in_labels"),
+        F.avg(F.when(in_preds, F.col("precision"))).alias("precision_in_predictions"),
+    ]
     if n_classes:
         out.append((F.sum("f1") / n_classes).alias("f1_all_classes"))
     return c.agg(*out)
@@ -101,7 +110,14 @@ def regression(df: DataFrame, pred: str = "pred", target: str = "target", eps: f
     ok = ~(F.isnan(pred) | F.isnan(target) | F.col(pred).isNull() | F.col(target).isNull())
     d = F.when(ok, F.col(pred) - F.col(target))
     t = F.when(ok, F.col(target))
-    sums = df.agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"), F.coalesce(F.avg(F.when(F.abs(t) > eps, F.abs(d) / F.abs(t))) * 100, F.lit(0.0)).alias("mape"), F.sum(d * d).alias("_res"), (F.var_pop(t) * F.count(t)).alias("_tot"), F.avg(ok.cast("double")).alias("valid_fraction"))
+    sums = df.agg(
+        F.avg(d * d).alias("mse"),
+        F.avg(F.abs(d)).alias("mae"),
+        F.coalesce(F.avg(F.when(F.abs(t) > eps, F.abs(d) / F.abs(t))) * 100, F.lit(0.0)).alias("mape"),
+        F.sum(d * d).alias("_res"),
+        (F.var_pop(t) * F.count(t)).alias("_tot"),
+        F.avg(ok.cast("double")).alias("valid_fraction"),
+    )
     return sums.select("mse", "mae", F.sqrt("mse").alias("rmse"), "mape", (1 - F.col("_res") / (F.col("_tot") + 1e-8)).alias("r2"), "valid_fraction")
 
 

@@ -22,10 +22,13 @@ def in_ranges(df: DataFrame, value: str, out: str = "_r") -> DataFrame:
     width = ((hi or 0.0) - (lo or 0.0)) / CUTS or 1.0
     cut = F.when(v.isNull(), -1).when(F.isnan(v), CUTS + 1).otherwise(F.floor((v - F.lit(lo or 0.0)) / width))
     a = df.withColumn("_cut", cut.cast("long"))
-    found = a.groupBy("_cut").agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))  # CUTS + 3 rows at most
-    pieces = F.ceil(F.col("_n") / ROWS_A_RANGE)
-    piece = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces), pieces - 1)).otherwise(0)
-    return a.join(F.broadcast(found), "_cut").withColumn(out, F.col("_cut") * 2**32 + F.coalesce(piece, F.lit(0))).drop("_cut", "_n", "_lo", "_hi")
+    ends = [F.count(F.lit(1)).alias("_cut_n"), F.min(v).alias("_cut_lo"), F.max(v).alias("_cut_hi")]
+    found = a.groupBy("_cut").agg(*ends)  # CUTS + 3 rows at most
+    n, first, last = F.col("_cut_n"), F.col("_cut_lo"), F.col("_cut_hi")
+    pieces = F.ceil(n / ROWS_A_RANGE)
+    piece = F.when(last > first, F.least(F.floor((v - first) / (last - first) * pieces), pieces - 1)).otherwise(0)
+    joined = a.join(F.broadcast(found), "_cut")
+    return joined.withColumn(out, F.col("_cut") * 2**32 + F.coalesce(piece, F.lit(0))).drop("_cut", "_cut_n", "_cut_lo", "_cut_hi")
 
 
 def before(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
