@@ -219,7 +219,7 @@ FOREIGN = [
  ("<html><head><title>x</title></head><body><div class='pg'><div class='strip'><a href='/'>Daily Post</a> <a href='/w'>World</a> <a href='/s'>Sport</a></div><div class='lede'><h1>Harbour plan delayed</h1><p>%s</p><p>%s</p><p>Short close.</p></div><div class='xlinks'><ul><li><a href='/1'>One story</a></li><li><a href='/2'>Two story</a></li><li><a href='/3'>Three</a></li></ul></div><div class='end'><a href='/t'>Terms</a> | <a href='/p'>Imprint</a></div></div></body></html>"% (PROSE, PROSE), ["Harbour plan delayed", PROSE, PROSE,"Short close."]),
  ("<body><table><tr><td><a href=a>Index</a><br><a href=b>Next</a><br><a href=c>Prev</a></td><td><h2>Chapter 4</h2>%s<p>%s<ul><li>First point of the list here.</li><li>Second point of the list here.</li></ul></td></tr></table><hr><font size=1><a href=m>Mail the author</a></font></body>"% (PROSE, PROSE), ["Chapter 4", PROSE, PROSE,"First point of the list here.","Second point of the list here."]),
  ("<body><header><a href=/>Site</a><nav><a href=1>A</a><a href=2>B</a></nav></header><main><section><h1>Guide</h1><p>%s</p><pre>code x = 1</pre><blockquote>%s</blockquote></section></main><section id='disqus_thread'><p>I think this is wrong, said a reader. Very wrong.</p></section><footer><p>All rights reserved 2021.</p></footer></body>"% (PROSE, PROSE), ["Guide", PROSE, "code x = 1", PROSE]),
- ("<body><div id=c1><div id=c2><div id=c3><p>%s</p><p>%s</p></div></div></div><form action=/s><input name=q><p>Search our archive of pages.</p></form><aside><h3>Latest</h3><a href=1>One</a><a href=2>Two</a></aside></body>"% (PROSE, PROSE),[P, PROSE]),
+ ("<body><div id=c1><div id=c2><div id=c3><p>%s</p><p>%s</p></div></div></div><form action=/s><input name=q><p>Search our archive of pages.</p></form><aside><h3>Latest</h3><a href=1>One</a><a href=2>Two</a></aside></body>"% (PROSE, PROSE), [PROSE, PROSE]),
 ]
 
 
