@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, filter_audit, html_extract, language, pii, simhash, token_records, url_filter, warc
+from panelwright.llm import bpe, decontaminate, exact_dedup, filter_audit, hard_negatives, html_extract, language, pii, simhash, token_records, url_filter, warc
 
 QUERIES = {
     "op1_token_records": token_records.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9,
     "op10_url_filter": url_filter.op10,
     "op12_filter_audit": filter_audit.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op3_warc": warc.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
