@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwright.llm import bpe, decontaminate, exact_dedup, filter_audit, hard_negatives, html_extract, language, pii, simhash, token_records, url_filter, warc
+from panelwright.llm import bpe, decontaminate, exact_dedup, filter_audit, hard_negatives, html_extract, language, license_scan, pii, simhash, token_records, url_filter, warc
 
 QUERIES = {
     "op1_token_records": token_records.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8,
     "op9_exact_dedup": exact_dedup.op9,
     "op10_url_filter": url_filter.op10,
+    "op11_license_scan": license_scan.op11,
     "op12_filter_audit": filter_audit.op12,
     "op13_hard_negatives": hard_negatives.op13,
 }
