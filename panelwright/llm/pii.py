@@ -30,7 +30,7 @@ from panelwright.functions.arrays import let
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
-#: Possessive forms, which can't backtrack over long runs. A match begins where the last one ended or where its run begins.
+#: Possessive forms, which neither backtrack over long runs nor recurse once a repeat (a greedy group with a choice in it does). A match begins where the last one ended or where its run begins.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -38,7 +38,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WIDER = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]++)+",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -184,7 +184,7 @@ def _voted(spans: str, base: bool) -> Column:
         kind, v = x["kind"], x["v"]
         left = F.substring(F.col("text"), F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24)))
         right = F.substring(F.col("text"), x["e"] + 1, F.lit(1))
-        shape = F.lit("2") if base else vote((kind == KINDS.index("secret")) & v.rlike("[0-9].*[A-Za-z].*[0-9]") & (F.length(v) >= 32) | v.startswith("("), v.rlike("^[a-z]+$|^[A-Za-z]+[/_-][A-Za-z/_-]*$"))
+        shape = F.lit("2") if base else vote((kind == KINDS.index("secret")) & v.rlike("^[^0-9]*+[0-9][^A-Za-z]*+[A-Za-z][^0-9]*+[0-9]") & (F.length(v) >= 32) | v.startswith("("), v.rlike("^[a-z]+$|^[A-Za-z]+[/_-][A-Za-z/_-]*$"))
         names = _by_kind(kind, GAZETTEER, v)
         votes = [
             shape,

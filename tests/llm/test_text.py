@@ -346,6 +346,17 @@ def test_pii_of_a_text_with_very_many_matches(spark):
     assert (got.b, got.w, got.s) == (100_000, 100_000, 99_999 * 49 + 8) and time.time() - began < 60
 
 
+def test_pii_of_long_repeats_of_every_part(spark):
+    """No pattern recurses once a repeat, and none grows with the square of the text."""
+    parts = ["b (dot) ", "b.", "a@b.", "(at) ", "a[at]", "1", "1 ", "1.", "1.1.1.", "1:", "a1:", "1111/", "1111_", "(111) ", "111-", "+", "+1", "+1 (", "x", "x1", "x-", "id ", "http", "card ", "@", "%+", "é", "a\n"]
+    heads = ["", "a (at) ", "a@b.c ", "+1", "4111/4111/4111/4111", "a1"]
+    texts = [h + p * 3_000 for p in parts for h in heads] + ["a (at) " + "b (dot) " * 100_000, "a1" + "1" * 100_000]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find_pii(docs(spark, list(enumerate(texts))).repartition(8)).collect()}
+    assert len(got) == len(texts) and time.time() - began < 120
+    assert f"email:0:{7 + 8 * 99_999 + 1}" in got[len(texts) - 2].spans or not got[len(texts) - 2].spans
+
+
 def test_estimate_against_unweighted_rows():
     """EM over every single candidate gives what EM over counted patterns gives."""
     r = random.Random(4)
