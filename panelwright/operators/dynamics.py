@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.ranges import before, in_ranges
+from panelwright.operators.ranges import before, cuts, in_ranges
 
 
 def per_sample(history: DataFrame) -> DataFrame:
@@ -63,17 +63,19 @@ def sample_weights(df: DataFrame, label: str = "label", beta: float | None = Non
 def curriculum_weights(df: DataFrame, easy_first: bool = True, loss: str = "loss", id_col: str = "sample_id") -> DataFrame:
     """Adds ``weight``: 1 - 0.9 rank / n in order of loss (ties by id), scaled to a mean of 1.
 
-    Rows of equal loss are counted by ranges of the id and different losses by ranges of the loss, so neither
-    many rows nor a loss of very many rows come to one task.
+    Beyond the rows of one range, those of equal loss are counted by ranges of the id and different losses by ranges
+    of the loss, so neither many rows nor a loss of very many rows come to one task. ``df`` is read a few times.
     """
     n = df.count()
-    if not n:
-        return df.withColumn("weight", F.lit(1.0))
-    rows = in_ranges(df, id_col, "_q")
+    at, mean = cuts(df, id_col, n), 1 - 0.9 * (n - 1) / (2 * n or 1)
+    if not at:
+        k = F.row_number().over(Window.orderBy(F.col(loss) if easy_first else -F.col(loss), id_col)) - 1
+        return df.withColumn("weight", (1 - 0.9 * (k / (n or 1))) / mean)
+    rows = in_ranges(df, id_col, at, "_q")
     w = Window.partitionBy(loss).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
     cells = rows.groupBy(loss, "_q").agg(F.count(F.lit(1)).alias("_n")).withColumn("_same", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     values = cells.groupBy(loss).agg(F.sum("_n").alias("_n")).withColumn("_order", F.col(loss) if easy_first else -F.col(loss))
-    cut = in_ranges(values, "_order")
+    cut = in_ranges(values, "_order", cuts(values, "_order", n))
     inside = Window.partitionBy("_r").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     less = cut.withColumn("_here", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(before(cut, [], F.col("_n"))), "_r")
     less = less.select(F.col(loss).alias("_l"), (F.col("_before") + F.col("_here")).alias("_less"))
@@ -81,7 +83,6 @@ def curriculum_weights(df: DataFrame, easy_first: bool = True, loss: str = "loss
     numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy(loss, "_q").orderBy(id_col)))
     k = numbered.join(places, F.col(loss).eqNullSafe(F.col("_l")) & (F.col("_q") == F.col("_p")))
     raw = 1 - 0.9 * ((F.col("_first") + F.col("_k") - 1) / n)
-    mean = 1 - 0.9 * (n - 1) / (2 * n)
     return k.withColumn("weight", raw / mean).select(*df.columns, "weight")
 
 

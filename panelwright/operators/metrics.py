@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators.ranges import before, in_ranges
+from panelwright.operators.ranges import before, cuts, in_ranges
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -87,11 +87,12 @@ def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """
     by = by or []
     ties = scores.groupBy(*by, "score").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("positive").cast("long")).alias("p"))
-    cut = in_ranges(ties, "score")
-    inside = Window.partitionBy(*by, "_r").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    at = cuts(ties, "score", scores.count())
+    cut = in_ranges(ties, "score", at)
+    inside = Window.partitionBy(*by, *(["_r"] if at else [])).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     here = cut.withColumn("_here", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    rank = F.col("_before") + F.col("_here") + (F.col("n") + 1) / 2
-    ranked = here.join(before(cut, by, F.col("n")), [*by, "_r"]).select(*by, "n", "p", rank.alias("rank"))
+    here = here.join(before(cut, by, F.col("n")), [*by, "_r"]) if at else here.withColumn("_before", F.lit(0))
+    ranked = here.select(*by, "n", "p", (F.col("_before") + F.col("_here") + (F.col("n") + 1) / 2).alias("rank"))
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     s = ranked.groupBy(*by).agg(F.sum(p * F.col("rank")).alias("r"), F.sum(p).alias("p"), F.sum(n).alias("n"))
     p, q = F.col("p"), F.col("n") - F.col("p")

@@ -1,9 +1,9 @@
 """Global orders without a task that sees all rows.
 
-Rows are dealt into ranges of a value, cut twice: into ``CUTS`` equal widths between the least and the greatest
-value, and each of these into as many as its number of rows asks for. Only counts by range are gathered, a row for
-about ``ROWS_A_RANGE`` rows, and ranks are made inside a range. So the number of ranges follows the data, and
-sparse or clustered values are cut where they are.
+Up to ``ROWS_A_RANGE`` rows are ranked by one window. More are dealt into ranges of a value, cut at approximate
+quantiles of it, so each range holds about ``ROWS_A_RANGE`` rows whatever the distribution; only counts by range are
+gathered, and ranks are made inside a range. There are ``MOST_RANGES`` at most: beyond 8 billion rows the ranges
+grow, and a task sorts its own on disk.
 """
 
 from __future__ import annotations
@@ -12,23 +12,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_A_RANGE = 1_000_000
-CUTS = 1024
+MOST_RANGES = 8192
 
 
-def in_ranges(df: DataFrame, value: str, out: str = "_r") -> DataFrame:
-    """Adds ``out``, a number that grows with the numeric column ``value``; equal values share it. Nulls come first and NaN last, as in Spark's order."""
+def cuts(df: DataFrame, value: str, n: int | None = None) -> list[float]:
+    """Where the numeric column ``value`` is cut into ranges of about ``ROWS_A_RANGE`` rows: nowhere if ``n`` rows (counted if not given) make one range."""
+    n = df.count() if n is None else n
+    k = min(-(-n // ROWS_A_RANGE), MOST_RANGES)
+    if k <= 1:
+        return []
     v = F.col(value).cast("double")
-    lo, hi = df.select(F.when(~F.isnan(v), v).alias("v")).agg(F.min("v"), F.max("v")).first()
-    width = ((hi or 0.0) - (lo or 0.0)) / CUTS or 1.0
-    cut = F.when(v.isNull(), -1).when(F.isnan(v), CUTS + 1).otherwise(F.floor((v - F.lit(lo or 0.0)) / width))
-    a = df.withColumn("_cut", cut.cast("long"))
-    ends = [F.count(F.lit(1)).alias("_cut_n"), F.min(v).alias("_cut_lo"), F.max(v).alias("_cut_hi")]
-    found = a.groupBy("_cut").agg(*ends)  # CUTS + 3 rows at most
-    n, first, last = F.col("_cut_n"), F.col("_cut_lo"), F.col("_cut_hi")
-    pieces = F.ceil(n / ROWS_A_RANGE)
-    piece = F.when(last > first, F.least(F.floor((v - first) / (last - first) * pieces), pieces - 1)).otherwise(0)
-    joined = a.join(F.broadcast(found), "_cut")
-    return joined.withColumn(out, F.col("_cut") * 2**32 + F.coalesce(piece, F.lit(0))).drop("_cut", "_cut_n", "_cut_lo", "_cut_hi")
+    found = df.agg(F.percentile_approx(F.when(~F.isnan(v), v), [i / k for i in range(1, k)], max(10_000, 10 * k))).first()[0]
+    return sorted(found or [])
+
+
+def _passed(at: list[float], v: Column, equal: bool) -> Column:
+    """How many of the sorted values ``at`` lie below ``v`` (or equal it), by bisection."""
+    cut = F.array(*[F.lit(x) for x in at])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(at).bit_length()))])
+
+    def further(found: Column, step: Column) -> Column:
+        here = F.get(cut, found + step - 1)
+        return F.when((found + step <= len(at)) & (here <= v if equal else here < v), found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), further)
+
+
+def in_ranges(df: DataFrame, value: str, at: list[float], out: str = "_r", spread: Column | None = None) -> DataFrame:
+    """Adds ``out``, a number that grows with the numeric column ``value``, by the ``cuts`` ``at``.
+
+    Equal values share it, but with ``spread``, a column of whole numbers, those of a value that fills several ranges
+    are dealt over these by it. Nulls come first and NaN last, as in Spark's order.
+    """
+    v = F.col(value).cast("double")
+    place = _passed(at, v, True) if at else F.lit(0)
+    if spread is not None and len(set(at)) < len(at):
+        below = _passed(at, v, False)
+        place = F.when(place - below > 1, below + 1 + F.pmod(spread, place - below)).otherwise(place)
+    return df.withColumn(out, F.when(v.isNull(), -1).when(F.isnan(v), len(at) + 1).otherwise(place).cast("long"))
 
 
 def before(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -39,8 +60,10 @@ def before(df: DataFrame, by: list[str], weight: Column | None = None) -> DataFr
 
 
 def ranked(df: DataFrame, order: list, out: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """Rank 0, 1, ... (in each group of ``by``) of rows that have their range in ``_r``."""
+    """Rank 0, 1, ... (in each group of ``by``) of rows that have their range in ``_r``; without that column, of so few rows that one window ranks them."""
     by = by or []
+    if "_r" not in df.columns:
+        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     inside = df.withColumn("_k", F.row_number().over(Window.partitionBy(*by, "_r").orderBy(*order)))
     names = {b: f"_by{i}" for i, b in enumerate(by)}
     first = before(df, by).withColumnsRenamed({**names, "_r": "_q"})

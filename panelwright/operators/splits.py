@@ -10,26 +10,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.rand import bits
-from panelwright.operators.ranges import ROWS_A_RANGE, in_ranges, ranked
+from panelwright.operators.ranges import ROWS_A_RANGE, cuts, in_ranges, ranked
 
-#: Ranges of a hashed order at least; more where there are more than ROWS_A_RANGE rows in each.
-RANGES = 64
 
 
-def _hashed(df: DataFrame, order: Column) -> DataFrame:
-    """Adds ``_o``, a hash of 32 bits as ``bits`` gives, and its range; hashes are even, so equal widths do."""
-    ranges = max(RANGES, -(-df.count() // ROWS_A_RANGE))
-    return df.withColumn("_o", order).withColumn("_r", F.floor(F.col("_o") / (2**32 / ranges)).cast("long"))
+def _hashed(df: DataFrame, order: Column, n: int | None) -> DataFrame:
+    """Adds ``_o``, a hash of 32 bits as ``bits`` gives, and its range if one isn't enough; hashes are even, so equal widths do."""
+    ranges = -(-(df.count() if n is None else n) // ROWS_A_RANGE)
+    out = df.withColumn("_o", order)
+    return out.withColumn("_r", F.floor(F.col("_o") / (2**32 / ranges)).cast("long")) if ranges > 1 else out
 
 
-def global_rank(df: DataFrame, order: Column, id_col: str, out: str = "rank") -> DataFrame:
-    """Rank 0, 1, ... of all rows by (``order``, ``id_col``). ``order`` is a 32-bit integer, as ``bits`` gives."""
-    return ranked(_hashed(df, order), ["_o", id_col], out).drop("_o")
+def global_rank(df: DataFrame, order: Column, id_col: str, out: str = "rank", n: int | None = None) -> DataFrame:
+    """Rank 0, 1, ... of all ``n`` rows by (``order``, ``id_col``). ``order`` is a 32-bit integer, as ``bits`` gives."""
+    return ranked(_hashed(df, order, n), ["_o", id_col], out).drop("_o")
 
 
-def rank_by_id(df: DataFrame, id_col: str, out: str = "rank") -> DataFrame:
-    """Rank of all rows by their numeric id; any distribution of ids will do."""
-    return ranked(in_ranges(df, id_col), [id_col], out)
+def rank_by_id(df: DataFrame, id_col: str, out: str = "rank", n: int | None = None) -> DataFrame:
+    """Rank of all ``n`` rows by their numeric id; any distribution of ids will do, rows of one id in an order of their own."""
+    at = cuts(df, id_col, n)
+    return ranked(in_ranges(df, id_col, at, spread=F.xxhash64(*df.columns)) if at else df, [id_col], out)
 
 
 def _count(n: int, ratio: float) -> int:
@@ -43,7 +43,7 @@ def random_split(df: DataFrame, ratio: float = 0.2, seed: int = 42, id_col: str
         raise ValueError("ratio must lie between 0 and 1")
     n = df.count()
     k = min(max(_count(n, ratio), 1), n - 1)
-    return global_rank(df, bits(seed, "split", id_col), id_col).withColumn("split", F.when(F.col("rank") < k, "test").otherwise("train")).drop("rank")
+    return global_rank(df, bits(seed, "split", id_col), id_col, n=n).withColumn("split", F.when(F.col("rank") < k, "test").otherwise("train")).drop("rank")
 
 
 def random_split3(df: DataFrame, valid: float, test: float, seed: int = 42, id_col: str = "sample_id") -> DataFrame:
@@ -54,7 +54,7 @@ def random_split3(df: DataFrame, valid: float, test: float, seed: int = 42, id_c
     t, v = max(_count(n, test), 1), max(_count(n, valid), 1)
     if t + v >= n:
         raise ValueError("nothing left to train on")
-    return global_rank(df, bits(seed, "split", id_col), id_col).withColumn("split", F.when(F.col("rank") < t, "test").when(F.col("rank") < t + v, "valid").otherwise("train")).drop("rank")
+    return global_rank(df, bits(seed, "split", id_col), id_col, n=n).withColumn("split", F.when(F.col("rank") < t, "test").when(F.col("rank") < t + v, "valid").otherwise("train")).drop("rank")
 
 
 def time_split(df: DataFrame, train: float, valid: float, gap: int = 0, order_by: str = "sample_id") -> DataFrame:
@@ -65,7 +65,7 @@ def time_split(df: DataFrame, train: float, valid: float, gap: int = 0, order_by
     t0 = v1 + gap
     k = F.col("rank")
     part = F.when(k < nt, "train").when((k >= v0) & (k < v1), "valid").when(k >= t0, "test")
-    return rank_by_id(df, order_by).withColumn("split", part).where("split IS NOT NULL").drop("rank")
+    return rank_by_id(df, order_by, n=n).withColumn("split", part).where("split IS NOT NULL").drop("rank")
 
 
 def walk_forward(n: int, folds: int, min_train: int | float, test: int | float, gap: int = 0, expanding: bool = True) -> list[tuple[int, int, int, int, int]]:
@@ -111,7 +111,7 @@ def _by_class(df: DataFrame, take: Column, yes: str, no: str, seed: int, id_col:
 
 def class_rank(df: DataFrame, seed: int, id_col: str = "sample_id", label: str = "label", op: str = "class") -> DataFrame:
     """Rank 0, 1, ... of each row in a shuffle of its class, made by ranges as global_rank is."""
-    return ranked(_hashed(df, bits(seed, op, id_col)), ["_o", id_col], "class_rank", [label]).drop("_o")
+    return ranked(_hashed(df, bits(seed, op, id_col), None), ["_o", id_col], "class_rank", [label]).drop("_o")
 
 
 def stratified_order(df: DataFrame, seed: int = 42, id_col: str = "sample_id", label: str = "label") -> DataFrame:
@@ -123,10 +123,11 @@ def batches(df: DataFrame, size: int, shuffle: bool = False, drop_last: bool = F
     """Adds ``batch_id``; ``drop_last`` leaves an incomplete last batch out."""
     if size < 1:
         raise ValueError("a batch needs at least one row")
-    ranked = global_rank(df, bits(seed, "batch", id_col), id_col) if shuffle else rank_by_id(df, id_col)
+    n = df.count()
+    ranked = global_rank(df, bits(seed, "batch", id_col), id_col, n=n) if shuffle else rank_by_id(df, id_col, n=n)
     out = ranked.withColumn("batch_id", F.floor(F.col("rank") / size).cast("long"))
     if drop_last:
-        out = out.where(F.col("batch_id") < df.count() // size)
+        out = out.where(F.col("batch_id") < n // size)
     return out.drop("rank")
 
 

@@ -203,3 +203,23 @@ def test_history_queries(spark):
     assert dynamics.early_stopping(h, 3).first().stop_epoch == 5 and dynamics.early_stopping(h, 4).first().stop_epoch is None
     nan = h.union(spark.createDataFrame([(7, float("nan"))], h.schema))
     assert dynamics.early_stopping(nan, 9).first().stop_epoch == 7
+
+
+def test_ranges_follow_any_distribution(spark, monkeypatch):
+    """No range holds more than twice its rows, whether values span many decades, lie beside one outlier or are all equal."""
+    from panelwright.operators import ranges, splits
+
+    monkeypatch.setattr(ranges, "ROWS_A_RANGE", 500)
+    n = 20_000
+    kinds = {"log": "pow(10D, 12 * id / 20000D)", "outlier": "IF(id = 7, 1e18D, id / 20000D)", "equal": "5D", "half": "IF(id % 2 = 0, 3D, id * 1D)"}
+    for value in kinds.values():
+        df = spark.range(n).selectExpr("id", f"{value} AS v")
+        at = ranges.cuts(df, "v")
+        sizes = ranges.in_ranges(df, "v", at, spread=F.xxhash64("id")).groupBy("_r").count().agg(F.max("count")).first()[0]
+        assert sizes <= 2.2 * 500, value  # cut at approximate quantiles, dealt by a hash
+        got = [r.v for r in splits.rank_by_id(df, "v").orderBy("rank").collect()]
+        assert got == sorted(got) and len(got) == n
+    shared = ranges.in_ranges(spark.range(n).selectExpr("id % 3 AS v"), "v", [0.0, 1.0, 1.0, 2.0])
+    assert {(r.v, r._r) for r in shared.distinct().collect()} == {(0, 1), (1, 3), (2, 4)}
+    odd = ranges.in_ranges(spark.sql("SELECT explode(array(double('nan'), null, 1D, -1D)) AS v"), "v", [0.0])
+    assert {(str(r.v), r._r) for r in odd.collect()} == {("nan", 2), ("None", -1), ("1.0", 1), ("-1.0", 0)}
