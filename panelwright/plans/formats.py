@@ -26,30 +26,30 @@ def _cells(panel, *keys):
 
 
 def _wide(spark, sf_dir):
-    """(sample_id, var 0 step 0 ... var 1 step 3, label) of the first eight values."""
+    """(sample_id, var 0 step 0 ... var 3 step 15, label)."""
     v = vectors(spark, sf_dir)
-    return v.select("sample_id", *[F.get("x", F.lit(4 * i + t)).alias(f"v{i}_t{t}") for i in range(2) for t in range(4)], F.col("label").cast("double").alias("label"))
+    return v.select("sample_id", *[F.get("x", F.lit(16 * i + t)).alias(f"v{i}_t{t}") for i in range(4) for t in range(16)], F.col("label").cast("double").alias("label"))
 
 
-_EIGHT = f"WITH {E} SELECT sample_id, (t // 4)::INT AS var_id, label::DOUBLE AS label, (t % 4)::INT AS t, {rr('v')} AS value FROM e WHERE t < 8"
+_QUARTERS = f"WITH {E} SELECT sample_id, (t // 16)::INT AS var_id, label::DOUBLE AS label, (t % 16)::INT AS t, {rr('v')} AS value FROM e"
 
 
-@query("read_csv", _EIGHT)
+@query("read_csv", _QUARTERS)
 def read_csv(spark, sf_dir):
-    got = readers.read_csv(spark, _written(_wide(spark, sf_dir), "wide", "csv"), 2, 4, has_labels=True, id_col="sample_id")
+    got = readers.read_csv(spark, _written(_wide(spark, sf_dir), "wide", "csv"), 4, 16, has_labels=True, id_col="sample_id")
     return _cells(got, "sample_id", "var_id", "label")
 
 
-@query("read_parquet", _EIGHT)
+@query("read_parquet", _QUARTERS)
 def read_parquet(spark, sf_dir):
-    columns = [f"v{i}_t{t}" for i in range(2) for t in range(4)]
-    got = readers.read_parquet(spark, _written(_wide(spark, sf_dir), "wide", "parquet"), columns, 2, label="label", sample_id="sample_id")
+    columns = [f"v{i}_t{t}" for i in range(4) for t in range(16)]
+    got = readers.read_parquet(spark, _written(_wide(spark, sf_dir), "wide", "parquet"), columns, 4, label="label", sample_id="sample_id")
     return _cells(got, "sample_id", "var_id", "label")
 
 
 def _tsv(rows, name: str) -> str:
-    """Lines ``label id v0 ... v5``: the first value is the sample's id, since readers number the lines themselves."""
-    return _written(rows.select(F.concat_ws("\t", F.col("label").cast("string"), F.col("sample_id").cast("string"), _text(F.slice("x", 1, 6), "\t")).alias("value")), name)
+    """Lines ``label id v0 ... v63``: the first value is the sample's id, since readers number the lines themselves."""
+    return _written(rows.select(F.concat_ws("\t", F.col("label").cast("string"), F.col("sample_id").cast("string"), _text(F.col("x"), "\t")).alias("value")), name)
 
 
 def _by_id(panel, *keys):
@@ -58,15 +58,15 @@ def _by_id(panel, *keys):
     return _cells(named, "sample_id", *keys)
 
 
-_SIX = f"sample_id, label::DOUBLE AS label, t::INT AS t, {rr('v')} AS value FROM e WHERE t < 6"
+_CELLS = f"sample_id, label::DOUBLE AS label, t::INT AS t, {rr('v')} AS value FROM e"
 
 
-@query("read_tsv", f"WITH {E} SELECT {_SIX}")
+@query("read_tsv", f"WITH {E} SELECT {_CELLS}")
 def read_tsv(spark, sf_dir):
     return _by_id(readers.read_tsv(spark, _tsv(vectors(spark, sf_dir), "tsv")), "label")
 
 
-@query("read_archive", f"WITH {E} SELECT CASE WHEN sample_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, 1::BIGINT AS rows_of_id, {_SIX}")
+@query("read_archive", f"WITH {E} SELECT CASE WHEN sample_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, 1::BIGINT AS rows_of_id, {_CELLS}")
 def read_archive(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -84,17 +84,17 @@ def remap_labels(spark, sf_dir):
 
 
 def _ts(rows, last: str, name: str) -> str:
-    """Two dimensions, ``id,x0,x1,x2`` and ``x3,x4`` (shorter, so the reader fills it up)."""
-    v = rows.select(F.concat(F.concat_ws(",", F.col("sample_id").cast("string"), _text(F.slice("x", 1, 3))), F.lit(":"), _text(F.slice("x", 4, 2)), F.lit(":"), F.expr(last)).alias("value"))
+    """Two dimensions, ``id,x0 ... x39`` and ``x40 ... x63`` (shorter, so the reader fills it up)."""
+    v = rows.select(F.concat(F.concat_ws(",", F.col("sample_id").cast("string"), _text(F.slice("x", 1, 40))), F.lit(":"), _text(F.slice("x", 41, 24)), F.lit(":"), F.expr(last)).alias("value"))
     return _written(v, name)
 
 
-_TS = f"SELECT x.sample_id, {{label}}, list_transform([x[1], x[2], x[3]], lambda v: {rr('v')}) AS first, list_transform([x[4], x[5], {{fill}}, {{fill}}], lambda v: {{out}}) AS second FROM x"
+_TS = f"SELECT x.sample_id, {{label}}, list_transform(x[1:40], lambda v: {rr('v')}) AS first, list_transform(x[41:64] || list_transform(range(17), lambda i: {{fill}}::DOUBLE), lambda v: {{out}}) AS second FROM x"
 
 
 def _two(panel, label: str):
     """(sample_id, label, both dimensions), joined by the reader's own id."""
-    a = panel.where("var_id = 0").select("sample_id", label, F.get("x", F.lit(0)).cast("long").alias("id"), F.slice("x", 2, 3).alias("first"))
+    a = panel.where("var_id = 0").select("sample_id", label, F.get("x", F.lit(0)).cast("long").alias("id"), F.slice("x", 2, 40).alias("first"))
     b = panel.where("var_id = 1").select("sample_id", F.col("x").alias("second"))
     fine = lambda c: F.transform(c, lambda v: F.when(F.isnan(v), F.lit(-9.0)).otherwise(r(v)))
     return a.join(b, "sample_id").select(F.col("id").alias("sample_id"), label, fine("first").alias("first"), fine("second").alias("second"))
@@ -103,7 +103,7 @@ def _two(panel, label: str):
 _X = "x AS (SELECT vec_id AS sample_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings)"
 
 
-@query("read_ts", f"WITH {_X} " + _TS.format(label="'class' || label AS label", fill="x[5]", out=rr("v")))
+@query("read_ts", f"WITH {_X} " + _TS.format(label="'class' || label AS label", fill="x[64]", out=rr("v")))
 def read_ts(spark, sf_dir):
     return _two(readers.read_ts(spark, _ts(vectors(spark, sf_dir), "concat('class', label)", "ts")), "label")
 
@@ -124,39 +124,55 @@ def read_tsf(spark, sf_dir):
     return got.select("series_id", "start", F.size(known).alias("n"), r(total, 4).alias("total"))
 
 
-@query("tsf_attributes", "SELECT * FROM (VALUES ('frequency', 'daily', 30), ('horizon', '7', 30), ('data', '', 30)) AS v(name, value, default_horizon)")
+_TSF_ATTRIBUTES = """
+SELECT name, value, CASE (SELECT max(value) FROM events) > 100 WHEN true THEN 30 ELSE 48 END AS default_horizon
+FROM (SELECT 'frequency' AS name, CASE (SELECT max(value) FROM events) > 100 WHEN true THEN 'daily' ELSE 'hourly' END AS value
+  UNION ALL SELECT 'horizon', (SELECT count(DISTINCT user_id)::VARCHAR FROM events) UNION ALL SELECT 'data', '')
+"""
+
+
+@query("tsf_attributes", _TSF_ATTRIBUTES)
 def tsf_attributes(spark, sf_dir):
-    head = spark.createDataFrame([("@frequency daily",), ("@horizon 7",), ("@data",), ("T1|2020-01-01 00-00-00:1,2",)], "value string")
-    found = readers.tsf_attributes(spark, _written(head, "tsf"))
+    """The header of a file whose horizon and frequency follow the table."""
+    e = table(spark, sf_dir, "events")
+    facts = e.agg(F.concat(F.lit("@horizon "), F.count_distinct("user_id").cast("string")).alias("h"), F.when(F.max("value") > 100, "@frequency daily").otherwise("@frequency hourly").alias("f"))
+    lines = facts.select(F.explode(F.array("f", "h", F.lit("@data"))).alias("value"))
+    series = e.groupBy("user_id").agg(F.sum("value").alias("v")).select(F.concat(F.lit("T"), F.col("user_id").cast("string"), F.lit("|2020-01-01 00-00-00:"), F.col("v").cast("string")).alias("value"))
+    found = readers.tsf_attributes(spark, _written(lines.union(series), "tsf"))
     rows = spark.createDataFrame([(k, v, found["frequency"]) for k, v in found.items()], "name string, value string, frequency string")
     return rows.select("name", "value", readers.default_horizon(F.col("frequency")).alias("default_horizon"))
 
 
-@query("default_horizon", "SELECT f AS frequency, h AS horizon FROM (VALUES ('daily', 30), ('Hours', 48), ('w', 8), ('monthly', 12), ('annual', 4), ('decade', 10), ('minutely', 60), ('quarterly', 4)) AS v(f, h)")
+_NAMES = ["daily", "Hours", "w", "monthly", "annual", "decade", "minutely", "quarterly"]
+
+
+@query("default_horizon", f"SELECT user_id, ({_NAMES})[user_id % 8 + 1] AS frequency, [30, 48, 8, 12, 4, 10, 60, 4][user_id % 8 + 1] AS horizon FROM events GROUP BY user_id")
 def default_horizon(spark, sf_dir):
-    names = ["daily", "Hours", "w", "monthly", "annual", "decade", "minutely", "quarterly"]
-    return spark.createDataFrame([(n,) for n in names], "frequency string").select("frequency", readers.default_horizon(F.col("frequency")).alias("horizon"))
+    """A name of a frequency for each series, and the horizon that goes with it."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    named = users.withColumn("frequency", F.get(F.array(*[F.lit(n) for n in _NAMES]), (F.col("user_id") % 8).cast("int")))
+    return named.withColumn("horizon", readers.default_horizon(F.col("frequency")))
 
 
-_NPY = f"WITH {E} SELECT sample_id, t::INT AS t, {rr('v')} AS value FROM e WHERE t < 6"
+_NPY = f"WITH {E} SELECT sample_id, t::INT AS t, {rr('v')} AS value FROM e"
 
 
 @query("read_npy", _NPY)
 def read_npy(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("sample_id", "var_id", F.concat(F.array(F.col("sample_id").cast("double")), F.slice("x", 1, 6)).alias("x"))
+    v = vectors(spark, sf_dir).select("sample_id", "var_id", F.concat(F.array(F.col("sample_id").cast("double")), F.col("x")).alias("x"))
     return _by_id(readers.read_npy(spark, writers.write_npy(v, scratch(spark, "npy"))))
 
 
 @query("read_npz", _NPY)
 def read_npz(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("sample_id", "var_id", F.concat(F.array(F.col("sample_id").cast("double")), F.slice("x", 1, 6)).alias("x"))
+    v = vectors(spark, sf_dir).select("sample_id", "var_id", F.concat(F.array(F.col("sample_id").cast("double")), F.col("x")).alias("x"))
     return _by_id(readers.read_npy(spark, writers.write_npy(v, scratch(spark, "npz"), key="x"), key="x"))
 
 
-@query("write_time_csv", f"WITH {E} SELECT sample_id, (t % 16)::INT AS time, {rr('max(v) FILTER (WHERE t < 16)')} AS var0, {rr('max(v) FILTER (WHERE t >= 16)')} AS var1 FROM e WHERE t < 32 GROUP BY 1, 2")
+@query("write_time_csv", f"WITH {E} SELECT sample_id, (t % 32)::INT AS time, {rr('max(v) FILTER (WHERE t < 32)')} AS var0, {rr('max(v) FILTER (WHERE t >= 32)')} AS var1 FROM e GROUP BY 1, 2")
 def write_time_csv(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    panel = schema.stack_variables([v.select("sample_id", F.slice("x", 1, 16).alias("x")), v.select("sample_id", F.slice("x", 17, 16).alias("x"))])
+    panel = schema.stack_variables([v.select("sample_id", F.slice("x", 1 + 32 * i, 32).alias("x")) for i in range(2)])
     path = scratch(spark, "time-csv")
     writers.write_time_csv(panel, path, 2)
     got = spark.read.schema("sample_id long, time int, var0 double, var1 double").csv(path, header=True)

@@ -7,6 +7,8 @@ import io
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelwright.sources.npy import PARTITION_BYTES, NpySource
+
 from panelwright import schema
 
 NAN = float("nan")
@@ -107,25 +109,11 @@ def default_horizon(frequency: Column) -> Column:
     return out
 
 
-def read_npy(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """Panel of rank-3 arrays in .npy files, or under ``key`` of .npz files. A file is read by one task, so split large arrays into files."""
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for batch in batches:
-            for k, content in zip(batch["file_id"], batch["content"], strict=True):
-                loaded = np.load(io.BytesIO(content), allow_pickle=False)
-                a = loaded[key] if key else loaded
-                if a.ndim != 3 or a.dtype.kind != "f":
-                    raise ValueError("a rank-3 float array is needed")
-                for lo in range(0, len(a), 256):
-                    part = a[lo : lo + 256].astype(float)
-                    n, v = part.shape[:2]
-                    yield pd.DataFrame({"sample_id": np.repeat((int(k) << 40) + lo + np.arange(n), v), "var_id": np.tile(np.arange(v, dtype="int32"), n), "x": list(part.reshape(n * v, -1))})
-
-    files = spark.read.format("binaryFile").load(path).select(F.monotonically_increasing_id().alias("file_id"), "content")
-    return files.mapInPandas(run, "sample_id long, var_id int, x array<double>")
+def read_npy(spark: SparkSession, path: str, key: str | None = None, partition_bytes: int | None = None) -> DataFrame:
+    """Panel of the .npy files at ``path`` (a file or a folder), or of the member ``key`` of .npz files, read in ranges of rows; see ``sources.npy``."""
+    spark.dataSource.register(NpySource)
+    options = {"parts": spark.sparkContext.defaultParallelism, "partitionBytes": partition_bytes or PARTITION_BYTES} | ({"key": key} if key else {})
+    return spark.read.format(NpySource.name()).options(**options).load(path)
 
 
 def read_archive(spark: SparkSession, train: str, test: str, reader=read_tsv) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.sources.npy import array_bytes, open_path
+
 from panelwright import schema
 
 
@@ -26,7 +28,7 @@ def write_panel(panel: DataFrame, path: str, buckets: int | None = None) -> None
 
 def write_npy(panel: DataFrame, path: str, key: str | None = None) -> str:
     """Rank-3 arrays (sample, variable, step), a .npy file (.npz with ``key``) a partition of whole samples; series must have one length. Returns ``path``."""
-    import io
+    import uuid
 
     import numpy as np
     import pandas as pd
@@ -37,10 +39,8 @@ def write_npy(panel: DataFrame, path: str, key: str | None = None) -> str:
         part = TaskContext.get().partitionId()
         for i, b in enumerate(batches):
             for j, (_, whole) in enumerate(b.groupby(b["xs"].map(len))):
-                out = io.BytesIO()
                 a = np.stack([np.stack(list(xs)) for xs in whole["xs"]])
-                np.savez(out, **{key: a}) if key else np.save(out, a)
-                yield pd.DataFrame({"name": [f"part-{part:05d}-{i:05d}-{j}"], "content": [out.getvalue()]})
+                yield pd.DataFrame({"name": [f"part-{part:05d}-{i:05d}-{j}"], "content": [array_bytes(a, key)]})
 
     series = F.transform(F.array_sort(F.collect_list(F.struct("var_id", "x"))), lambda s: s["x"])
     whole = panel.groupBy("sample_id").agg(series.alias("xs"))
@@ -48,14 +48,13 @@ def write_npy(panel: DataFrame, path: str, key: str | None = None) -> str:
     end = "npz" if key else "npy"
 
     def save(rows):
-        from pyarrow import fs
-
         for r in rows:
-            uri = path if "://" in path else "file://" + path.removeprefix("file:")
-            store, folder = fs.FileSystem.from_uri(uri)
+            store, folder = open_path(path)
             store.create_dir(folder, recursive=True)
-            with store.open_output_stream(f"{folder}/{r.name}.{end}", compression=None) as f:
+            half = f"{folder}/_{r.name}.{uuid.uuid4().hex}"  # a task that is tried again leaves no half-written array
+            with store.open_output_stream(half, compression=None) as f:
                 f.write(r.content)
+            store.move(half, f"{folder}/{r.name}.{end}")
 
     files.foreachPartition(save)
     return path

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from panelwright.sources import readers, writers
 
@@ -46,3 +47,37 @@ def test_npy_and_writers(spark, tmp_path):
     assert sorted(r.x for r in panel.collect()) == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]]
     writers.write_time_csv(panel, str(tmp_path / "out"), 2)
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 6
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+@pytest.mark.parametrize("kind", ["<f4", ">f8", "<i2", "|u1", "|b1"])
+@pytest.mark.parametrize("form", ["npy", "npz", "packed"])
+def test_npy_files_by_ranges(spark, tmp_path, order, kind, form):
+    """Ranges of several files, ids by (file, row)."""
+    rng = np.random.default_rng(0)
+    want = []
+    for name, n in (("b", 7), ("a", 50), ("c", 0), ("d", 1)):
+        a = np.asarray(rng.integers(0, 100, size=(n, 2, 3)), dtype=kind, order=order)
+        a = np.asfortranarray(a) if order == "F" else a
+        path = tmp_path / f"{name}.{'npy' if form == 'npy' else 'npz'}"
+        np.save(path, a) if form == "npy" else (np.savez if form == "npz" else np.savez_compressed)(path, y=np.zeros(3), x=a)
+        want.append((name, a))
+    (tmp_path / "_half.npy").write_bytes(b"x")
+    got = readers.read_npy(spark, str(tmp_path), None if form == "npy" else "x", partition_bytes=60)
+    flat = np.concatenate([a for _, a in sorted(want, key=lambda w: w[0])]).astype(float)
+    assert sorted((r.sample_id, r.var_id, r.x) for r in got.collect()) == [(i, v, flat[i, v].tolist()) for i in range(58) for v in range(2)]
+    assert got.rdd.getNumPartitions() > 5 or form == "packed"
+
+
+def test_one_large_npy_file_is_read_by_many_tasks(spark, tmp_path):
+    a = np.arange(8 << 20, dtype="<f8").reshape(-1, 4, 64)
+    np.save(tmp_path / "large.npy", a)
+    got = readers.read_npy(spark, f"file://{tmp_path}/large.npy", partition_bytes=8 << 20)
+    assert got.rdd.getNumPartitions() >= 8
+    found = got.selectExpr("count(*) AS n", "count(DISTINCT sample_id) AS ids", "sum(x[63]) AS last").first()
+    assert (found.n, found.ids, found.last) == (a.shape[0] * 4, a.shape[0], a[:, :, 63].sum())
+    np.save(tmp_path / "flat.npy", np.ones((3, 5), dtype="<i8"))
+    assert [r.x for r in readers.read_npy(spark, str(tmp_path / "flat.npy")).collect()] == [[1.0] * 5] * 3
+    np.save(tmp_path / "bad.npy", np.array(["a"]))
+    with pytest.raises(Exception, match="rank 2 or 3"):
+        readers.read_npy(spark, str(tmp_path / "bad.npy")).collect()
