@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +45,7 @@ HINTS = {
 }
 _HINT_OF = {w: kind for kind, ws in HINTS.items() for w in ws.split()}
 _SPLIT = re.compile(r"[^a-z]+")
+_ATTRIBUTE, _IS, _BARE = re.compile(r"[\s/]*[^\s/>=]*"), re.compile(r"\s*=+\s*([\"']?)"), re.compile(r"[^>\s]*")
 
 
 class Node:
@@ -82,10 +84,18 @@ class Tree(HTMLParser):
         self.html, self.lines = html, [0]
         for m in re.finditer("\n", html):
             self.lines.append(m.end())
-        self.feed(html)
+        self.dead: set[int] = set()
+        self.searched: dict[str, int] = {}
+        self.closing = False
+        whole = html.rfind(">") + 1  # no tag after it has an end
+        self.feed(html[:whole])
+        self.searched, self.closing = {}, True
         if self.rawdata.startswith("<!--"):
             self.rawdata = ""  # an unclosed comment goes to the end of the page
-        self.close()
+        else:
+            self.close()
+            if not self.cdata_elem:
+                self.handle_data(unescape(html[whole:].partition("<!--")[0]))
         self.flush()
         for i in range(len(self.nodes) - 1, 0, -1):
             n = self.nodes[i]
@@ -94,6 +104,38 @@ class Tree(HTMLParser):
             up.linked += n.linked
             up.kids += n.tag in ("p", "text")
 
+    def last_place(self, text: str) -> int:
+        """Where ``text`` stands last in what is parsed, sought once."""
+        if text not in self.searched:
+            self.searched[text] = self.rawdata.rfind(text)
+        return self.searched[text]
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return super().parse_comment(i, report) if not self.closing or self.last_place("--") > i else -1
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        return super().parse_marked_section(i, report) if not self.closing or self.last_place("]") > i else -1
+
+    def check_for_whole_start_tag(self, i: int) -> int:
+        return super().check_for_whole_start_tag(i) if not self.closing or self.closed(i) else -1
+
+    def closed(self, i: int) -> bool:
+        """Whether the start tag at ``i`` has an end. Asked once a first one had none; what leads nowhere is remembered, so all scans together read the page once."""
+        raw, path, p = self.rawdata, [], i + 1
+        while p < len(raw) and raw[p] != ">" and p not in self.dead:
+            path.append(p)
+            p = max(_ATTRIBUTE.match(raw, p).end(), p + 1)
+            if value := _IS.match(raw, p):
+                p = value.end()
+                if quote := value[1]:
+                    p = raw.find(quote, p) + 1 if self.last_place(quote) >= p else len(raw)
+                else:
+                    p = _BARE.match(raw, p).end()
+        if p < len(raw) and raw[p] == ">":
+            return True
+        self.dead.update(path)
+        return False
+
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:

@@ -214,6 +214,22 @@ def test_pages_of_very_many_open_elements(tag):
     assert time.process_time() - began < 60
 
 
+@pytest.mark.parametrize("unit", ["<div ", '<a b="', "<a b='", '<a b=">" ', "<a b=<a b=", "</div ", "<!", "<!-- ", "<![CDATA[ ", "<?x ", "<", "< a", "&", "&#", "<p x='\"'"])
+@pytest.mark.parametrize("tail", ["", '"', "<p>Two.</p>", "'>\"<!--"])
+def test_markup_that_never_ends(unit, tail):
+    """In linear time: 200,000 tags, quotes and comments without an end, and the text before them stays."""
+    began = time.process_time()
+    nodes = Tree("<p>One.</p>" + unit * 200_000 + tail).nodes
+    assert "One." in {n.text for n in nodes} and time.process_time() - began < 20
+
+
+def test_text_around_tags_without_an_end():
+    texts = lambda html: [n.text for n in Tree(html).nodes if n.tag == "text"]
+    assert texts("<p>One.</p><p>Two <b") == ["One.", "Two <b"] and texts("<p>a &amp; b") == ["a & b"]
+    assert texts('<p>One.</p><a href="x>Two.</a><p>Three.') == ["One.", '<a href="x>Two.', "Three."]
+    assert texts("<p>One.<script>a<b") == ["One."] and texts("no tags &lt;") == ["no tags <"]
+
+
 PROSE = "The committee met on Tuesday to discuss the new harbour plans, which have been delayed twice. Members said the cost had risen by a third since spring."
 FOREIGN = [
  ("<html><head><title>x</title></head><body><div class='pg'><div class='strip'><a href='/'>Daily Post</a> <a href='/w'>World</a> <a href='/s'>Sport</a></div><div class='lede'><h1>Harbour plan delayed</h1><p>%s</p><p>%s</p><p>Short close.</p></div><div class='xlinks'><ul><li><a href='/1'>One story</a></li><li><a href='/2'>Two story</a></li><li><a href='/3'>Three</a></li></ul></div><div class='end'><a href='/t'>Terms</a> | <a href='/p'>Imprint</a></div></div></body></html>"% (PROSE, PROSE), ["Harbour plan delayed", PROSE, PROSE,"Short close."]),
