@@ -201,39 +201,40 @@ def difficulty_buckets(spark, sf_dir):
     return M.difficulty(_preds(spark, sf_dir)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-_H = "h AS (SELECT sample_id, t AS epoch, CASE WHEN v < 30 THEN 0 WHEN v < 60 THEN 1 ELSE 2 END AS pred, sample_id % 3 AS true_label, 1 / (1 + v / 100) AS confidence FROM e WHERE t < 40)"
+_H = "h AS (SELECT sample_id, t AS epoch, CASE WHEN v < 30 THEN 0 WHEN v < 60 THEN 1 ELSE 2 END AS pred, sample_id % 3 AS true_label, 1 / (1 + v / 100) AS confidence FROM e)"
 
 
-def _history(spark, sf_dir):
+def history(spark, sf_dir):
     from panelwright.plans.tables import events_long
 
     v = F.col("value")
-    e = events_long(spark, sf_dir).where("t < 40")
+    e = events_long(spark, sf_dir)
     return e.select("sample_id", F.col("t").alias("epoch"), F.when(v < 30, 0).when(v < 60, 1).otherwise(2).alias("pred"), (F.col("sample_id") % 3).cast("int").alias("true_label"), (1 / (1 + v / 100)).alias("confidence"))
 
 
-_DYN = f"""WITH {S}, {_H}, w AS (SELECT *, pred = true_label AS ok, (lag(pred) OVER o <> pred)::INT AS flip, bool_or(pred = true_label) OVER (PARTITION BY sample_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM h WINDOW o AS (PARTITION BY sample_id ORDER BY epoch)),
-d AS (SELECT sample_id, count(*) AS epochs, bool_or(ok) AS ever_correct, bool_and(ok) AS always_correct, coalesce(sum(flip), 0)::BIGINT AS flips, min(epoch) FILTER (WHERE ok) AS first_correct, max(epoch) FILTER (WHERE NOT ok) AS last_incorrect, coalesce(bool_or(NOT ok AND was), false) AS regressed, 1 - coalesce(sum(flip), 0) / (count(*) - 1) AS stability, avg(confidence) AS mean_confidence, arg_max(ok, epoch) AS last FROM w GROUP BY 1)"""
+DYNAMICS_SQL = f"""WITH {S}, {_H}, w AS (SELECT *, pred = true_label AS ok, (lag(pred) OVER o <> pred)::INT AS flip, bool_or(pred = true_label) OVER (PARTITION BY sample_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM h WINDOW o AS (PARTITION BY sample_id ORDER BY epoch)),
+d AS (SELECT sample_id, count(*) AS epochs, bool_or(ok) AS ever_correct, bool_and(ok) AS always_correct, coalesce(sum(flip), 0)::BIGINT AS flips, min(epoch) FILTER (WHERE ok) AS first_correct, max(epoch) FILTER (WHERE NOT ok) AS last_incorrect, coalesce(bool_or(NOT ok AND was), false) AS regressed, 1 - coalesce(sum(flip), 0) / greatest(count(*) - 1, 1) AS stability, avg(confidence) AS mean_confidence, arg_max(ok, epoch) AS last FROM w GROUP BY 1)"""
 
 
-@query("prediction_flips", _DYN + f" SELECT sample_id, epochs, flips, {rounded('stability mean_confidence')} FROM d")
+@query("prediction_flips", DYNAMICS_SQL + f" SELECT sample_id, epochs, flips, {rounded('stability mean_confidence')} FROM d")
 def prediction_flips(spark, sf_dir):
-    return D.per_sample(_history(spark, sf_dir)).select("sample_id", "epochs", "flips", r("stability").alias("stability"), r("mean_confidence").alias("mean_confidence"))
+    return D.per_sample(history(spark, sf_dir)).select("sample_id", "epochs", "flips", r("stability").alias("stability"), r("mean_confidence").alias("mean_confidence"))
 
 
-@query("prediction_regressions", _DYN + " SELECT sample_id, ever_correct, always_correct, regressed, first_correct::INT AS first_correct, last_incorrect::INT AS last_incorrect FROM d")
+@query("prediction_regressions", DYNAMICS_SQL + " SELECT sample_id, ever_correct, always_correct, regressed, first_correct::INT AS first_correct, last_incorrect::INT AS last_incorrect FROM d")
 def prediction_regressions(spark, sf_dir):
-    return D.per_sample(_history(spark, sf_dir)).select("sample_id", "ever_correct", "always_correct", "regressed", F.col("first_correct").cast("int").alias("first_correct"), F.col("last_incorrect").cast("int").alias("last_incorrect"))
+    return D.per_sample(history(spark, sf_dir)).select("sample_id", "ever_correct", "always_correct", "regressed", F.col("first_correct").cast("int").alias("first_correct"), F.col("last_incorrect").cast("int").alias("last_incorrect"))
 
 
-@query("difficulty_scores", _DYN + f" SELECT sample_id, {rr('(coalesce(first_correct / 40, 1) + 1 - stability + CASE WHEN last THEN 0 ELSE 0.5::DOUBLE END) / 3')} AS difficulty FROM d")
+@query("difficulty_scores", DYNAMICS_SQL + f" SELECT sample_id, {rr('(coalesce(first_correct / (SELECT max(epochs) FROM d), 1) + 1 - stability + CASE WHEN last THEN 0 ELSE 0.5::DOUBLE END) / 3')} AS difficulty FROM d")
 def difficulty_scores(spark, sf_dir):
-    return D.difficulty_scores(_history(spark, sf_dir), 40).select("sample_id", r("difficulty").alias("difficulty"))
+    h = history(spark, sf_dir)
+    return D.difficulty_scores(h, h.agg(F.max("epoch")).first()[0] + 1).select("sample_id", r("difficulty").alias("difficulty"))
 
 
-@query("dynamics_summary", _DYN + f" SELECT count(*) AS samples, count(*) FILTER (WHERE NOT ever_correct) AS never_correct, count(*) FILTER (WHERE always_correct) AS always_correct, count(*) FILTER (WHERE regressed) AS regressed, count(*) FILTER (WHERE stability < 0.7::DOUBLE) AS unstable, {rr('avg(stability)')} AS mean_stability FROM d")
+@query("dynamics_summary", DYNAMICS_SQL + f" SELECT count(*) AS samples, count(*) FILTER (WHERE NOT ever_correct) AS never_correct, count(*) FILTER (WHERE always_correct) AS always_correct, count(*) FILTER (WHERE regressed) AS regressed, count(*) FILTER (WHERE stability < 0.7::DOUBLE) AS unstable, {rr('avg(stability)')} AS mean_stability FROM d")
 def dynamics_summary(spark, sf_dir):
-    s = D.summary(_history(spark, sf_dir))
+    s = D.summary(history(spark, sf_dir))
     return s.select("samples", "never_correct", "always_correct", "regressed", "unstable", r("mean_stability").alias("mean_stability"))
 
 
@@ -258,9 +259,9 @@ def curriculum_weights(spark, sf_dir):
     return D.curriculum_weights(s).select("sample_id", r("weight").alias("weight"))
 
 
-@query("pseudo_label_threshold", _T + f" SELECT sample_id, pred, {rr('conf')} AS weight FROM k WHERE conf >= 0.5")
+@query("pseudo_label_threshold", _T + f" SELECT sample_id, pred, {rr('conf')} AS weight FROM k WHERE conf >= 0.14")
 def pseudo_label_threshold(spark, sf_dir):
-    return D.pseudo_labels(_preds(spark, sf_dir), "threshold", 0.5).select("sample_id", "pred", r("weight").alias("weight"))
+    return D.pseudo_labels(_preds(spark, sf_dir), "threshold", 0.14).select("sample_id", "pred", r("weight").alias("weight"))
 
 
 @query("pseudo_label_topk", _T + f" SELECT sample_id, pred, {rr('conf')} AS weight FROM (SELECT *, row_number() OVER (ORDER BY conf DESC, sample_id) AS rn, count(*) OVER () AS n FROM k) WHERE rn <= greatest(round(n * 0.1::DOUBLE), 1)")

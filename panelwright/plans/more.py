@@ -203,16 +203,16 @@ def _history(spark, sf_dir):
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), k.alias("epoch"), F.col("value").alias("valid_loss")).where("epoch < 200")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), k.alias("epoch"), F.col("value").alias("valid_loss"))
 
 
-@query("best_epoch", f"WITH {_RUN} SELECT epoch, {rr('valid_loss')} AS value FROM h WHERE run_id = (SELECT min(run_id) FROM h) AND epoch < 200 ORDER BY valid_loss, epoch LIMIT 1")
+@query("best_epoch", f"WITH {_RUN} SELECT epoch, {rr('valid_loss')} AS value FROM h WHERE run_id = (SELECT min(run_id) FROM h) ORDER BY valid_loss, epoch LIMIT 1")
 def best_epoch(spark, sf_dir):
     h = _history(spark, sf_dir)
     return dynamics.best_epoch(h.where(F.col("run_id") == h.agg(F.min("run_id")).first()[0])).select("epoch", r("value").alias("value"))
 
 
-@query("early_stopping", f"""WITH {_RUN}, k AS (SELECT *, valid_loss < coalesce(min(valid_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300) AS better FROM h WHERE epoch < 200),
+@query("early_stopping", f"""WITH {_RUN}, k AS (SELECT *, valid_loss < coalesce(min(valid_loss) OVER (PARTITION BY run_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e300) AS better FROM h),
 l AS (SELECT *, max(CASE WHEN better THEN epoch END) OVER (PARTITION BY run_id ORDER BY epoch) AS last FROM k) SELECT run_id, min(CASE WHEN epoch - last >= 10 THEN epoch END)::BIGINT AS stop_epoch FROM l GROUP BY 1""")
 def early_stopping(spark, sf_dir):
     return dynamics.early_stopping(_history(spark, sf_dir), 10)
