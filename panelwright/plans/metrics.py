@@ -12,7 +12,7 @@ from panelwright.operators import losses as Z
 from panelwright.operators import metrics as M
 from panelwright.operators import schedules as H
 from panelwright.plans.registry import query
-from panelwright.plans.tables import E, K, P, L, S, logits, r, rounded, rr, table, vectors
+from panelwright.plans.tables import E, K, L, P, S, events_long, logits, r, rounded, rr, table, vectors
 
 
 def _preds(spark, sf_dir):
@@ -205,8 +205,6 @@ _H = "h AS (SELECT sample_id, t AS epoch, CASE WHEN v < 30 THEN 0 WHEN v < 60 TH
 
 
 def history(spark, sf_dir):
-    from panelwright.plans.tables import events_long
-
     v = F.col("value")
     e = events_long(spark, sf_dir)
     return e.select("sample_id", F.col("t").alias("epoch"), F.when(v < 30, 0).when(v < 60, 1).otherwise(2).alias("pred"), (F.col("sample_id") % 3).cast("int").alias("true_label"), (1 / (1 + v / 100)).alias("confidence"))
@@ -274,16 +272,19 @@ def pseudo_label_balanced(spark, sf_dir):
     return D.pseudo_labels(_preds(spark, sf_dir), "balanced", per_class=10).select("sample_id", "pred", r("weight").alias("weight"))
 
 
-def _schedule(name, n, sql, f, digits=9):
-    @query(name, f"SELECT s AS step, {rr(sql, digits)} AS value FROM range({n}) AS q(s)")
+def _schedule(name, sql, f, digits=9):
+    """The rate of every step of every run: a user's events, in order of time, are the steps of a run."""
+
+    @query(name, f"WITH {S} SELECT run_id, s AS step, {rr(sql, digits)} AS value FROM (SELECT sample_id AS run_id, t AS s FROM e)")
     def run(spark, sf_dir):
-        return spark.range(n).select(F.col("id").alias("step"), r(f(F.col("id")), digits).alias("value"))
+        steps = events_long(spark, sf_dir).select(F.col("sample_id").alias("run_id"), F.col("t").alias("step"))
+        return steps.withColumn("value", r(f(F.col("step")), digits))
 
 
-_schedule("onecycle_schedule", 1000, "CASE WHEN s < 300 THEN 1e-3 / 25 + (1e-3 - 1e-3 / 25) * s / 300 ELSE 1e-7 + (1e-3 - 1e-7) * (1 + cos(pi() * (s - 300) / 700)) / 2 END", lambda s: H.one_cycle(s, 1e-3, 1000))
-_schedule("cosine_schedule", 120, "1e-5 + (1e-2 - 1e-5) * (1 + cos(pi() * least(s, 99) / 100)) / 2", lambda s: H.cosine(s, 1e-2, 1e-5, 100))
-_schedule("step_schedule", 100, "0.1::DOUBLE * power(0.5::DOUBLE, s // 30)", lambda s: H.step_decay(s, 0.1, 30, 0.5))
-_schedule("exponential_schedule", 100, "0.1::DOUBLE * power(0.95::DOUBLE, s)", lambda s: H.exponential(s, 0.1, 0.95))
-_schedule("polynomial_schedule", 120, "1e-4 + (0.1::DOUBLE - 1e-4) * power(1 - least(s, 100) / 100, 2)", lambda s: H.polynomial(s, 0.1, 1e-4, 100, 2.0))
-_schedule("warm_restarts_schedule", 140, "1e-4 + (0.1::DOUBLE - 1e-4) * (1 + cos(pi() * CASE WHEN s < 20 THEN s / 20 WHEN s < 60 THEN (s - 20) / 40 ELSE (s - 60) / 80 END)) / 2", lambda s: H.warm_restarts(s, 0.1, 1e-4, 20, 2))
-_schedule("transform_schedule", 20, "CASE WHEN s >= 10 THEN 0.8::DOUBLE ELSE 0.8::DOUBLE * s / 10 END + CASE WHEN s < 15 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE * (1 - (s - 15) / 5) END + 0.1::DOUBLE + 0.4::DOUBLE * (1 + cos(pi() * s / 19)) / 2 + CASE WHEN s >= 12 THEN 0.3::DOUBLE WHEN s >= 6 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN s >= 7 THEN 0.7::DOUBLE ELSE 0 END", lambda s: H.probability(s, "warmup", 20, max_p=0.8, epochs=10) + H.probability(s, "cooldown", 20, max_p=0.5, epochs=5) + H.probability(s, "cosine", 20, min_p=0.1, max_p=0.5) + H.probability(s, "steps", 20, table=[(0, 0.1), (6, 0.2), (12, 0.3)]) + H.probability(s, "delayed", 20, p=0.7, start=7))
+_schedule("onecycle_schedule", "CASE WHEN s < 300 THEN 1e-3 / 25 + (1e-3 - 1e-3 / 25) * s / 300 ELSE 1e-7 + (1e-3 - 1e-7) * (1 + cos(pi() * (least(s, 999) - 300) / 700)) / 2 END", lambda s: H.one_cycle(s, 1e-3, 1000))
+_schedule("cosine_schedule", "1e-5 + (1e-2 - 1e-5) * (1 + cos(pi() * least(s, 99) / 100)) / 2", lambda s: H.cosine(s, 1e-2, 1e-5, 100))
+_schedule("step_schedule", "0.1::DOUBLE * power(0.5::DOUBLE, s // 30)", lambda s: H.step_decay(s, 0.1, 30, 0.5))
+_schedule("exponential_schedule", "0.1::DOUBLE * power(0.95::DOUBLE, s)", lambda s: H.exponential(s, 0.1, 0.95))
+_schedule("polynomial_schedule", "1e-4 + (0.1::DOUBLE - 1e-4) * power(1 - least(s, 100) / 100, 2)", lambda s: H.polynomial(s, 0.1, 1e-4, 100, 2.0))
+_schedule("warm_restarts_schedule", "1e-4 + (0.1::DOUBLE - 1e-4) * (1 + cos(pi() * (s - 20 * (power(2, floor(log2(1 + s / 20) + 1e-12)) - 1)) / (20 * power(2, floor(log2(1 + s / 20) + 1e-12))))) / 2", lambda s: H.warm_restarts(s, 0.1, 1e-4, 20, 2))
+_schedule("transform_schedule", "CASE WHEN s >= 10 THEN 0.8::DOUBLE ELSE 0.8::DOUBLE * s / 10 END + CASE WHEN s < 15 THEN 0.5::DOUBLE ELSE 0.5::DOUBLE * (1 - (s - 15) / 5) END + 0.1::DOUBLE + 0.4::DOUBLE * (1 + cos(pi() * s / 19)) / 2 + CASE WHEN s >= 12 THEN 0.3::DOUBLE WHEN s >= 6 THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN s >= 7 THEN 0.7::DOUBLE ELSE 0 END", lambda s: H.probability(s, "warmup", 20, max_p=0.8, epochs=10) + H.probability(s, "cooldown", 20, max_p=0.5, epochs=5) + H.probability(s, "cosine", 20, min_p=0.1, max_p=0.5) + H.probability(s, "steps", 20, table=[(0, 0.1), (6, 0.2), (12, 0.3)]) + H.probability(s, "delayed", 20, p=0.7, start=7))

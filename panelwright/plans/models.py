@@ -10,11 +10,6 @@ from panelwright.plans.tables import E, Q, r, rr, table, vectors
 from panelwright.streaming.windows import windowed_features
 
 
-@query("hpo_grid", "SELECT lr, batch_size, depth FROM (SELECT unnest([0.1::DOUBLE, 0.01::DOUBLE, 0.001::DOUBLE]) AS lr), (SELECT unnest([32, 64]) AS batch_size), (SELECT unnest([1, 2, 3]) AS depth)")
-def hpo_grid(spark, sf_dir):
-    return search.grid_frame(spark, {"lr": [0.1, 0.01, 0.001], "batch_size": [32, 64], "depth": [1, 2, 3]})
-
-
 @query("hpo_leaderboard", f"SELECT vec_id AS trial_id, {rr('embedding[1]::DOUBLE')} AS score FROM embeddings ORDER BY embedding[1] DESC, vec_id LIMIT 10")
 def hpo_leaderboard(spark, sf_dir):
     t = vectors(spark, sf_dir).select(F.col("sample_id").alias("trial_id"), F.get("x", F.lit(0)).alias("score"))

@@ -218,36 +218,66 @@ def early_stopping(spark, sf_dir):
     return dynamics.early_stopping(_history(spark, sf_dir), 10)
 
 
-@query("curriculum_share", "SELECT i AS epoch, round(0.2::DOUBLE + 0.8::DOUBLE * least(i / 9, 1), 6) AS share FROM range(15) AS q(i)")
+def _steps(spark, sf_dir):
+    """Runs and their steps: a user's events in order of time."""
+    return events_long(spark, sf_dir).select(F.col("sample_id").alias("run_id"), F.col("t").alias("step"))
+
+
+_STEPS = f"WITH {S}, s AS (SELECT sample_id AS run_id, t AS step FROM e)"
+
+
+@query("curriculum_share", _STEPS + " SELECT run_id, step AS epoch, round(0.2::DOUBLE + 0.8::DOUBLE * least(step / 9, 1), 6) AS share FROM s")
 def curriculum_share(spark, sf_dir):
-    return spark.range(15).select(F.col("id").alias("epoch"), F.round(dynamics.curriculum_share(F.col("id"), 10), 6).alias("share"))
+    return _steps(spark, sf_dir).select("run_id", F.col("step").alias("epoch"), F.round(dynamics.curriculum_share(F.col("step"), 10), 6).alias("share"))
 
 
-@query("constant_schedule", "SELECT i AS step, 0.01::DOUBLE AS lr FROM range(100) AS q(i)")
+@query("constant_schedule", _STEPS + " SELECT run_id, step, 0.01::DOUBLE AS lr FROM s")
 def constant_schedule(spark, sf_dir):
-    return spark.range(100).select(F.col("id").alias("step"), schedules.constant(F.col("id"), 0.01).alias("lr"))
+    return _steps(spark, sf_dir).withColumn("lr", schedules.constant(F.col("step"), 0.01))
 
 
-@query("linear_warmup", f"SELECT i AS step, {rr('CASE WHEN i < 10 THEN 0.001::DOUBLE + 0.009::DOUBLE * i / 10 ELSE 0.01::DOUBLE * power(0.9::DOUBLE, i - 10) END', 9)} AS lr FROM range(40) AS q(i)")
+@query("linear_warmup", _STEPS + f" SELECT run_id, step, {rr('CASE WHEN step < 10 THEN 0.001::DOUBLE + 0.009::DOUBLE * step / 10 ELSE 0.01::DOUBLE * power(0.9::DOUBLE, step - 10) END', 9)} AS lr FROM s")
 def linear_warmup(spark, sf_dir):
-    s = F.col("id")
-    return spark.range(40).select(s.alias("step"), r(schedules.linear_warmup(s, 10, 0.001, schedules.exponential(s - 10, 0.01, 0.9), 0.01), 9).alias("lr"))
+    s = F.col("step")
+    return _steps(spark, sf_dir).withColumn("lr", r(schedules.linear_warmup(s, 10, 0.001, schedules.exponential(s - 10, 0.01, 0.9), 0.01), 9))
+
+
+_ENCODED = "CASE WHEN var_id % 2 = 0 THEN sin(t / power(10000::DOUBLE, 2 * (var_id // 2) / 4)) ELSE cos(t / power(10000::DOUBLE, 2 * (var_id // 2) / 4)) END"
 
 
-@query("positional_encoding", f"SELECT (i // 16) AS position, (i % 16) AS dim, {rr('CASE WHEN i % 2 = 0 THEN sin(a) ELSE cos(a) END')} AS value FROM (SELECT i, (i // 16) / power(10000::DOUBLE, 2 * ((i % 16) // 2) / 16) AS a FROM range(480) AS q(i))")
+@query("positional_encoding", f"WITH {E}, {Q} SELECT sample_id, var_id, t, {rr('v + ' + _ENCODED)} AS value FROM q")
 def positional_encoding(spark, sf_dir):
-    p = spark.range(480).select(F.floor(F.col("id") / 16).alias("position"), (F.col("id") % 16).alias("dim"))
-    return p.select("position", "dim", r(schedules.positional_encoding(F.col("position"), F.col("dim"), 16)).alias("value"))
+    """The encoding of each step added to the series, a variable a dimension."""
+    added = lambda v, t: v + schedules.positional_encoding(t, F.col("var_id"), 4)
+    return _long(quarters(spark, sf_dir).withColumn("x", F.transform("x", added)), "var_id")
+
+
+def _trials(spark, sf_dir, points: list[dict], names: list[str]):
+    """Mean squared error over the panel of each trial, which predicts a series' second value as ``lr`` first + 0.01 ``depth``; all trials in one pass."""
+    trials = F.array(*[F.struct(F.lit(i).alias("trial_id"), *[F.lit(p[n]).alias(n) for n in names]) for i, p in enumerate(points)])
+    v = vectors(spark, sf_dir).select(F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b"), F.explode(trials).alias("p"))
+    error = F.col("p.lr") * F.col("a") + 0.01 * F.col("p.depth") - F.col("b")
+    return v.groupBy("p.trial_id", *[f"p.{n}" for n in names]).agg(r(F.avg(error * error)).alias("score"))
+
+
+_SCORE = rr("avg((lr * embedding[1]::DOUBLE + 0.01::DOUBLE * depth - embedding[2]::DOUBLE) ** 2)")
+_GRID = "SELECT unnest([0.1::DOUBLE, 0.01::DOUBLE, 0.001::DOUBLE]) AS lr), (SELECT unnest([1, 2, 3]) AS depth)"
+
+
+@query("hpo_grid", f"SELECT lr, depth, {_SCORE} AS score FROM embeddings, ({_GRID} GROUP BY lr, depth")
+def hpo_grid(spark, sf_dir):
+    return _trials(spark, sf_dir, search.grid({"lr": [0.1, 0.01, 0.001], "depth": [1, 2, 3]}), ["lr", "depth"]).drop("trial_id")
 
 
-_LOG = f"exp({math.log(1e-4)!r}::DOUBLE + {sql_uniform(42, 'X', 'i').replace('42:X', '42').replace('::VARCHAR)', '::VARCHAR || {name})')} * {math.log(1e-1) - math.log(1e-4)!r}::DOUBLE)"
+_DRAWN = sql_uniform(42, "X", "i").replace("42:X", "42")
+_LOG = f"exp({math.log(1e-4)!r}::DOUBLE + {_DRAWN.replace('::VARCHAR)', '::VARCHAR || {name})')} * {math.log(1e-1) - math.log(1e-4)!r}::DOUBLE)".replace("{name}", "':lr'")
+_DEPTH = "1 + floor(" + _DRAWN.replace("::VARCHAR)", "::VARCHAR || ':depth')") + " * 5)::INT"
 
 
-@query("random_search", f"SELECT i::INT AS trial_id, {rr(_LOG.replace('{name}', repr(':lr')), 9)} AS lr, 1 + floor({sql_uniform(42, 'X', 'i').replace('42:X', '42').replace('::VARCHAR)', '::VARCHAR || ' + repr(':depth') + ')')} * 5)::INT AS depth FROM range(50) AS q(i)")
+@query("random_search", f"SELECT trial_id, {rr('lr', 9)} AS lr, depth, {_SCORE} AS score FROM embeddings, (SELECT i::INT AS trial_id, {_LOG} AS lr, {_DEPTH} AS depth FROM range(50) AS q(i)) GROUP BY trial_id, lr, depth")
 def random_search(spark, sf_dir):
     points = search.random_points({"lr": ("log", 1e-4, 1e-1), "depth": (1, 5)}, 50)
-    rows = spark.createDataFrame([(i, p["lr"], p["depth"]) for i, p in enumerate(points)], "trial_id int, lr double, depth int")
-    return rows.select("trial_id", r("lr", 9).alias("lr"), "depth")
+    return _trials(spark, sf_dir, points, ["lr", "depth"]).withColumn("lr", r("lr", 9))
 
 
 # panels
@@ -361,9 +391,9 @@ def attribution_by_step(spark, sf_dir):
     return explain.mean_by_step(_attributed(spark, sf_dir)).select("t", r("mean").alias("mean"))
 
 
-@query("normal_baseline", f"SELECT vec_id AS sample_id, t::INT AS t, {rr(sql_normal(42, 'baseline', 'vec_id', '0', 't'))} AS value FROM embeddings, range(8) AS q(t)")
+@query("normal_baseline", f"SELECT vec_id AS sample_id, t::INT AS t, {rr(sql_normal(42, 'baseline', 'vec_id', '0', 't'))} AS value FROM embeddings, range(64) AS q(t)")
 def normal_baseline(spark, sf_dir):
-    b = vectors(spark, sf_dir).select("sample_id", explain.normal_baseline(F.slice("x", 1, 8)).alias("b"))
+    b = vectors(spark, sf_dir).select("sample_id", explain.normal_baseline("x").alias("b"))
     return b.select("sample_id", F.posexplode("b").alias("t", "v")).select("sample_id", "t", r("v").alias("value"))
 
 

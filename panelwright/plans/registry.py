@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("features", "windows_splits", "metrics", "transforms", "models", "formats", "more", "streams")
+MODULES = ("features", "windows_splits", "metrics", "transforms", "models", "formats", "more", "streams", "training")
 
 
 def query(name: str, sql: str | None = None):
