@@ -131,3 +131,19 @@ def pseudo_labels(preds: DataFrame, how: str = "threshold", threshold: float = 0
     elif how != "all":
         raise ValueError(f"unknown strategy {how}")
     return ok.withColumn("weight", F.col("prob"))
+
+
+def clipped_gradients(df: DataFrame, most: float, how: str = "norm", gradient: str = "gradient") -> DataFrame:
+    """Adds ``norm`` and ``clipped``, and limits the array column ``gradient``: by its Euclidean ``norm``, which keeps the direction, or each ``value``."""
+    if how not in ("norm", "value"):
+        raise ValueError("how is norm or value")
+    norm = F.sqrt(F.aggregate(gradient, F.lit(0.0), lambda a, v: a + v * v))
+    over = F.col("norm") > most if how == "norm" else F.exists(gradient, lambda v: F.abs(v) > most)
+    scaled = F.transform(gradient, lambda v: v * most / F.col("norm")) if how == "norm" else F.transform(gradient, lambda v: F.greatest(F.least(v, F.lit(most)), F.lit(-most)))
+    return df.withColumn("norm", norm).withColumn("clipped", over).withColumn(gradient, F.when(F.col("clipped"), scaled).otherwise(F.col(gradient)))
+
+
+def clip_statistics(clipped: DataFrame, *by: str) -> DataFrame:
+    """(batches, n_clipped, share, mean_norm, max_norm) of ``clipped_gradients``, a row a batch."""
+    n = F.sum(F.col("clipped").cast("long"))
+    return clipped.groupBy(*by).agg(F.count(F.lit(1)).alias("batches"), n.alias("n_clipped"), (n / F.count(F.lit(1))).alias("share"), F.avg("norm").alias("mean_norm"), F.max("norm").alias("max_norm"))

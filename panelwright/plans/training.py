@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import explain, search, splits
+from panelwright.operators import dynamics, explain, metrics, search, splits
 from panelwright.operators.gradient import GradientTrainer, RAdam
+from panelwright.operators.heads import MixedModel
 from panelwright.operators.self_training import NoisyStudent
 from panelwright.plans.registry import query
 from panelwright.plans.tables import E, r, rr, vectors
@@ -95,3 +96,40 @@ def self_training(spark, sf_dir):
     student.fit(labelled, other, held)
     rows.unpersist()
     return student.table(spark)
+
+
+_CLIP = "WITH g AS (SELECT label, embedding, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))) AS norm FROM embeddings)"
+
+
+@query("gradient_clip", _CLIP + f" SELECT label, count(*) AS batches, count(*) FILTER (WHERE norm > 1) AS n_clipped, {rr('count(*) FILTER (WHERE norm > 1) / count(*)')} AS share, {rr('avg(norm)')} AS mean_norm, {rr('max(norm)')} AS max_norm, {rr('sum(embedding[1]::DOUBLE * CASE WHEN norm > 1 THEN 1 / norm ELSE 1 END)')} AS first FROM g GROUP BY 1")
+def gradient_clip(spark, sf_dir):
+    """Statistics of clipping to a norm of 1, and the sum of what is left of the first components."""
+    g = dynamics.clipped_gradients(vectors(spark, sf_dir).select("label", F.col("x").alias("gradient")), 1.0)
+    firsts = g.groupBy("label").agg(r(F.sum(F.get("gradient", F.lit(0)))).alias("first"))
+    s = dynamics.clip_statistics(g, "label").join(firsts, "label")
+    return s.select("label", "batches", "n_clipped", r("share").alias("share"), r("mean_norm").alias("mean_norm"), r("max_norm").alias("max_norm"), "first")
+
+
+def _mixed_table(spark, sf_dir):
+    """Series with a number and a category; the label is whether the series' mean and the category agree."""
+    v = vectors(spark, sf_dir)
+    mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x")
+    label = ((mean > 0) == (F.col("label") % 2 == 0)).cast("int")
+    return v.select("sample_id", "var_id", "x"), v.select("sample_id", F.get("x", F.lit(0)).alias("number"), (F.col("label") % 2).cast("string").alias("kind"), label.alias("label"))
+
+
+@query("mixed_classifier")
+def mixed_classifier(spark, sf_dir):
+    """Held-out report of a perceptron over series features and columns, whose rule no linear head can learn."""
+    panel, rows = _mixed_table(spark, sf_dir)
+    fitted = MixedModel("mlp", numeric=("number",), categorical=("kind",), hidden=(8,), max_iter=60).fit(panel, rows.where(F.col("sample_id") % 3 != 0))
+    test = rows.where(F.col("sample_id") % 3 == 0)
+    return metrics.evaluate(fitted.predict(panel, test).join(test.select("sample_id", "label"), "sample_id"))
+
+
+@query("forest_importances")
+def forest_importances(spark, sf_dir):
+    """What a boosted regressor of the series' second value looks at."""
+    panel, rows = _mixed_table(spark, sf_dir)
+    target = panel.select("sample_id", F.get("x", F.lit(1)).alias("label")).join(rows.drop("label"), "sample_id")
+    return MixedModel("boosted", "value", numeric=("number",), categorical=("kind",), trees=5, depth=3).fit(panel, target).importances()

@@ -126,7 +126,7 @@ def test_student_learns_from_unlabelled_rows(spark):
     p = first.network.forward(first.weights, x[100:800])[1].max(axis=1)
     assert stats[1].pseudo == (p >= 0.7).sum() and abs(stats[1].mean_confidence - p[p >= 0.7].mean()) < 1e-9 and stats[1].changed == 1.0
     assert model.predict(valid).count() == 400
-    none = NoisyStudent(lambda rows, k: GradientTrainer(2, 2, rounds=2).fit(rows), settings={"threshold": 1.1})
+    none = NoisyStudent(lambda rows, k: GradientTrainer(10, 2, rounds=2).fit(rows), settings={"threshold": 1.1})
     none.fit(labelled, unlabelled)
     assert len(none.statistics) == 1
 
