@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.llm.pieces import chunks
-from panelwright.llm.rows import drop_rows, text_key
+from panelwright.llm.rows import drop_rows, parted, text_key
 from panelwright.llm.storage import stored
 
 WINDOW = 10
@@ -177,6 +177,28 @@ def _hits(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     return salted.join(known, ["window", "salt"]).select(F.col("doc_id").alias("h_doc"), F.col("text_key").alias("h_key"), "at", "n", "window")
 
 
+def _salted(hot: DataFrame, few: DataFrame, on: str, spread: list[str]) -> DataFrame:
+    """``hot`` joined with ``few`` by ``on``, each key of which is dealt over ``SALTS`` tasks by the columns ``spread``."""
+    left = hot.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    right = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [on, "salt"]).drop("salt")
+
+
+def _items_of(found: DataFrame, keyed: DataFrame, key: list[str]) -> DataFrame:
+    """(key, item_id) of the hits ``found`` (key, window), given ``keyed`` (window, item_id).
+
+    Windows that have the same items are one: their first stands for the set. A document meets each set once, and
+    a set's items as rows, so no window gathers its items and none is joined by all its documents in one task.
+    """
+    signs = ["count(*) AS n", "bit_xor(xxhash64(item_id)) AS a", "bit_xor(xxhash64(item_id, 'again')) AS b"]
+    sets = stored(keyed.groupBy("window").agg(*map(F.expr, signs)), "item-sets")
+    firsts = sets.groupBy("n", "a", "b").agg(F.min("window").alias("of"))
+    set_of = sets.join(firsts, ["n", "a", "b"]).select("window", "of")
+    met = _salted(found.select(*key, "window").distinct(), set_of, "window", key).select(*key, "of").distinct()
+    members = keyed.join(firsts.select(F.col("of").alias("window")), "window").select(F.col("window").alias("of"), "item_id")
+    return _salted(met, members, "of", key).select(*key, "item_id").distinct()
+
+
 def _joined(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """``contamination`` without a broadcast."""
 
@@ -187,8 +209,7 @@ def _joined(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
 
     found, key = stored(_hits(rows, benchmark, size), "benchmark-hits"), ["h_doc", "h_key"]
     hit = found.select(*key, F.explode(F.expr("sequence(at, at + n - 1)")).alias("word")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("hits"))
-    of_window = _keyed_windows(benchmark, size).groupBy("window").agg(F.collect_set("item_id").alias("of"))
-    items = found.select(*key, "window").distinct().join(of_window, "window").select(*key, F.explode("of").alias("item_id")).distinct()
+    items = _items_of(found, stored(_keyed_windows(benchmark, size), "benchmark-windows"), key)
     items = items.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     all_rows = rows.mapInArrow(base, "doc_id long, text_key binary, n_words long")
     items = items.withColumnsRenamed({"h_doc": "i_doc", "h_key": "i_key"})
@@ -250,7 +271,9 @@ def _cleaned_by_join(docs: DataFrame, benchmark: DataFrame, size: int, spans: bo
         return drop_rows(docs, hits.select(F.col("h_doc").alias("doc_id"), F.lower(F.hex("h_key")).alias("row_key")))
     places, v_doc, v_key = (f"{name}_{uuid.uuid4().hex}" for name in ("spans", "doc", "key"))
     where = hits.groupBy(F.col("h_doc").alias(v_doc), F.col("h_key").alias(v_key)).agg(F.collect_set(F.struct("at", "n")).alias(places))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col(v_doc)) & (F.unhex(text_key(docs["text"])) == F.col(v_key))
+    where = stored(where, "benchmark-places")
+    asked, others = parted(docs, where.select(F.col(v_doc).alias("doc_id")))
+    same = asked["doc_id"].cast("long").eqNullSafe(F.col(v_doc)) & (F.unhex(text_key(asked["text"])) == F.col(v_key))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +289,8 @@ def _cleaned_by_join(docs: DataFrame, benchmark: DataFrame, size: int, spans: bo
             cut = batch.set_column(place, batch.schema.field(place), pa.array(text, batch.schema.field(place).type))
             yield cut.select(names)
 
-    return docs.join(where, same, "left").select(*[docs[c] for c in names], places).mapInArrow(run, docs.schema)
+    cut = asked.join(where, same, "left").select(*[asked[c] for c in names], places).mapInArrow(run, docs.schema)
+    return cut if others is None else cut.unionByName(others)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.llm import decontaminate, html_extract, language, pii, storage, url_filter, warc
 from panelwright.llm.dom import MAX_DEPTH, Tree
@@ -54,6 +55,20 @@ def test_spans_are_cut(spark):
     assert decontaminate.contamination(docs(spark, [(1, "a")]), empty).first().n_hit == 0
 
 
+def test_a_window_of_many_items_and_documents(spark, monkeypatch):
+    """A third of the documents hold one window that all items share: no join sends them to one task, nor the items to one row."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 1)
+    shared = "all items have these ten words in the very same order"
+    bench = spark.createDataFrame([(i, f"{shared} and tail {i}") for i in range(60)], "item_id long, text string")
+    table = docs(spark, [(i, shared if i % 3 == 0 else f"clean text {i}") for i in range(900)])
+    got = decontaminate.contamination(table, bench).collect()
+    assert {(r.n_hit, r.n_items) for r in got if r.doc_id % 3 == 0} <= {(11, 60), (10, 60)} and all(r.n_hit == 0 for r in got if r.doc_id % 3)
+    found = spark.createDataFrame([(i, bytes([i % 251]), b"w") for i in range(300)], "h_doc long, h_key binary, window binary")
+    few = spark.createDataFrame([(b"w", str(i)) for i in range(3)], "window binary, item_id string")
+    tasks = decontaminate._salted(found, few.select("window").distinct(), "window", ["h_doc"]).select("h_doc", F.pmod(F.xxhash64("h_doc"), F.lit(decontaminate.SALTS)).alias("salt")).groupBy("salt").count().collect()
+    assert max(r["count"] for r in tasks) < 300 / 4 and decontaminate._items_of(found, few, ["h_doc", "h_key"]).count() == 900
+
+
 def test_the_broadcast_is_bounded_by_bytes(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "w" * 3000)], "item_id long, text string")
     assert len(decontaminate.small_windows(bench)) == 1 and decontaminate.small_windows(bench.limit(0)) == []
