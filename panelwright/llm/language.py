@@ -29,8 +29,8 @@ from panelwright.llm.storage import stored
 UNKNOWN = "und"
 ORDERS = range(5, 0, -1)
 #: Different texts of a language to learn from, on average.
-ROWS_PER_LANGUAGE = 400
-#: Unknown words remembered by a worker at once.
+ROWS_PER_LANGUAGE = 1000
+#: Words remembered by a worker at once.
 REMEMBERED = 100_000
 
 _TABLE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -69,13 +69,38 @@ def _to_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in found], pa.string()), "gram": pa.array([k[1] for k in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
 
 
-def _table(counts: DataFrame, key: str, languages: list[str]) -> tuple[list, np.ndarray]:
+class Keys:
+    """Sorted byte strings as one array, with a dictionary for the few longer ones; nothing of Python's size a key."""
+
+    WIDTH = 24
+
+    def __init__(self, keys: list[bytes]):
+        short = np.array([len(k) <= self.WIDTH for k in keys], bool)
+        packed = np.array([k for k, s in zip(keys, short, strict=True) if s], f"S{self.WIDTH}")
+        order = np.argsort(packed, kind="stable")
+        self.short, self.rows = packed[order], np.flatnonzero(short)[order]
+        self.long = {keys[i]: int(i) for i in np.flatnonzero(~short)}
+
+    def find(self, asked: list[bytes]) -> np.ndarray:
+        """The place of each key in the list that this was made of, or -1."""
+        out = np.full(len(asked), -1, np.int64)
+        if len(self.short) and asked:
+            wanted = np.array(asked, f"S{self.WIDTH}")  # cuts longer keys, which are looked up below
+            at = np.minimum(np.searchsorted(self.short, wanted), len(self.short) - 1)
+            out = np.where(self.short[at] == wanted, self.rows[at], -1)
+        for i, key in enumerate(asked):
+            if len(key) > self.WIDTH:
+                out[i] = self.long.get(key, -1)
+        return out
+
+
+def _table(counts: DataFrame, key: str, languages: list[str]) -> tuple[Keys, np.ndarray]:
     """The keys of the sample, and for each a row of log frequencies by language, less their mean."""
     by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
-    found = counts.groupBy(key).agg(*by).orderBy(key).toArrow()
+    found = counts.groupBy(F.col(key).cast("binary").alias(key)).agg(*by).orderBy(key).toArrow()
     n = np.column_stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))]).astype(float)
     log = np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * len(n) + 1))
-    return found.column(key).to_pylist(), (log - log.mean(axis=1, keepdims=True)).astype(np.float32)
+    return Keys(found.column(key).to_pylist()), (log - log.mean(axis=1, keepdims=True)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict:
@@ -84,7 +109,7 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # a row a language
     model = {"languages": sorted(sizes)}
     if not sizes:
-        return model | dict.fromkeys(("words", "grams"), ([], np.zeros((0, 1), np.float32)))
+        return model | dict.fromkeys(("words", "grams"), (Keys([]), np.zeros((0, 1), np.float32)))
     share = F.lit(0.0)
     for lang, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == lang, min(1.0, rows_per_language / n)).otherwise(share)
@@ -96,38 +121,47 @@ def fit(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> dict
 
 
 class Scorer(dict):
-    """word -> row of ``table``; words beyond the model are scored by n-grams when first met and forgotten together when the table is full."""
+    """word -> row of ``table`` for words met; beyond ``REMEMBERED`` of them all are forgotten and met anew. The model's arrays stay as they were sent."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.languages, (self.known, known_rows), (grams_, self.gram_rows) = model["languages"], model["words"], model["grams"]
-        self.grams = {g: i for i, g in enumerate(grams_)}
-        self.table = np.concatenate([known_rows, np.zeros((REMEMBERED, known_rows.shape[1]), np.float32)])
-        self.update((w, i) for i, w in enumerate(self.known))
-        self.free = len(self.known)
-
-    def __missing__(self, word: bytes) -> int:
-        at = self.free
-        self.table[at] = self.unseen(word)
-        self[word] = at
-        self.free += 1
-        return at
-
-    def room(self, n: int) -> None:
-        """Make room for ``n`` new words."""
-        if self.free + n > len(self.table):
-            self.clear()
-            self.update((w, i) for i, w in enumerate(self.known))
-            self.free = len(self.known)
-            if n > REMEMBERED:
-                self.table = np.concatenate([self.table[: self.free], np.zeros((n, self.table.shape[1]), np.float32)])
+        self.languages, (self.known, self.known_rows), (self.grams, self.gram_rows) = model["languages"], model["words"], model["grams"]
+        self.table = np.zeros((REMEMBERED, self.known_rows.shape[1]), np.float32)
 
-    def unseen(self, word: bytes) -> np.ndarray:
+    def meet(self, words_: set[bytes]) -> None:
+        """See to it that all of ``words_`` have a row."""
+        new = [w for w in words_ if w not in self]
+        if len(self) + len(new) > len(self.table):
+            self.clear()
+            new = list(words_)
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), self.table.shape[1]), np.float32)
+        for lo in range(0, len(new), 10_000):
+            some, first = new[lo : lo + 10_000], len(self)
+            at = self.known.find(some)
+            rows = np.zeros((len(some), self.table.shape[1]), np.float32)
+            rows[at >= 0] = self.known_rows[at[at >= 0]]
+            unseen = np.flatnonzero(at < 0)
+            if len(unseen):
+                rows[unseen] = self.unseen([some[i] for i in unseen])
+            self.table[first : first + len(some)] = rows
+            self.update((w, first + i) for i, w in enumerate(some))
+
+    def unseen(self, words_: list[bytes]) -> np.ndarray:
+        """A row a word: the mean of its n-grams of the longest order of which any is known, zeros without one."""
+        out, left = np.zeros((len(words_), self.table.shape[1]), np.float32), np.arange(len(words_))
         for order in ORDERS:
-            rows = [r for g in grams(word, order) if (r := self.grams.get(g)) is not None]
-            if rows:
-                return self.gram_rows[rows].mean(axis=0)
-        return np.zeros(self.table.shape[1], np.float32)
+            if not len(left) or not len(self.gram_rows):
+                break
+            each = [grams(words_[i], order) for i in left]
+            owner = np.repeat(np.arange(len(left)), list(map(len, each)))
+            at = self.grams.find([g.encode("utf-8", "replace") for gs in each for g in gs])
+            owner, at = owner[at >= 0], at[at >= 0]
+            n = np.bincount(owner, minlength=len(left))
+            for j in range(out.shape[1]):
+                out[left, j] += np.bincount(owner, self.gram_rows[at, j], len(left)) / np.maximum(n, 1)
+            left = left[n == 0]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -138,7 +172,7 @@ class Scorer(dict):
                 each.append(words(text))
                 size += len(each[-1])
             if size and (size > 100_000 or i == len(texts) - 1):
-                self.room(len(set().union(*each)))
+                self.meet(set().union(*each))
                 count = np.array([len(w) for w in each])
                 rows = np.fromiter((r for w in each for r in map(self.__getitem__, w)), np.int64, size)
                 mean = np.add.reduceat(self.table[rows], np.concatenate(([0], np.cumsum(count)[:-1]))) / count[:, None]
