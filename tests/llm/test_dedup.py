@@ -272,3 +272,22 @@ def test_pipeline_stages_on_small_documents(spark, tmp_path):
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(x.doc_id for x in out) == [1, 2, 3, 4, 5, 6, 7, 20] and all(x.n_tokens > 0 for x in out)
+
+
+def test_stages_of_empty_tables_and_odd_ids(spark, tmp_path):
+    """No stage fails on an empty table; null and repeated doc_ids lose no other row in the first and the last stage."""
+    from panelwright.llm import bpe, language
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    none = spark.createDataFrame([], schema)
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert bpe.round_trip(none, bpe.vocabulary_path()).count() == 0 and simhash.near_groups(none).count() == 0
+    text = {"en": "the cat and the dog went to the old house by the river", "de": "der Hund und die Katze gingen zu dem alten Haus am Fluss"}
+    rows = [(i, t + f" {i}", k, None, None) for i in range(12) for k, t in text.items()] + [(None, text["en"], None, "s", 1), (None, "12 ;", "en", None, None), (3, text["de"], None, None, 2), (3, text["de"], None, None, 2), (None, None, None, None, None)]
+    table = spark.createDataFrame([(*r, 7, True) for r in rows], schema + ", score int, held_out boolean")
+    kept = language.keep_identified(table, language.fit(language.learned_rows(table.drop("held_out"))))
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted((str(r[0]), r[1]) for r in rows if r[1] and r[1] != "12 ;") and kept.columns == table.columns
+    tokens = bpe.round_trip(table, bpe.vocabulary_path()).collect()
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in tokens) == sorted((str(r[0]), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r in rows)
