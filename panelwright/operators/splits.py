@@ -131,6 +131,15 @@ def batches(df: DataFrame, size: int, shuffle: bool = False, drop_last: bool = F
     return out.drop("rank")
 
 
+def loaders(df: DataFrame, size: int = 32, valid_size: int | None = None, seed: int = 42, id_col: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """The batches of training rows, shuffled, and of the others, in order and by default twice as large, of rows with ``split`` (train or another).
+
+    Both keep the last batch; each has ``batch_id`` of its own.
+    """
+    train, valid = df.where("split = 'train'"), df.where("split <> 'train'")
+    return batches(train, size, shuffle=True, seed=seed, id_col=id_col), batches(valid, valid_size or 2 * size, id_col=id_col)
+
+
 def batch_subsample(df: DataFrame, fraction: float, how: str = "random", seed: int = 42, id_col: str = "sample_id", loss: str = "loss") -> DataFrame:
     """max(1, round(n fraction)) rows of each ``batch_id``: ``random``, ``hard`` (highest loss) or ``easy``."""
     order = {"random": [bits(seed, "subsample", id_col).asc()], "hard": [F.col(loss).desc()], "easy": [F.col(loss).asc()]}[how]

@@ -9,6 +9,7 @@ from panelwright.plans.registry import query
 from panelwright.plans.tables import E, events_panel, r, rr, table, vectors
 from panelwright.session import scratch
 from panelwright.sources import readers, writers
+from panelwright.sources.catalog import catalog as catalog_of
 
 
 def _text(x, between: str = ","):
@@ -191,3 +192,14 @@ def write_panel(spark, sf_dir):
     path = scratch(spark, "panel")
     writers.write_panel(vectors(spark, sf_dir).select("sample_id", "var_id", "x"), path, 4)
     return _cells(spark.read.parquet(path), "sample_id", "var_id")
+
+
+@query("catalog", "SELECT 'kind' || label AS name, 'tsv' AS format, 'read_tsv' AS reader, split, (count(*) > 0)::INT AS there FROM embeddings, (SELECT unnest(['train', 'test']) AS split) WHERE (vec_id % 3 = 0) = (split = 'test') GROUP BY label, split")
+def catalog(spark, sf_dir):
+    """A data set a label, each with its training and test file."""
+    v, folder = vectors(spark, sf_dir), scratch(spark, "catalog")
+    split = F.when(F.col("sample_id") % 3 == 0, "TEST").otherwise("TRAIN")
+    lines = v.select(F.concat(F.lit("kind"), F.col("label").cast("string"), F.lit("_"), split, F.lit(".tsv")).alias("file"), F.concat_ws("\t", F.col("label").cast("string"), _text(F.col("x"), "\t")).alias("value"))
+    lines.repartition(F.col("file")).write.partitionBy("file").text(folder)
+    found = catalog_of(spark, folder)
+    return found.groupBy(F.regexp_replace("name", "^file=", "").alias("name"), F.lit("tsv").alias("format"), F.lit("read_tsv").alias("reader"), "split").agg((F.sum("files") > 0).cast("int").alias("there"))

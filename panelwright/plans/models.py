@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import explain, search
 from panelwright.plans.registry import query
-from panelwright.plans.tables import E, Q, r, rr, table, vectors
+from panelwright.plans.tables import E, Q, S, events_panel, r, rr, table, vectors
 from panelwright.streaming.windows import windowed_features
 
 
@@ -40,3 +40,20 @@ def rocket_classifier(spark, sf_dir):
     v = vectors(spark, sf_dir)
     fitted = SeriesClassifier(n_kernels=84, max_iter=15).fit(v, v.select("sample_id", "label"))
     return fitted.predict(v).select("sample_id", "pred", "prob")
+
+
+_FORECAST = f"""
+WITH {S}, p AS (SELECT sample_id, t, v, lead(v) OVER (PARTITION BY sample_id ORDER BY t) AS w FROM e),
+c AS (SELECT regr_slope(w, v) AS b, regr_intercept(w, v) AS a FROM p WHERE w IS NOT NULL)
+SELECT sample_id, {rr('a + b * v', 5)} AS forecast FROM (SELECT sample_id, arg_max(v, t) AS v FROM e GROUP BY 1), c
+"""
+
+
+@query("forecaster", _FORECAST)
+def forecaster(spark, sf_dir):
+    """The next value of each user's series by the line through all pairs of neighbours, fitted as the forecaster of a window of one."""
+    from panelwright.operators.training import SeriesForecaster
+
+    panel = events_panel(spark, sf_dir)
+    made = SeriesForecaster(1, 1, reg=0.0).fit(panel).predict(panel)
+    return made.select("sample_id", r(F.get("forecast", F.lit(0)), 5).alias("forecast"))

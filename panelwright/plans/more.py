@@ -218,6 +218,13 @@ def early_stopping(spark, sf_dir):
     return dynamics.early_stopping(_history(spark, sf_dir), 10)
 
 
+@query("terminate_on_nan", f"WITH {_RUN} SELECT run_id, min(epoch) FILTER (WHERE epoch % 17 = 16 AND valid_loss > 20)::BIGINT AS stop_epoch FROM h GROUP BY 1")
+def terminate_on_nan(spark, sf_dir):
+    """Runs whose loss is NaN at some epochs stop at the first of them, whatever the patience."""
+    broken = F.when((F.col("epoch") % 17 == 16) & (F.col("valid_loss") > 20), F.lit(float("nan"))).otherwise(F.col("valid_loss"))
+    return dynamics.early_stopping(_history(spark, sf_dir).withColumn("valid_loss", broken), 10**9)
+
+
 def _steps(spark, sf_dir):
     """Runs and their steps: a user's events in order of time."""
     return events_long(spark, sf_dir).select(F.col("sample_id").alias("run_id"), F.col("t").alias("step"))

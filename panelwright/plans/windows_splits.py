@@ -139,6 +139,20 @@ def batches(spark, sf_dir):
     return P.batches(_rows(spark, sf_dir), 32, shuffle=True)
 
 
+_PAIR = """
+WITH p AS (SELECT vec_id AS sample_id, CASE WHEN vec_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, {bits} AS o FROM embeddings)
+SELECT sample_id, split, ((row_number() OVER (ORDER BY o, sample_id) - 1) // 32)::BIGINT AS batch_id FROM p WHERE split = 'train'
+UNION ALL SELECT sample_id, split, ((row_number() OVER (ORDER BY sample_id) - 1) // 64)::BIGINT FROM p WHERE split = 'valid'
+"""
+
+
+@query("loader_pair", _PAIR.format(bits=sql_bits(42, "batch", "vec_id")))
+def loader_pair(spark, sf_dir):
+    rows = _rows(spark, sf_dir).select("sample_id", F.when(F.col("sample_id") % 5 == 0, "valid").otherwise("train").alias("split"))
+    train, valid = P.loaders(rows)
+    return train.unionByName(valid)
+
+
 @query("batches_drop_last", f"WITH {_ORD} SELECT sample_id, label, k // 32 AS batch_id FROM t WHERE k // 32 < n // 32")
 def batches_drop_last(spark, sf_dir):
     return P.batches(_rows(spark, sf_dir), 32, drop_last=True)

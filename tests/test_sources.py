@@ -81,3 +81,13 @@ def test_one_large_npy_file_is_read_by_many_tasks(spark, tmp_path):
     np.save(tmp_path / "bad.npy", np.array(["a"]))
     with pytest.raises(Exception, match="rank 2 or 3"):
         readers.read_npy(spark, str(tmp_path / "bad.npy")).collect()
+
+
+def test_catalog_of_a_folder(spark, tmp_path):
+    from panelwright.sources.catalog import catalog
+
+    for name in ("Beef/Beef_TRAIN.tsv", "Beef/Beef_TEST.tsv", "Wind.tsf", "x_test.npz", "notes.txt", "_hidden.tsv", ".git/a.tsv", "wide.parquet/part-0.parquet", "wide.parquet/part-1.parquet"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("1")
+    got = {(r.name, r.reader, r.split, r.files, r.bytes) for r in catalog(spark, str(tmp_path)).collect()}
+    assert got == {("Beef", "read_tsv", "train", 1, 1), ("Beef", "read_tsv", "test", 1, 1), ("Wind", "read_tsf", None, 1, 1), ("x", "read_npy", "test", 1, 1), ("wide", "read_parquet", None, 2, 2)}
