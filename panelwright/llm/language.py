@@ -31,7 +31,9 @@ ORDERS = range(5, 0, -1)
 #: Different texts of a language to learn from, on average.
 ROWS_PER_LANGUAGE = 1000
 #: Words remembered by a worker at once.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+#: N-grams of words that the model doesn't know, looked up together.
+PIECE = 50_000
 
 _TABLE = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
@@ -46,6 +48,13 @@ def grams(word: bytes, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def pieces_of(word: bytes, n: int) -> Iterator[list[str]]:
+    """``grams`` of a word, ``PIECE`` at a time."""
+    w = f"<{word.decode('utf-8', 'replace')}>"
+    for lo in range(0, len(w) - n + 1, PIECE):
+        yield [w[i : i + n] for i in range(lo, min(lo + PIECE, len(w) - n + 1))]
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
@@ -153,16 +162,35 @@ class Scorer(dict):
         for order in ORDERS:
             if not len(left) or not len(self.gram_rows):
                 break
-            each = [grams(words_[i], order) for i in left]
-            owner = np.repeat(np.arange(len(left)), list(map(len, each)))
-            at = self.grams.find([g.encode("utf-8", "replace") for gs in each for g in gs])
-            owner, at = owner[at >= 0], at[at >= 0]
-            n = np.bincount(owner, minlength=len(left))
-            for j in range(out.shape[1]):
-                out[left, j] += np.bincount(owner, self.gram_rows[at, j], len(left)) / np.maximum(n, 1)
+            sums, n = self.sums([words_[i] for i in left], order)
+            out[left] = sums / np.maximum(n, 1)[:, None]
             left = left[n == 0]
         return out
 
+    def sums(self, words_: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the known n-grams of each word added up, number of them), ``PIECE`` n-grams at a time, however long a word."""
+        total, n = np.zeros((len(words_), self.table.shape[1])), np.zeros(len(words_))
+        owner: list[int] = []
+        asked: list[bytes] = []
+
+        def look_up() -> None:
+            at = self.grams.find(asked)
+            mine, at = np.array(owner, np.int64)[at >= 0], at[at >= 0]
+            for j in range(total.shape[1]):
+                total[:, j] += np.bincount(mine, self.gram_rows[at, j], len(words_))
+            n[:] += np.bincount(mine, minlength=len(words_))
+            owner.clear()
+            asked.clear()
+
+        for i, word in enumerate(words_):
+            for part in pieces_of(word, order):
+                asked.extend(g.encode("utf-8", "replace") for g in part)
+                owner.extend([i] * len(part))
+                if len(asked) >= PIECE:
+                    look_up()
+        look_up()
+        return total, n
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         at, size, each = [], 0, []
