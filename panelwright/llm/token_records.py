@@ -37,6 +37,8 @@ from panelwright.llm.storage import AtomicFile, a_file_a_task, open_store, scrat
 #: Fixed value: the constant of the usual masked-checksum formula.
 MASK_DELTA = 0xA282EAD8
 NO_ID = -(2**63)
+#: Bytes of text that a task turns into Python objects at a time.
+SLICE = 1 << 20
 INDEX = "shard int, path string, doc_id long, at long, n_tokens long"
 
 
@@ -65,7 +67,7 @@ def frames(stream, where: str) -> Iterator[bytes]:
 class PieceEncoder:
     """The tokenizers library behind a memory of pieces; ids of an entry come as little-endian bytes."""
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,7 +100,12 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
-    """Write the shards of ``docs`` under ``folder`` and return the index, itself written beside them."""
+    """Write the shards of ``docs`` under ``folder`` and return the index, itself written beside them.
+
+    There are ``shards`` of them, or as many as adaptive execution makes of the texts' bytes, ``spark.sql.shuffle.partitions``
+    at most. Texts are shuffled and not ids: with short tokens the ids are no smaller, and dealing them into ranges
+    would need them stored or encoded twice.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text")]
     rows = rows.repartitionByRange(*([shards] if shards else []), *order[:2]).sortWithinPartitions(*order)
@@ -108,7 +115,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sh
         name = f"part-{shard:06d}.rec"
         end, width = end_id.to_bytes(enc.width, "little"), bytes([enc.width])
         with AtomicFile(f"{folder}/records", name) as out:
-            for part in (p for batch in batches for p in chunks(batch)):
+            for part in (p for batch in batches for p in chunks(batch, most=SLICE)):
                 ids, first = enc.encode(part.column("text"))
                 places, n = [], part.num_rows
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
