@@ -58,10 +58,9 @@ def forecast_holdout(spark, sf_dir):
 
 @query("pad_post", f"WITH {S}, {_EV} SELECT sample_id, (SELECT max(n) FROM p)::INT AS length, {_SUM('x')} AS total, ((SELECT max(n) FROM p) - n)::INT AS added FROM p")
 def pad_post(spark, sf_dir):
-    panel = events_panel(spark, sf_dir)
+    panel = events_panel(spark, sf_dir).withColumn("n", F.size("x"))
     out = W.pad_sequences(panel, value=0.0)
-    zeros = F.size("x") - F.size(F.filter("x", lambda v: v != 0))
-    return out.select("sample_id", F.size("x").alias("length"), r(F.aggregate("x", F.lit(0.0), lambda s, v: s + v)).alias("total"), zeros.alias("added"))
+    return out.select("sample_id", F.size("x").alias("length"), r(F.aggregate("x", F.lit(0.0), lambda s, v: s + v)).alias("total"), (F.size("x") - F.col("n")).alias("added"))
 
 
 @query("truncate_min", f"WITH {S}, {_EV} SELECT sample_id, (SELECT min(n) FROM p)::INT AS length, {_SUM('x[1 : (SELECT min(n) FROM p)]')} AS total FROM p")
