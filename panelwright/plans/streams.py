@@ -1,4 +1,4 @@
-"""Streams over the test tables: files are dealt into micro-batches, and the result is compared with SQL over the table."""
+"""Streams over the test tables: parts of them are micro-batches, and the result is compared with SQL over the table."""
 
 from __future__ import annotations
 
@@ -14,12 +14,14 @@ from panelwright.streaming.runs import VersionedState, averaged, latest, run_bat
 from panelwright.streaming.sessions import run_sessions
 
 
-def _stream(parts, folder: str):
-    """A stream whose micro-batches are ``parts``, in order."""
+def _streams(parts, folder: str):
+    """A stream after each of ``parts`` has come, to be run at one checkpoint before the next is asked for.
+
+    A run takes its part as one micro-batch, in however many files the part's tasks wrote it.
+    """
     for i, part in enumerate(parts):
-        part.coalesce(1).write.parquet(f"{folder}/in/part={i}")
-    spark = parts[0].sparkSession
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+        part.write.parquet(f"{folder}/in/part={i}")
+        yield part.sparkSession.readStream.schema(parts[0].schema).parquet(f"{folder}/in/part=*")
 
 
 @query("stream_prediction_dynamics", DYNAMICS_SQL + f" SELECT sample_id, epochs, ever_correct, always_correct, flips, first_correct::INT AS first_correct, last_incorrect::INT AS last_incorrect, regressed, last AS last_correct, {rounded('stability mean_confidence')} FROM d")
@@ -27,7 +29,8 @@ def stream_prediction_dynamics(spark, sf_dir):
     """Late epochs (the even ones come last) and repeated ones (every seventh comes twice)."""
     h, folder = history(spark, sf_dir), scratch(spark, "dynamics-stream")
     parts = [h.where("epoch % 2 = 1"), h.where("epoch % 2 = 0 OR epoch % 7 = 0")]
-    got = latest(prediction_dynamics(_stream(parts, folder)), "sample_id", folder)
+    for stream in _streams(parts, folder):
+        got = latest(prediction_dynamics(stream), "sample_id", folder)
     return got.select("sample_id", "epochs", "ever_correct", "always_correct", "flips", "first_correct", "last_incorrect", "regressed", "last_correct", r("stability").alias("stability"), r("mean_confidence").alias("mean_confidence"))
 
 
@@ -45,9 +48,10 @@ def stream_sessions(spark, sf_dir):
     cut = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5), F.max("ts")).first()
     mark = spark.createDataFrame([(None, cut[1], None)], e.schema).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS"))
     early = F.unix_micros("ts") <= cut[0]
-    got, late = run_sessions(_stream([e.where(early), e.where(~early), mark], folder), folder, key="user_id", ts="ts", value="value", gap="6 hours", late="1 hour")
-    if late:
-        raise ValueError(f"{late} rows came late")
+    for stream in _streams([e.where(early), e.where(~early), mark], folder):
+        got, late = run_sessions(stream, folder, key="user_id", ts="ts", value="value", gap="6 hours", late="1 hour")
+        if late:
+            raise ValueError(f"{late} rows came late")
     local = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "last")}
     return got.where("sample_id IS NOT NULL").withColumns(local | {"total": r("total", 4)})
 
@@ -67,7 +71,8 @@ def stream_centers(spark, sf_dir):
     """Centres carried through three micro-batches."""
     v, folder = vectors(spark, sf_dir).select("sample_id", "label", "x"), scratch(spark, "centers-stream")
     state = VersionedState(spark, f"{folder}/state", "label int, center array<double>")
-    run_batches(_stream([v.where(F.col("sample_id") % 3 == i) for i in range(3)], folder), state.apply(losses.updated_centers), f"{folder}/checkpoint", "append")
+    for stream in _streams([v.where(F.col("sample_id") % 3 == i) for i in range(3)], folder):
+        run_batches(stream, state.apply(losses.updated_centers), f"{folder}/checkpoint", "append")
     return state.last().select("label", F.posexplode("center").alias("i", "c")).select("label", "i", r("c").alias("c"))
 
 
@@ -81,5 +86,6 @@ SELECT user_id AS sample_id, {rr('coalesce(x.m + 0.25::DOUBLE * (y.m - x.m), y.m
 def stream_averages(spark, sf_dir):
     e, folder = table(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), "event_id", "value"), scratch(spark, "averages-stream")
     state = VersionedState(spark, f"{folder}/state", "sample_id long, average double")
-    run_batches(_stream([e.where(F.col("event_id") % 2 == i) for i in range(2)], folder), state.apply(lambda rows, old: averaged(rows, old, "sample_id", "value", 0.25)), f"{folder}/checkpoint", "append")
+    for stream in _streams([e.where(F.col("event_id") % 2 == i) for i in range(2)], folder):
+        run_batches(stream, state.apply(lambda rows, old: averaged(rows, old, "sample_id", "value", 0.25)), f"{folder}/checkpoint", "append")
     return state.last().select("sample_id", r("average").alias("average"))

@@ -3,8 +3,10 @@
 A sample's state holds its epochs seen so far (a few numbers an epoch), so an epoch that comes late takes its place
 and a repeated one counts once; each micro-batch gives a row for every sample it touches, which equals that of
 ``operators.dynamics.per_sample`` over all epochs so far. Whatever the cut into micro-batches, a sample's last row
-is the same. With ``idle``, a sample that has had no epoch for so long (in event time) gets a last row, marked
-``closed``, and its state goes.
+is the same. The state is that of an aggregate, the set of a sample's epochs: of an epoch that comes with different
+values all are kept and the greatest counts. With ``idle_seconds``, a sample that has had no epoch for so long (in event
+time) gets a last row, marked ``closed``, and its state goes; this needs a timer and calls Python once a sample and
+micro-batch, at some milliseconds each.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelwright.functions.arrays import let, pairs
+
 OUT = "sample_id long, epochs long, ever_correct boolean, always_correct boolean, flips long, first_correct int, last_incorrect int, regressed boolean, stability double, mean_confidence double, last_correct boolean, closed boolean"
 STATE = "epochs array<long>, preds array<int>, labels array<int>, confidences array<double>, seen long"
 
@@ -42,6 +46,23 @@ def row_of(sample_id: int, known: dict[int, tuple], closed: bool) -> pd.DataFram
     }]).astype({"first_correct": "Int32", "last_incorrect": "Int32"})
 
 
+def rows_of(known: DataFrame) -> DataFrame:
+    """The same of each row (sample_id, known), with ``known`` an array of (epoch, pred, true_label, confidence), by array expressions."""
+    newest = lambda z: F.filter(z, lambda v, i: ~v["epoch"].eqNullSafe(F.get(z, i + 1)["epoch"]) | (i + 1 == F.size(z)))
+    k = known.select("sample_id", let(F.array_sort("known"), newest).alias("k"))
+    k = k.withColumn("right", F.transform("k", lambda v: v["pred"] == v["true_label"]))
+    k = k.withColumns({"sure": F.filter("right", lambda v: v.isNotNull()), "given": F.filter(F.col("k")["confidence"], lambda c: c.isNotNull()), "n": F.size("k").cast("long")})
+    flips = F.size(F.filter(pairs(F.col("k")["pred"], 1, lambda a, b: a != b), lambda v: v)).cast("long")
+    first, last = F.array_position("right", True), F.array_position(F.reverse("right"), False)
+    k = k.withColumns({"flips": flips, "first_correct": F.when(first > 0, first - 1).cast("int"), "last_incorrect": F.when(last > 0, F.col("n") - last).cast("int")})
+    any_sure = F.size("sure") > 0
+    return k.select(
+        "sample_id", F.col("n").alias("epochs"), F.when(any_sure, F.array_contains("sure", True)).alias("ever_correct"), F.when(any_sure, ~F.array_contains("sure", False)).alias("always_correct"), "flips",
+        "first_correct", "last_incorrect", F.coalesce(F.col("last_incorrect") > F.col("first_correct"), F.lit(False)).alias("regressed"), F.when(F.col("n") < 2, 1.0).otherwise(1 - F.col("flips") / (F.col("n") - 1)).alias("stability"),
+        F.when(F.size("given") > 0, F.aggregate("given", F.lit(0.0), lambda s, v: s + v) / F.size("given")).alias("mean_confidence"), F.get("sure", F.size("sure") - 1).alias("last_correct"), F.lit(False).alias("closed"),
+    )
+
+
 def prediction_dynamics(history: DataFrame, time: str | None = None, late: str = "10 minutes", idle_seconds: float | None = None) -> DataFrame:
     """Updates by sample of a stream (sample_id, epoch, pred, true_label, confidence).
 
@@ -49,6 +70,9 @@ def prediction_dynamics(history: DataFrame, time: str | None = None, late: str =
     """
     if idle_seconds is not None and time is None:
         raise ValueError("closing idle samples needs a time column")
+    values = [F.col(c).cast(kind).alias(c) for c, kind in (("epoch", "long"), ("pred", "int"), ("true_label", "int"), ("confidence", "double"))]
+    if idle_seconds is None:
+        return rows_of(history.groupBy(F.col("sample_id").cast("long").alias("sample_id")).agg(F.collect_set(F.struct(*values)).alias("known")))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         epochs, preds, labels, confidences, seen = state.get if state.exists else ([], [], [], [], 0)
@@ -63,12 +87,9 @@ def prediction_dynamics(history: DataFrame, time: str | None = None, late: str =
                 seen = max(seen, at)
         order = sorted(known)
         state.update((order, *([known[e][i] for e in order] for i in range(3)), seen))
-        if idle_seconds is not None:
-            state.setTimeoutTimestamp(max(int(seen + 1000 * idle_seconds), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(seen + 1000 * idle_seconds), state.getCurrentWatermarkMs() + 1))
         yield row_of(key[0], known, False)
 
-    at = F.unix_millis(time) if time else F.lit(0).cast("long")
-    rows = history.withWatermark(time, late) if time and history.isStreaming else history
-    rows = rows.select(F.col("sample_id").cast("long"), F.col("epoch").cast("long"), F.col("pred").cast("int"), F.col("true_label").cast("int"), F.col("confidence").cast("double"), at.alias("at"), *([time] if time else []))
-    timeout = GroupStateTimeout.EventTimeTimeout if idle_seconds is not None else GroupStateTimeout.NoTimeout
-    return rows.groupBy("sample_id").applyInPandasWithState(step, OUT, STATE, "update", timeout)
+    rows = history.withWatermark(time, late) if history.isStreaming else history
+    rows = rows.select(F.col("sample_id").cast("long"), *values, F.unix_millis(time).alias("at"), time)
+    return rows.groupBy("sample_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)

@@ -104,3 +104,22 @@ def test_state_counts_each_batch_once_after_a_crash(spark, tmp_path):
     old = averaged(spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k int, v double"), spark.createDataFrame([], "k int, average double"), "k", "v")
     new = averaged(spark.createDataFrame([(1, 5.0), (3, 1.0)], "k int, v double"), old, "k", "v", 0.25)
     assert sorted(map(tuple, new.collect())) == [(1, 3.5), (2, 5.0), (3, 1.0)]
+
+
+def test_dynamics_need_no_call_a_sample(spark, tmp_path):
+    """Without a timer the state is an aggregate's, and a missing confidence takes no part in the mean."""
+    rows = spark.createDataFrame([(1, 0, 1, 1, 0.5, None), (1, 1, 0, 1, None, None), (1, 2, 1, 1, 1.0, None), (1, 1, 2, 1, None, None)], HISTORY)
+    made = prediction_dynamics(parts_stream(spark, [rows.limit(2), rows.offset(2)], tmp_path))
+    assert "Pandas" not in made._jdf.queryExecution().analyzed().toString()
+    got = latest(made, "sample_id", str(tmp_path)).first()
+    assert (got.epochs, got.flips, got.first_correct, got.last_incorrect, got.regressed, got.stability, got.mean_confidence) == (3, 2, 0, 1, True, 0.0, 0.75)
+
+
+def test_a_part_of_many_files_is_one_micro_batch(spark, tmp_path):
+    from panelwright.plans.streams import _streams
+
+    seen = []
+    for stream in _streams([spark.range(50).repartition(4), spark.range(50, 80).repartition(3)], str(tmp_path)):
+        run_batches(stream, lambda rows, i: seen.append((i, rows.count())), str(tmp_path / "c"), "append")
+    assert seen == [(0, 50), (1, 30)]
+    assert [len(list(tmp_path.glob(f"in/part={i}/*.parquet"))) for i in range(2)] == [4, 3]
