@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators.ranges import before, cuts, in_ranges
+from panelwright.operators.splits import rank_by_id
 
 
 def per_sample(history: DataFrame) -> DataFrame:
@@ -117,6 +118,26 @@ def early_stopping(history: DataFrame, patience: int, min_delta: float = 0.0, me
     return history.groupBy(*by).agg(F.aggregate(rows, start, step, lambda a: a["stop"]).alias("stop_epoch"))
 
 
+def most_confident(preds: DataFrame, n: int, k: int) -> DataFrame:
+    """The first ``k`` of ``n`` rows by falling ``prob``, then by numeric ``sample_id``; ``preds`` is read a few times.
+
+    Only ``prob``, and for ties at the cut ``sample_id``, is ranked, by ranges; whole rows are filtered where they are.
+    """
+    if k >= n:
+        return preds
+    at = F.lit(rank_by_id(preds.select("prob"), "prob", n=n).where(F.col("rank") == n - k).first().prob)
+    tied = preds.where(F.col("prob") == at)
+    more, ties = preds.agg(F.count(F.when(F.col("prob") > at, 1)), F.count(F.when(F.col("prob") == at, 1))).first()
+    if more + ties == k:
+        return preds.where(F.col("prob") >= at)
+    own, left = F.col("sample_id"), k - more
+    last = F.lit(rank_by_id(tied.select("sample_id"), "sample_id", n=ties).where(F.col("rank") == left - 1).first().sample_id)
+    earlier = (own < last) | (own.isNull() & last.isNotNull())
+    same = tied.where(own.eqNullSafe(last))
+    taken = preds.where((F.col("prob") > at) | ((F.col("prob") == at) & F.coalesce(earlier, F.lit(False))))
+    return taken.unionByName(same.limit(left - tied.where(earlier).count()))  # rows of one id and one confidence
+
+
 def pseudo_labels(preds: DataFrame, how: str = "threshold", threshold: float = 0.9, fraction: float = 0.5, per_class: int = 10, least: float = 0.0) -> DataFrame:
     """Rows of (sample_id, pred, prob) to take as labelled, with weight = confidence: ``all``, ``threshold``, ``topk`` (max(1, round(n fraction)) most confident) or ``balanced`` (``per_class`` a class)."""
     ok = preds.where(F.col("prob") >= least)
@@ -124,7 +145,7 @@ def pseudo_labels(preds: DataFrame, how: str = "threshold", threshold: float = 0
         ok = ok.where(F.col("prob") >= threshold)
     elif how == "topk":
         n = ok.count()
-        ok = ok.orderBy(F.desc("prob"), "sample_id").limit(max(1, int(n * fraction + 0.5)))
+        ok = most_confident(ok, n, max(1, int(n * fraction + 0.5)))
     elif how == "balanced":
         k = F.row_number().over(Window.partitionBy("pred").orderBy(F.desc("prob"), "sample_id"))
         ok = ok.withColumn("_k", k).where(F.col("_k") <= per_class).drop("_k")

@@ -1,7 +1,8 @@
 """Self-training: a model labels what has no label, and is trained again on both, with noise, for some rounds.
 
-Each round's pseudo-labels are written to the shared folder and read back, so rounds don't pile up in one plan and
-lost executors cost one round; its statistics are a row each.
+Each round's predictions, and its pseudo-labels with their noise, are written to the shared folder and read back, so
+rounds don't pile up in one plan, noise is drawn once however often a fit reads its rows (and by all tasks, however few
+files there are), and lost executors cost one round; its statistics are a row each.
 """
 
 from __future__ import annotations
@@ -50,15 +51,16 @@ class NoisyStudent:
         model = self.fit_model(own, 0)
         self.statistics.append((0, n, 0, None, None, self._accuracy(model, valid)))
         for k in range(1, self.rounds + 1):
-            path = scratch(spark, f"pseudo-{k}")
-            pseudo_labels(model.predict(unlabelled.select("sample_id", "features")), self.how, **self.settings).select("sample_id", "features", F.col("pred").alias("label"), "weight").write.parquet(path)
+            guesses, path = scratch(spark, f"guesses-{k}"), scratch(spark, f"pseudo-{k}")
+            model.predict(unlabelled.select("sample_id", "features")).select("sample_id", "features", "pred", "prob").write.parquet(guesses)
+            sure = pseudo_labels(spark.read.parquet(guesses), self.how, **self.settings)
+            sure.repartition("sample_id").select("sample_id", noisy("features", self.noise, self.seed + k, F.col("sample_id")).alias("features"), F.col("pred").alias("label"), "weight").write.parquet(path)
             taken = spark.read.parquet(path)
             found = taken.agg(F.count(F.lit(1)).alias("n"), F.avg("weight").alias("confidence")).first()
             changed = 1.0 if before is None else taken.join(before.select("sample_id", F.col("label").alias("_was")), "sample_id", "left").agg(F.avg((F.coalesce(F.col("_was") != F.col("label"), F.lit(True))).cast("double"))).first()[0]
             if not found.n or (before is not None and changed <= self.least_change):
                 break
-            student = taken.withColumn("features", noisy("features", self.noise, self.seed + k, F.col("sample_id")))
-            model = self.fit_model(own.unionByName(student), k)
+            model = self.fit_model(own.unionByName(taken), k)
             self.statistics.append((k, n, found.n, found.confidence, changed, self._accuracy(model, valid)))
             before = taken
         return model

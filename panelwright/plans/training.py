@@ -10,6 +10,7 @@ from panelwright.operators.heads import MixedModel
 from panelwright.operators.self_training import NoisyStudent
 from panelwright.plans.registry import query
 from panelwright.plans.tables import E, r, rr, vectors
+from panelwright.session import stored
 
 #: The first rectified step is plain: against the mean gradient, which from zero weights is (1 / classes - [label = c]) x.
 _FIRST = f"{E}, w AS (SELECT c::INT AS c, t, -0.5::DOUBLE * avg((0.1::DOUBLE - (label = c)::INT) * v) AS w FROM e, range(10) AS k(c) GROUP BY 1, 2)"
@@ -88,13 +89,12 @@ def search_folds(spark, sf_dir):
 @query("self_training")
 def self_training(spark, sf_dir):
     """Statistics of three rounds: every tenth label is known, the others are learned from confident predictions."""
-    rows = _rows(spark, sf_dir).cache()
+    rows = stored(_rows(spark, sf_dir).repartition("sample_id"), "rows")  # every round reads it, and a file may be one task's
     labelled, held = (rows.where(F.col("sample_id") % 10 == i) for i in (0, 1))
     other = rows.where(F.col("sample_id") % 10 > 1).drop("label")
     fit = lambda data, k: GradientTrainer(64, 10, rounds=10, lr=0.5).fit(data)
     student = NoisyStudent(fit, rounds=3, how="topk", settings={"fraction": 0.3}, noise=0.02)
     student.fit(labelled, other, held)
-    rows.unpersist()
     return student.table(spark)
 
 

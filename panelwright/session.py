@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int | None = None) -> SparkSession:
@@ -32,3 +32,14 @@ def scratch(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="panelwright-"))
         found = context.getCheckpointDir()
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a ``scratch`` path and read back, for work that reads it many times.
+
+    A cached table keeps every partition of the shuffle before it, however small, as a task of each pass; of a stored one
+    the passes have as many as its bytes and the cores make sensible.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import explain, schedules, search, splits
+from panelwright.functions import rand as R
+from panelwright.operators import dynamics, explain, ranges, schedules, search, splits
 from panelwright.operators.gradient import GradientTrainer, Network, RAdam, Ranger, Sgd, one_cycle
 from panelwright.operators.self_training import NoisyStudent
 
@@ -165,3 +166,39 @@ def test_halving_promotes_as_results_arrive(spark):
     assert t[2, 3].started < t[3, 1].ended and max(r.ended for r in t.values()) - min(r.started for r in t.values()) < sum(r.ended - r.started for r in t.values())
     with_limit = search.halving(spark, points, value, 1, max_budget=3, maximise=False)
     assert with_limit.agg(F.max("budget")).first()[0] == 3 and not math.isnan(with_limit.where("budget = 3").agg(F.min("score")).first()[0])
+
+
+def test_noise_is_drawn_once_a_round(spark):
+    """However often a fit reads its rows, their noise is stored, not drawn again; the rows are the same."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(60, 4)), np.tile([0, 1], 30)
+    plans, given = [], []
+
+    def fit(rows, k):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        given.append({r.sample_id: r.features for r in rows.collect()})
+        return GradientTrainer(4, 2, rounds=2).fit(rows)
+
+    NoisyStudent(fit, rounds=1, how="all", noise=0.1).fit(rows_of(spark, x[:10], y[:10]), rows_of(spark, x, y).where("sample_id >= 10").drop("label", "weight"))
+    assert "md5" not in plans[1] and len(given[1]) == 60
+    draws = spark.range(10, 60).select("id", F.array(*[R.normal(43, "noise", F.col("id"), F.lit(i)) for i in range(4)]).alias("z")).collect()
+    assert all(np.allclose(given[1][r.id], x[r.id] + 0.1 * np.array(r.z)) for r in draws)
+
+
+@pytest.mark.parametrize("a_range", [1_000_000, 40])
+def test_most_confident_rows_of_any_ties(spark, monkeypatch, a_range):
+    """The share taken is that of a sort, and where nothing is tied no limit gathers the rows."""
+    monkeypatch.setattr(ranges, "ROWS_A_RANGE", a_range)
+    own = spark.range(200).select(F.col("id").alias("sample_id"), F.lit(0).alias("pred"), (F.pmod(F.col("id") * 37, F.lit(200)) / 200).alias("prob"))
+    few, one = own.withColumn("prob", F.floor(F.col("prob") * 3) / 3), own.withColumn("prob", F.lit(0.5))
+    twice = one.unionByName(one).withColumn("sample_id", F.floor(F.col("sample_id") / 50))
+    odd = few.withColumn("sample_id", F.when(F.col("sample_id") > 20, F.col("sample_id"))).withColumn("prob", F.when(F.col("prob") > 0.6, float("nan")).otherwise(F.col("prob")))
+    for rows in (own, few, one, twice, odd):
+        for share in (0.001, 0.3):
+            n = rows.count()
+            want = rows.orderBy(F.desc("prob"), "sample_id").limit(max(1, int(n * share + 0.5)))
+            got = dynamics.pseudo_labels(rows, "topk", fraction=share)
+            shown = lambda df: sorted(map(str, df.select("sample_id", "prob").collect()))
+            assert shown(got) == shown(want)
+            if rows is own:
+                assert "Limit" not in got._jdf.queryExecution().optimizedPlan().toString()
