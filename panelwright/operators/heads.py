@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import features as S
 from panelwright.operators.training import _Facade
+from panelwright.session import stored
 
 CLASSIFIERS, REGRESSORS = ("mlp", "linear", "forest", "boosted"), ("linear", "forest", "boosted")
 
@@ -72,16 +72,13 @@ class MixedModel(_Facade):
             self.n_vars = last + 1
             self._kernels(panel)
         rows = table.where("label IS NOT NULL").withColumn("label", F.col("label").cast("double"))
-        data = self._columns(panel, rows, "label").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            prepared = self._prepared().fit(data)
-            made = prepared.transform(data)
-            width = made.select("joined").first()[0].size
-            classes = int(data.agg(F.max("label")).first()[0]) + 1 if self.task == "class" else 1
-            self.names = self._slots(made.schema["joined"].metadata, width)
-            self.model = PipelineModel([*prepared.stages, self._head_of(width, classes).fit(made)])
-        finally:
-            data.unpersist()
+        data = stored(self._columns(panel, rows, "label"), "features")
+        prepared = self._prepared().fit(data)
+        made = prepared.transform(data)
+        width = made.select("joined").first()[0].size
+        classes = int(data.agg(F.max("label")).first()[0]) + 1 if self.task == "class" else 1
+        self.names = self._slots(made.schema["joined"].metadata, width)
+        self.model = PipelineModel([*prepared.stages, self._head_of(width, classes).fit(made)])
         return self
 
     def _slots(self, metadata: dict, width: int) -> list[str]:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import features as S
 from panelwright.operators import metrics, rocket, windows
+from panelwright.session import stored
 
 BANKS = {
     "minirocket": lambda n, length, seed: rocket.minirocket_bank(n, length, seed),
@@ -64,16 +64,13 @@ class _Facade:
         raise NotImplementedError
 
     def fit(self, panel: DataFrame, labels: DataFrame):
-        """``labels``: (sample_id, label). Features are computed once and kept until the head is fitted."""
+        """``labels``: (sample_id, label). Features are computed once and stored, since the head reads them in each of its steps."""
         self.length = panel.agg(F.max(F.size("x"))).first()[0] or 0
         self._kernels(panel)
         data = self._features(panel).join(labels.select("sample_id", F.col("label").cast("double").alias("label")), "sample_id")
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            self.scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data)
-            self.model = self._head().fit(self.scaler.transform(data))
-        finally:
-            data.unpersist()
+        data = stored(data, "features")
+        self.scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(data)
+        self.model = self._head().fit(self.scaler.transform(data))
         return self
 
     def _predicted(self, panel: DataFrame) -> DataFrame:
